@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import encoded_digests
 from .common import read
 from .packing import pack_documents
 
@@ -10,5 +11,9 @@ def op9_best_fit_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_best_fit_packing,)}
+def op5_bpe_speculate_verify(spark, sf_dir):
+    return encoded_digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_bpe_speculate_verify, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
