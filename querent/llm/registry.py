@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import encoded_digests
 from .common import read
+from .langid import identify
 from .packing import pack_documents
 
 
@@ -15,5 +16,9 @@ def op5_bpe_speculate_verify(spark, sf_dir):
     return encoded_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_speculate_verify, op9_best_fit_packing)}
+def op8_language_id(spark, sf_dir):
+    return identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_bpe_speculate_verify, op8_language_id, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
