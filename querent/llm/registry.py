@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import encoded_digests
 from .common import read
+from .jaccard import jaccard_components
 from .langid import identify
 from .packing import pack_documents
 
@@ -20,5 +21,9 @@ def op8_language_id(spark, sf_dir):
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_speculate_verify, op8_language_id, op9_best_fit_packing)}
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_bpe_speculate_verify, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
