@@ -123,3 +123,12 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
     while have * 2 <= width:
         span, have = np.minimum(span[: len(span) - have], span[have:]), have * 2
     return np.minimum(span[:n], span[width - have : width - have + n])
+
+
+#: Rows that a side may have to be broadcast; each caller keeps its rows small. Beyond it a join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (stored, so that counting is cheap) with a broadcast hint if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -7,12 +7,17 @@ from .common import read
 from .jaccard import jaccard_components
 from .langid import identify
 from .packing import pack_documents
+from .substring import substring_digests
 
 
 def op9_best_fit_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_digests(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe_speculate_verify(spark, sf_dir):
     return encoded_digests(read(spark, sf_dir, "documents"))
 
@@ -25,5 +30,5 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_speculate_verify, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_bpe_speculate_verify, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
