@@ -146,14 +146,16 @@ def document_frequencies(learning: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Learns from text and lang of the documents outside the held-out fold."""
     learning = _labelled(docs).where(f"fold <> {HELD_OUT} and lang is not null and text is not null")
-    langs = [r["lang"] for r in learning.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    langs.sort()
+    sizes = {r["lang"]: r["count"] for r in learning.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    langs = sorted(sizes)
     seen, n = document_frequencies(learning)
     model = Model(langs, np.log((1 + n) / (1 + seen)) + 1, np.zeros((BUCKETS + 1, len(langs))))
     if not langs:
         return model
-    # the rank of a document within its language is cut off map-side, so no task gathers a language
+    # the hash bound lets through about 1.2 samples of each language, so that no task gathers a language
+    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 1.2 * sample_per_lang / sizes[k]))]), F.col("lang"))
     keyed = learning.where(F.col("lang").isin(langs)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    keyed = keyed.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_per_lang)
     chosen = chosen.select("doc_id", "lang", "h", "rank").dropDuplicates(["doc_id"])
