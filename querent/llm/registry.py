@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .audio import audio_digests
 from .bpe import encoded_digests
 from .common import read
+from .fingerprint import edited_likeness
 from .jaccard import jaccard_components
 from .langid import identify
 from .packing import pack_documents
+from .pii import personal_data
 from .substring import substring_digests
 
 
@@ -18,6 +21,18 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_digests(read(spark, sf_dir, "documents"))
 
 
+def op2_audio_features(spark, sf_dir):
+    return audio_digests(read(spark, sf_dir, "documents"))
+
+
+def op3_canonical_digest(spark, sf_dir):
+    return edited_likeness(read(spark, sf_dir, "documents"))
+
+
+def op4_pii_deobfuscation(spark, sf_dir):
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe_speculate_verify(spark, sf_dir):
     return encoded_digests(read(spark, sf_dir, "documents"))
 
@@ -30,5 +45,5 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_bpe_speculate_verify, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
