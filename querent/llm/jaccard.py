@@ -13,21 +13,20 @@ task, larger ones in rounds over the cluster.
 
 Documents of equal sets are one class and are never paired. No words or null text: n_shingles 0, a component of its
 own. Fewer words than `width`: the whole sequence is the one shingle. Repeated rows of one doc_id are equal or not like
-any two documents. Rows with null doc_id have null components unless linked with others. Shingles are compared by
+any two documents. Rows with null doc_id are
+linked with equal sets only, and have a null component without one. Shingles are compared by
 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_docs, rolling, stored, texts_of
+from .common import WordHashes, map_docs, rolling, sent_if_small, stored, texts_of
 from .components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -35,12 +34,12 @@ WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 FREQUENT = 64
 #: Frequent shingles that are sent to all tasks, the most frequent first; the rest keep their place, which is exact too.
 MOST_SENT = 1_000_000
+#: Frequencies, which only set the order, are counted over every SHARE-th text.
+SHARE = 16
 #: A region of more documents or shingles than these is joined in rounds over the cluster.
-REGION_DOCS, REGION_SHINGLES = 5_000, 8_000_000
+REGION_DOCS, REGION_SHINGLES = 5_000, 4_000_000
 #: Pivots of a round, and their shingles in all.
 PIVOTS, PIVOT_SHINGLES = 128, 4_000_000
-#: Rows of two numbers that are broadcast at most; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _words = WordHashes(4)
 
@@ -49,7 +48,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     hashes = _words.of((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
     if not len(hashes):
-        return hashes
+        return hashes.view(np.int64)
     return np.unique(rolling(hashes, min(width, len(hashes)))).view(np.int64)
 
 
@@ -203,6 +202,16 @@ def _round(open_: DataFrame, pivots: list[tuple[int, np.ndarray]], num: int, den
     return stored(links, "links"), stored(open_.join(settled.union(own).distinct(), "node", "left_anti"), "open")
 
 
+def _finer(sets: DataFrame, num: int, den: int, frequent: int) -> DataFrame:
+    """node and region of large regions' members, dealt anew by their rarest shingles within these regions."""
+    rows = sets.select("node", "n_shingles", F.explode("found").alias("shingle"))
+    rows = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")), "shingle")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("docs", "shingle"))
+    first = F.expr(f"n_shingles - cast(ceil({num} * n_shingles / {den}D - 1e-9) as long) + 1")
+    met = rows.withColumn("place", place).where(F.col("place") <= first).select("shingle", "node", "n_shingles")
+    return components(possible_links(met, num, den, frequent)).toDF("node", "region")
+
+
 def _large_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
     """node and component of the members of large regions."""
     open_, links = sets.select("node", "n_shingles", "found"), None
@@ -220,23 +229,36 @@ def _large_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
     return alone.join(joined.select("node"), "node", "left_anti").union(joined)
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, frequent: int = FREQUENT, region_docs: int = REGION_DOCS) -> DataFrame:
+def frequent_shingles(docs: DataFrame, width: int, frequent: int, share: int) -> np.ndarray:
+    """Shingles of about `frequent` distinct texts or more, sorted; the most frequent where there are too many to send."""
+
+    def make(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([np.empty(0, np.int64), *(shingles(t, width) for t in batch.column(0).to_pylist())]))})
+
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").distinct() if share > 1 else docs.select("text").distinct()
+    seen = part.mapInArrow(make, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
+    late = seen.where(F.col("docs") >= max(2, frequent // share)).orderBy(F.desc("docs"), "shingle").limit(MOST_SENT)
+    return np.sort(np.array([r[0] for r in late.select("shingle").collect()], np.int64))
+
+
+def _too_large(sets: DataFrame, region_docs: int) -> DataFrame:
+    sizes = sets.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    return stored(sizes.where((F.col("members") > region_docs) | (F.col("shingles") > REGION_SHINGLES)).select("region"), "large")
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, frequent: int = FREQUENT, region_docs: int = REGION_DOCS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
     docs = texts_of(docs)
-    spark = docs.sparkSession
-    plain = stored(sketches(docs, np.empty(0, np.int64), width, num, den), "sketches")
-    seen = plain.select(F.explode("first").alias("shingle"), "node").groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
-    late = seen.where(F.col("docs") > frequent).orderBy(F.desc("docs"), "shingle").limit(MOST_SENT).select("shingle")
-    late = np.sort(np.array([r[0] for r in late.collect()], np.int64))
-    again = sketches(docs, late, width, num, den) if len(late) else plain
-    met = again.select(F.explode("first").alias("shingle"), "node", "n_shingles").distinct()
+    plain = stored(sketches(docs, frequent_shingles(docs, width, frequent, share), width, num, den), "sketches")
+    classes = stored(plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+    # regions hold one row for each class
+    one = plain.join(sent_if_small(classes.select("node", F.col("rep").alias("doc_id"))), ["node", "doc_id"], "left_semi")
+    met = one.select("doc_id", F.explode("first").alias("shingle"), "node", "n_shingles").drop("doc_id")
     region = components(possible_links(met, num, den, frequent)).toDF("node", "region")
-    classes = plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     members = stored(classes.join(region, "node"), "members")
     # one representative text for each class within a region
-    wanted = members.select(F.col("rep").alias("doc_id"), "region", F.col("node").alias("wanted"))
-    if members.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = sent_if_small(members.select(F.col("rep").alias("doc_id"), "region", F.col("node").alias("wanted")))
     found = docs.join(wanted, "doc_id").select("doc_id", "text", "region", "wanted")
 
     def make(batches):
@@ -252,11 +274,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR
             })
 
     sets = stored(found.mapInArrow(make, "node long, region long, n_shingles long, found array<long>").dropDuplicates(["node"]), "sets")
-    sizes = sets.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
-    large = stored(sizes.where((F.col("members") > region_docs) | (F.col("shingles") > REGION_SHINGLES)).select("region"), "large")
-    joined = _small_regions(sets.join(large, "region", "left_anti"), num, den)
+    joined = _small_regions(sets.join(large := _too_large(sets, region_docs), "region", "left_anti"), num, den)
     if large.take(1):
-        joined = joined.union(_large_regions(sets.join(large, "region", "left_semi"), num, den))
+        rest = stored(sets.join(large, "region", "left_semi"), "rest")
+        again = stored(rest.drop("region").join(_finer(rest, num, den, frequent), "node"), "again")
+        joined = joined.union(_small_regions(again.join(large := _too_large(again, region_docs), "region", "left_anti"), num, den))
+        if large.take(1):
+            joined = joined.union(_large_regions(stored(again.join(large, "region", "left_semi"), "largest"), num, den))
     # a component's smallest doc_id
     whole = members.select("node", "rep").join(joined, "node")
     least = whole.groupBy("component").agg(F.min("rep").alias("least"))

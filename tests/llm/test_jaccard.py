@@ -43,12 +43,12 @@ def corpus(seed, n=160):
     return texts | {900: None, 901: "", 902: " \t\n", 903: "one two", 904: "ONE  two", 905: "x" * 5000, 906: "a b " * 4000, 907: "a b " * 4001}
 
 
-@pytest.mark.parametrize(("frequent", "region_docs", "pivots"), [(64, 5000, 128), (2, 5000, 128), (3, 4, 5)])
-def test_components_match_brute_force(spark, monkeypatch, frequent, region_docs, pivots):
+@pytest.mark.parametrize(("frequent", "region_docs", "pivots", "share"), [(64, 5000, 128, 16), (2, 5000, 128, 1), (3, 4, 5, 2)])
+def test_components_match_brute_force(spark, monkeypatch, frequent, region_docs, pivots, share):
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     texts = corpus(frequent)
     df = spark.createDataFrame([(d, t, "n", "f", "r") for d, t in texts.items()], SCHEMA)
-    rows = jaccard.jaccard_components(df, frequent=frequent, region_docs=region_docs).collect()
+    rows = jaccard.jaccard_components(df, frequent=frequent, region_docs=region_docs, share=share).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts) and len(rows) == len(texts)
 
 
