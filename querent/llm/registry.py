@@ -8,8 +8,11 @@ from .common import read
 from .fingerprint import edited_likeness
 from .jaccard import jaccard_components
 from .langid import identify
+from .lines import ORACLE as LINES_ORACLE
+from .lines import line_digests
 from .packing import pack_documents
 from .pii import personal_data
+from .secrets import secret_digests
 from .substring import substring_digests
 
 
@@ -37,6 +40,14 @@ def op5_bpe_speculate_verify(spark, sf_dir):
     return encoded_digests(read(spark, sf_dir, "documents"))
 
 
+def op6_line_template_tree(spark, sf_dir):
+    return line_digests(read(spark, sf_dir, "documents"))
+
+
+def op7_secret_forest(spark, sf_dir):
+    return secret_digests(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark, sf_dir):
     return identify(read(spark, sf_dir, "documents"))
 
@@ -45,5 +56,5 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op6_line_template_tree, op7_secret_forest, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {"op6_line_template_tree": LINES_ORACLE}
