@@ -27,7 +27,7 @@ WIDTH, GRAM = 50, 25
 #: Batches that a whole table is added in, and runs of one level that are compacted into one of the next.
 BATCHES, FANOUT = 3, 2
 #: Removed stretches that are broadcast with their documents at most.
-SENT_POSITIONS = 2_000_000
+SENT_STRETCHES = 1_000_000
 _SECOND_BASE = 0xD1342543DE82EF95
 _words = WordHashes(1)
 
@@ -114,7 +114,7 @@ class SubstringIndex:
             self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, stored(self._sorted(union), "run"))]
 
     def repeats(self, docs: DataFrame) -> DataFrame:
-        """doc_id, version and the starts of the windows that also start in a document of smaller doc_id."""
+        """doc_id, version, and begins and ends of the stretches of words that repeat a document of smaller doc_id."""
         shared = self.shared[0]
         for more in self.shared[1:]:
             shared = shared.union(more)
@@ -146,7 +146,19 @@ class SubstringIndex:
         found = texts.mapInArrow(windows, "one long, two long, doc_id long, version long, start int")
         first = found.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
         hits = found.join(first, ["one", "two"]).where("first < doc_id")
-        return hits.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+        starts = hits.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+
+        def stretches(batches):
+            for batch in batches:
+                begins, ends = [], []
+                for found in batch.column("starts"):
+                    at = found.values.to_numpy()
+                    apart = np.flatnonzero(np.diff(at) > width) + 1
+                    begins.append(at[np.append(0, apart)])
+                    ends.append(at[np.append(apart - 1, len(at) - 1)] + width)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "version": batch.column("version"), "begins": pa.array(begins, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32()))})
+
+        return starts.mapInArrow(stretches, "doc_id long, version long, begins array<int>, ends array<int>")
 
     def cleaned(self, docs: DataFrame) -> DataFrame:
         """Each row's doc_id, text of the kept words, and counts of all and of removed words."""
@@ -154,28 +166,25 @@ class SubstringIndex:
         copies = self.copies[0]
         for more in self.copies[1:]:
             copies = copies.union(more)
-        gone = gone.select("doc_id", "version", "starts", F.lit(False).alias("copy")).union(copies.select("doc_id", "version", F.lit(None).cast("array<int>"), F.lit(True)))
-        size = gone.agg(F.sum(F.greatest(F.lit(1), F.size("starts")))).first()[0] or 0
-        if size <= SENT_POSITIONS:  # counted; beyond it the texts are shuffled
+        none = F.lit(None).cast("array<int>")
+        gone = gone.withColumn("copy", F.lit(False)).union(copies.select("doc_id", "version", none, none, F.lit(True)))
+        size = gone.agg(F.sum(F.greatest(F.lit(1), F.size("begins")))).first()[0] or 0
+        if size <= SENT_STRETCHES:  # counted; beyond it the texts are shuffled
             gone = F.broadcast(gone)
-        joined = _keyed(docs).join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "starts", "copy")
-        width = self.width
+        joined = _keyed(docs).join(gone, ["doc_id", "version"], "left").select("doc_id", "text", "begins", "ends", "copy")
 
         def keep(batches):
             for batch in batches:
                 texts, total, removed = [], [], []
-                starts = batch.column("starts")
+                begins, ends = batch.column("begins"), batch.column("ends")
                 for k, (text, copy) in enumerate(zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True)):
                     words = words_of(text)
                     n = len(words)
                     if copy:
                         words = []
-                    elif starts[k].is_valid:
-                        edge, at = np.zeros(n + 1, np.int64), starts[k].values.to_numpy()
-                        edge[at] += 1
-                        np.subtract.at(edge, at + width, 1)
-                        covered = np.cumsum(edge)[:n] > 0
-                        words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
+                    elif begins[k].is_valid:
+                        edges = [0, *(x for pair in zip(begins[k].as_py(), ends[k].as_py(), strict=True) for x in pair), n]
+                        words = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
                     texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                     total.append(n)
                     removed.append(n - len(words))
