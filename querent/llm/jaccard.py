@@ -31,11 +31,11 @@ from .components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Shingles in more regions than this are frequent: they come last in the order, and their regions are not paired.
-FREQUENT = 64
+FREQUENT = 16
 #: Frequent shingles that are sent to all tasks, the most frequent first; the rest keep their place, which is exact too.
 MOST_SENT = 1_000_000
 #: Frequencies, which only set the order, are counted over every SHARE-th text.
-SHARE = 16
+SHARE = 4
 #: A region of more documents or shingles than these is joined in rounds over the cluster.
 REGION_DOCS, REGION_SHINGLES = 5_000, 4_000_000
 #: Pivots of a round, and their shingles in all.

@@ -43,7 +43,7 @@ def corpus(seed, n=160):
     return texts | {900: None, 901: "", 902: " \t\n", 903: "one two", 904: "ONE  two", 905: "x" * 5000, 906: "a b " * 4000, 907: "a b " * 4001}
 
 
-@pytest.mark.parametrize(("frequent", "region_docs", "pivots", "share"), [(64, 5000, 128, 16), (2, 5000, 128, 1), (3, 4, 5, 2)])
+@pytest.mark.parametrize(("frequent", "region_docs", "pivots", "share"), [(16, 5000, 128, 4), (2, 5000, 128, 1), (3, 4, 5, 2)])
 def test_components_match_brute_force(spark, monkeypatch, frequent, region_docs, pivots, share):
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     texts = corpus(frequent)
