@@ -1,4 +1,10 @@
 """Every registered query of the retrieval engine and its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from importlib import import_module
+
+from .base import ORACLE_SQL, QUERIES
+
+for _name in ("retrieval",):
+    import_module(f"querent.plans.{_name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
