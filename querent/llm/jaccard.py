@@ -30,8 +30,9 @@ from .common import WordHashes, map_docs, rolling, sent_if_small, stored, texts_
 from .components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
-#: Shingles in more regions than this are frequent: they come last in the order, and their regions are not paired.
-FREQUENT = 16
+#: Shingles of about this many texts are frequent: they come last in the order. The count is an estimate, so regions are
+#: paired up to SLACK times as many documents.
+FREQUENT, SLACK = 16, 4
 #: Frequent shingles that are sent to all tasks, the most frequent first; the rest keep their place, which is exact too.
 MOST_SENT = 1_000_000
 #: Frequencies, which only set the order, are counted over every SHARE-th text.
@@ -61,17 +62,18 @@ def reach(n: int, num: int, den: int) -> int:
     return n + (-num * n) // den + 1
 
 
-def first_shingles(found: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+def first_shingles(found: np.ndarray, frequent: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set in the global order: by level of frequency (0: not frequent), then by hash."""
     n = reach(len(found), num, den)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        late = frequent[at] == found
+        late = np.where(frequent[at] == found, level[at], 0)
         if late.any():
-            found = np.concatenate([found[~late], found[late]])
+            found = found[np.argsort(late, kind="stable")]
     return found[:n]
 
 
-def sketches(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: int) -> DataFrame:
+def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, num: int, den: int) -> DataFrame:
     """doc_id, node (the class of equal sets), n_shingles and the first shingles of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_SENT numbers at most
 
@@ -81,7 +83,7 @@ def sketches(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den: i
             "doc_id": doc_ids,
             "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-            "first": pa.array([first_shingles(s, shared.value, num, den) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+            "first": pa.array([first_shingles(s, *shared.value, num, den) if len(s) else [] for s in sets], pa.list_(pa.int64())),
         }
 
     return map_docs(docs, make, "doc_id long, node long, n_shingles long, first array<long>")
@@ -91,14 +93,15 @@ def possible_links(met: DataFrame, num: int, den: int, frequent: int) -> DataFra
     """Pairs of nodes that meet in enough regions, and stars within regions of frequent shingles."""
     counts = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     shared = stored(met.join(counts, "shingle"), "regions")
-    few = shared.where(F.col("docs") <= frequent).select("shingle", "node", F.col("n_shingles").alias("n"))
+    paired = SLACK * frequent
+    few = shared.where(F.col("docs") <= paired).select("shingle", "node", F.col("n_shingles").alias("n"))
     a, b = few.select("shingle", F.col("node").alias("u"), F.col("n").alias("nu")), few.select("shingle", F.col("node").alias("v"), F.col("n").alias("nv"))
     pairs = a.join(b, "shingle").where(f"u > v and {den} * least(nu, nv) >= {num} * greatest(nu, nv)")
     pairs = pairs.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("met"))
     overlap = F.expr(f"ceil({num} * (nu + nv) / {num + den}D - 1e-9)")
     needed = overlap - F.greatest(F.expr(f"ceil({num} * nu / {den}D - 1e-9)"), F.expr(f"ceil({num} * nv / {den}D - 1e-9)")) + 1
     pairs = pairs.where(F.col("met") >= needed).select("u", "v")
-    many = shared.where(F.col("docs") > frequent).select("shingle", "node")
+    many = shared.where(F.col("docs") > paired).select("shingle", "node")
     least = many.groupBy("shingle").agg(F.min("node").alias("v"))
     return pairs.union(many.join(least, "shingle").where("node <> v").select(F.col("node").alias("u"), "v").distinct())
 
@@ -229,8 +232,10 @@ def _large_regions(sets: DataFrame, num: int, den: int) -> DataFrame:
     return alone.join(joined.select("node"), "node", "left_anti").union(joined)
 
 
-def frequent_shingles(docs: DataFrame, width: int, frequent: int, share: int) -> np.ndarray:
-    """Shingles of about `frequent` distinct texts or more, sorted; the most frequent where there are too many to send."""
+def frequent_shingles(docs: DataFrame, width: int, frequent: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of about `frequent` distinct texts or more, sorted, with their levels (whole powers of two of the count);
+    the most frequent where there are too many to send. Levels keep what a few near copies share, however long, apart from
+    what all documents share."""
 
     def make(batches):
         for batch in batches:
@@ -239,7 +244,8 @@ def frequent_shingles(docs: DataFrame, width: int, frequent: int, share: int) ->
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").distinct() if share > 1 else docs.select("text").distinct()
     seen = part.mapInArrow(make, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
     late = seen.where(F.col("docs") >= max(2, frequent // share)).orderBy(F.desc("docs"), "shingle").limit(MOST_SENT)
-    return np.sort(np.array([r[0] for r in late.select("shingle").collect()], np.int64))
+    rows = np.array(sorted((r["shingle"], int(r["docs"]).bit_length()) for r in late.collect()), np.int64).reshape(-1, 2)
+    return rows[:, 0], rows[:, 1].astype(np.int8)
 
 
 def _too_large(sets: DataFrame, region_docs: int) -> DataFrame:
