@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLE_SQL, QUERIES
 
-for _name in ("retrieval", "guarding", "evidence"):
+for _name in ("retrieval", "guarding", "evidence", "grounding", "deciding", "ingestion"):
     import_module(f"querent.plans.{_name}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
