@@ -117,7 +117,7 @@ def covered_aspects(body: Column, wanted: Column) -> Column:
     return F.filter(wanted, lambda a: F.contains(low, a))
 
 
-_PACKED = "query_id long, group_no int, place int, tokens long, redundancy double, value double, coverage double, dropped boolean"
+_PACKED = "group_no int, place int, tokens long, redundancy double, value double, coverage double, dropped boolean"
 
 
 def pack_evidence(groups: DataFrame, budget: int) -> DataFrame:
@@ -150,7 +150,8 @@ def pack_evidence(groups: DataFrame, budget: int) -> DataFrame:
         coverage = round(len(seen) / total, 6) if total else 1.0
         return pd.DataFrame([(*r[:6], coverage, r[6]) for r in out], columns=["query_id", "group_no", "place", "tokens", "redundancy", "value", "coverage", "dropped"])
 
-    return groups.groupBy("query_id").applyInPandas(pack, _PACKED)
+    kind = groups.schema["query_id"].dataType.simpleString()
+    return groups.groupBy("query_id").applyInPandas(pack, f"query_id {kind}, {_PACKED}")
 
 
 def edge_weighted_place(rank: Column, n: Column) -> Column:

@@ -42,7 +42,7 @@ LADDER = ((1, 0.50), (2, 0.35), (3, 0.25), (4, 0.15), (5, 0.08), (6, 0.0))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(f"(?i){pattern}")
+    return text.rlike(f"(?iU){pattern}")
 
 
 def rule_fields(query: Column) -> dict[str, Column]:
@@ -92,7 +92,7 @@ def analysed(queries: DataFrame, text_col: str = "query_text") -> DataFrame:
 
 def entities(query: Column) -> Column:
     """Capitalised runs and identifiers, the first of each spelling."""
-    found = F.filter(F.regexp_extract_all(query, F.lit(ENTITY), F.lit(0)), lambda e: (F.length(e) >= 2) & ~F.lower(e).isin("the", "a", "an", "is", "are"))
+    found = F.filter(F.regexp_extract_all(query, F.lit(f"(?U){ENTITY}"), F.lit(0)), lambda e: (F.length(e) >= 2) & ~F.lower(e).isin("the", "a", "an", "is", "are"))
     return F.filter(found, lambda e, i: ~F.exists(F.slice(found, F.lit(1), i), lambda p: F.lower(p) == F.lower(e)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
@@ -13,11 +13,16 @@ _OWN: list[str] = []
 def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     """Writes df as Parquet under spark.checkpoint.dir (a temporary folder where it is unset) and reads it back."""
     spark = df.sparkSession
+    path = folder(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder of its own under the shared one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="querent-"))
         base = _OWN[0]
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

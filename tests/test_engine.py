@@ -1,0 +1,176 @@
+"""Behaviour of operators that SQL cannot express, and of edge cases."""
+
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from querent.functions import text
+from querent.operators import evidence, filters, fusion, grounding, guardrails, ingestion, intelligence, memory, parametric, retrieval
+
+
+def test_token_estimate_rounds_half_to_even(spark):
+    rows = spark.createDataFrame([("",), ("a" * 10,), ("a" * 6,), ("!",), ("漢字" * 7,)], "t string")
+    got = [r[0] for r in rows.select(text.token_estimate(F.col("t"))).collect()]
+    assert got == [0, 2, 2, 1, 5] and got == [ingestion.tokens_in(t) for t in ("", "a" * 10, "a" * 6, "!", "漢字" * 7)]
+
+
+def test_filters_refuse_what_they_do_not_know(spark):
+    for bad in ({"a": {"$near": 1}}, {"$xor": []}, {"a": {"$gt": None}}):
+        with pytest.raises(filters.FilterError):
+            filters.predicate(bad)
+    df = spark.createDataFrame([(1, "t1", "public"), (2, "t1", "secret"), (3, "t2", "public")], "id long, tenant_id string, acl_hash string")
+    assert [r.id for r in df.where(filters.scoped({"tenant_id": {"$exists": True}}, "t1", [])).collect()] == [1]
+    assert df.where(filters.predicate({})).count() == 3
+
+
+def test_redaction_keeps_the_right_most_of_overlapping_spans(spark):
+    rows = [("a@b.co and 123-45-6789",), ("call 555-123-4567 now",), (None,), ("4242 4242 4242 4242",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(guardrails.redactor()(F.col("t"))).collect()]
+    assert got == ["[REDACTED:EMAIL] and [REDACTED:SSN]", "call [REDACTED:PHONE] now", None, "[REDACTED:CARD]"]
+
+
+def test_leader_groups(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    pool = [("q", 1, 0.9, 0.3, 1, base), ("q", 2, 0.8, 0.9, 1, base + " lambda"), ("q", 3, 0.7, 0.5, 1, "other words here"), ("q", 4, 0.6, 0.5, 4, base.upper() + "!"), ("r", 5, 0.1, 0.1, 5, "")]
+    got = {(r.query_id, r.group_no): r for r in evidence.leader_groups(spark.createDataFrame(pool, "query_id string, chunk_id long, effective_score double, authority double, lineage_root long, text string")).collect()}
+    assert got["q", 1].members == [1, 2, 4] and got["q", 1].representative == 2 and got["q", 1].marker == "E1"
+    assert got["q", 2].members == [3] and got["q", 1].independent and not got["q", 2].independent and got["r", 1].members == [5]
+
+
+def test_packing_stays_in_budget_and_drops_what_does_not_fit(spark):
+    rows = [("q", 1, 50, 0.9, 1.0, 0.5, ["a", "b"], ["a"], 2), ("q", 2, 500, 0.99, 1.0, 0.5, ["c"], ["b"], 2), ("q", 3, 40, 0.8, 1.0, 0.5, ["a", "b"], ["a"], 2), ("q", 4, 30, 0.3, 1.0, 0.5, ["d"], ["b"], 2)]
+    schema = "query_id string, group_no int, tokens long, score double, authority double, freshness double, words array<string>, found array<string>, n_aspects int"
+    got = {r.group_no: r for r in evidence.pack_evidence(spark.createDataFrame(rows, schema), 120).collect()}
+    assert sum(r.tokens for r in got.values() if not r.dropped) <= 120 and got[2].dropped and got[2].place == -1
+    assert got[1].coverage == 1.0 and {got[1].redundancy, got[3].redundancy} == {0.0, 1.0}
+
+
+def test_lineage_roots_of_chains_and_cycles(spark):
+    edges = [(k, k - 1) for k in range(2, 40)] + [(101, 102), (102, 103), (103, 101), (104, 103)]
+    got = dict(evidence.lineage_roots(spark.createDataFrame(edges, "child long, parent long")).collect())
+    assert all(got[k] == 1 for k in range(2, 40)) and all(got[k] == 101 for k in (101, 102, 103, 104))
+
+
+def test_claims_take_markers_back(spark):
+    df = spark.createDataFrame([("a", "Records are kept long. [E1] They may be deleted later? Short. [E2][E3]")], "query_id string, answer string")
+    got = [(r.text, r.markers) for r in grounding.claims(df).orderBy("n").collect()]
+    assert got == [("Records are kept long. [E1]", ["E1"]), ("They may be deleted later?", []), ("Short. [E2][E3]", ["E2", "E3"])]
+
+
+def test_verification_prefers_cited_groups(spark):
+    claims = spark.createDataFrame([("q", 0, "the retention period is sixty days", ["E2"]), ("q", 1, "what now?", [])], "query_id string, n int, text string, markers array<string>")
+    groups = spark.createDataFrame([("q", "E1", 0, "retention period sixty days"), ("q", "E2", 1, "nothing alike")], "query_id string, marker string, place int, text string")
+    (r,) = grounding.verified(claims, groups).collect()
+    assert r.score == 0.0 and not r.entailed and r.marker is None
+
+
+def test_stance(spark):
+    rows = [("records are retained for 60 days", "records are retained for 30 days", "contradicts"), ("records are retained", "records are not retained", "contradicts"), ("records are retained", "records are retained here", "supports"), ("records are retained", "cats sleep", None)]
+    df = spark.createDataFrame(rows, "a string, b string, want string")
+    assert all(r.want == r.got for r in df.select("want", fusion.stance(fusion.stance_parts(F.col("a")), fusion.stance_parts(F.col("b"))).alias("got")).collect())
+
+
+def test_isotonic_fit_is_monotone_and_pools_violators(spark):
+    rng = np.random.default_rng(2)
+    rows = [("m", float(x), int(rng.random() < x)) for x in rng.random(400)] + [("one", 0.5, 1)]
+    knots = fusion.isotonic_fit(spark.createDataFrame(rows, "model string, p double, y int"), "model", "p", "y").orderBy("model", "k").collect()
+    y = [r.y for r in knots if r.model == "m"]
+    assert y == sorted(y) and len(y) < 100 and [(r.x, r.y) for r in knots if r.model == "one"] == [(0.5, 1.0)]
+    small = spark.createDataFrame([("m", 0.1, 1), ("m", 0.2, 0), ("m", 0.3, 1)], "model string, p double, y int")
+    got = fusion.isotonic_fit(small, "model", "p", "y").orderBy("k").collect()
+    assert [(round(r.x, 4), r.y) for r in got] == [(0.15, 0.5), (0.3, 1.0)]
+
+
+def test_markdown(spark):
+    raw = "intro line\nmore\n# One\n```\ncode # not a heading\n\n```\n## Two\n- item\n> said\n| a | b |\n|---|---|\n| 1 | 2 |\n4.2 Keep it.\n# Three\n```\nopen"
+    got = [(r.kind, r.text, r.heading_path) for r in ingestion.markdown_blocks(spark.createDataFrame([(1, raw)], "doc_id long, text string")).orderBy("block_no").collect()]
+    assert got == [
+        ("paragraph", "intro line more", []), ("heading", "One", []), ("code", "code # not a heading\n", ["One"]), ("heading", "Two", ["One"]), ("list_item", "item", ["One", "Two"]), ("quote", "said", ["One", "Two"]),
+        ("table_header", "| a | b |", ["One", "Two"]), ("table_header", "| 1 | 2 |", ["One", "Two"]), ("clause", "4.2 Keep it.", ["One", "Two"]), ("heading", "Three", []), ("code", "open", ["Three"]),
+    ]
+
+
+def test_html(spark):
+    page = "<title>no</title><h1>A</h1>loose<p>x <b>y</b><script>'</p>'</script> z</p><nav><p>skip</p></nav><ul><li>one<li>two</li></ul><div>bare</div><h2>B</h2><p>Section 3 applies</p>"
+    got = [(r.kind, r.text, r.heading_path) for r in ingestion.html_blocks(spark.createDataFrame([(1, page)], "doc_id long, html string")).orderBy("block_no").collect()]
+    assert got == [("heading", "A", []), ("paragraph", "x y z", ["A"]), ("list_item", "one", ["A"]), ("list_item", "two", ["A"]), ("heading", "B", ["A"]), ("clause", "Section 3 applies", ["A", "B"])]
+
+
+def test_recursive_chunks(spark):
+    said = "\n\n".join(" ".join(f"Word{k} goes here." for k in range(j, j + 60)) for j in range(0, 300, 60)) + "x" * 5000
+    rows = ingestion.recursive_chunks(spark.createDataFrame([(1, said), (2, "short"), (3, ""), (4, None)], "doc_id long, text string"), 100).orderBy("doc_id", "chunk_no").collect()
+    assert [r.text for r in rows if r.doc_id == 2] == ["short"] and not [r for r in rows if r.doc_id in (3, 4)]
+    pieces = ingestion.cut_text(said, 100)
+    assert all(ingestion.tokens_in(p) <= 100 for p in pieces) and re.sub(r"\s", "", "".join(pieces)).count("Word") == 300
+    assert [r.text for r in rows if r.doc_id == 1][1].endswith(pieces[1])
+    with pytest.raises(ValueError):
+        ingestion.recursive_chunks(spark.createDataFrame([(1, said)], "doc_id long, text string"), 100, 0.5)
+
+
+def test_structure_chunks(spark):
+    raw = "# A\n" + "Sentence one is here. " * 30 + "\n\n# B\ntiny\n\n# C\n" + "Another sentence follows. " * 300
+    blocks = ingestion.markdown_blocks(spark.createDataFrame([(1, raw)], "doc_id long, text string"))
+    rows = ingestion.structure_chunks(blocks, 60, 120, 40, 300).orderBy("chunk_no").collect()
+    assert rows[0].heading_path == ["A"] and all(r.text.strip() not in ("A", "B", "C") for r in rows)
+    assert any(r.text.startswith("B\n\ntiny\n\nC") for r in rows) and all(r.tokens <= 140 for r in rows)
+    assert any(r.parent_text and r.parent_text.endswith("[…]") for r in rows)
+
+
+def test_hashed_vectors(spark):
+    rows = {r.doc_id: np.array(r.vector) for r in ingestion.hashed_vectors(spark.createDataFrame([(1, "Escalate now"), (2, "escalation"), (3, "")], "doc_id long, text string"), 64).collect()}
+    v = np.zeros(64)
+
+    def put(token, w):
+        n = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+        v[n % 64] += w if n >> 63 else -w
+
+    for t in ("escalate", "now"):
+        put(t, 1.0)
+    for k in range(5):
+        put("escalate"[k : k + 4], 0.35)
+    put("__document__", 0.1)
+    assert np.allclose(rows[1], v / np.linalg.norm(v)) and abs(np.linalg.norm(rows[3]) - 1) < 1e-9 and rows[1] @ rows[2] > 0.2
+
+
+def test_rejections(spark):
+    rows = spark.createDataFrame([("  ",), ("Page 3 of 9",), ("few words",), ("enough words to be kept " * 3,)], "t string")
+    assert [r[0] for r in rows.select(ingestion.rejection(F.col("t"))).collect()] == ["empty", "too_short", "too_short", None]
+
+
+def test_greeting_and_routing(spark):
+    rows = spark.createDataFrame([(1, "Hello!"), (2, "what is our current status right now")], "query_id long, query_text string")
+    got = {r.query_id: r for r in intelligence.analysed(rows).collect()}
+    assert got[1].intent == "conversational" and got[1].coverage == 1.0 and got[2].requires_live_data and got[2].volatility == "realtime"
+
+
+def test_memory_empty_selector_forgets_nothing(spark):
+    items = spark.createDataFrame([(1, 5)], "item_id long, created_at_ms long")
+    assert memory.forgotten(items, {}).count() == 1 and memory.forgotten(items, {"item_id": 1}).count() == 0
+
+
+def test_leader_clusters_depend_on_order_of_ids(spark):
+    rows = [("d", 1, [1.0, 0.0]), ("d", 2, [0.9, 0.1]), ("d", 3, [0.0, 1.0]), ("d", 4, [0.7, 0.7]), ("e", 5, [0.0, 0.0])]
+    got = {r.passage_id: r.cluster for r in parametric.leader_clusters(spark.createDataFrame(rows, "domain string, passage_id long, vector array<double>"), 0.9).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 2, 5: 0}
+
+
+def test_fusion_of_ranks_rewards_agreement(spark):
+    legs = spark.createDataFrame([("q", 1, "a", 0, 1.0, 0.5), ("q", 1, "b", 1, 1.0, 0.4), ("q", 2, "a", 1, 1.0, 0.9)], "query_id string, chunk_id long, source string, rank int, weight double, effective_score double")
+    got = {r.chunk_id: r for r in retrieval.reciprocal_rank_fusion(legs).collect()}
+    assert got[1].fused_score == round(1 / 61 + 1 / 62, 8) > got[2].fused_score and got[1].rank_by_leg == {"a": 0, "b": 1}
+
+
+def test_results_do_not_depend_on_the_number_of_partitions(spark):
+    from querent.plans import registry
+
+    sf, before = "/root/testdata/sf0.001", spark.conf.get("spark.sql.shuffle.partitions")
+    for name in ("rerank_overlap", "near_dup_pairs", "drift_monitor"):
+        seen = []
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(map(repr, registry.QUERIES[name](spark, sf).collect())))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert seen[0] == seen[1]
