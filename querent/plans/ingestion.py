@@ -10,13 +10,13 @@ from querent.sources import catalog
 from . import base
 from .base import query
 
-_MARKED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, chr(10), chr(10) || chr(10) || '# Part' || chr(10), 'g') WHEN doc_id % 3 = 1 THEN regexp_replace(text, chr(10), chr(10) || chr(10) || 'Section 4.2 says' || chr(10), 'g') ELSE text END AS text FROM documents"
+_MARKED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, chr(10), chr(10) || chr(10) || '# Part' || chr(10), 'g') WHEN doc_id % 3 = 1 THEN regexp_replace(text, chr(10), chr(10) || chr(10) || 'section 4.2 says' || chr(10), 'g') ELSE text END AS text FROM documents"
 
 
 def marked(spark, sf_dir):
     """Documents with headings or clauses put between their lines, as the tables hold neither."""
     n = F.col("doc_id") % 3
-    made = F.when(n == 0, F.replace("text", F.lit("\n"), F.lit("\n\n# Part\n"))).when(n == 1, F.replace("text", F.lit("\n"), F.lit("\n\nSection 4.2 says\n"))).otherwise(F.col("text"))
+    made = F.when(n == 0, F.replace("text", F.lit("\n"), F.lit("\n\n# Part\n"))).when(n == 1, F.replace("text", F.lit("\n"), F.lit("\n\nsection 4.2 says\n"))).otherwise(F.col("text"))
     return catalog.table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
 
 

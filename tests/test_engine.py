@@ -94,9 +94,9 @@ def test_markdown(spark):
 
 
 def test_html(spark):
-    page = "<title>no</title><h1>A</h1>loose<p>x <b>y</b><script>'</p>'</script> z</p><nav><p>skip</p></nav><ul><li>one<li>two</li></ul><div>bare</div><h2>B</h2><p>Section 3 applies</p>"
+    page = "<title>no</title><h1>A</h1>loose<p>x <b>y</b><script>'</p>'</script> z</p><nav><p>skip</p></nav><ul><li>one<li>two</li></ul><div>bare</div><h2>B</h2><p>section 3 applies</p>"
     got = [(r.kind, r.text, r.heading_path) for r in ingestion.html_blocks(spark.createDataFrame([(1, page)], "doc_id long, html string")).orderBy("block_no").collect()]
-    assert got == [("heading", "A", []), ("paragraph", "x y z", ["A"]), ("list_item", "one", ["A"]), ("list_item", "two", ["A"]), ("heading", "B", ["A"]), ("clause", "Section 3 applies", ["A", "B"])]
+    assert got == [("heading", "A", []), ("paragraph", "x y z", ["A"]), ("list_item", "one", ["A"]), ("list_item", "two", ["A"]), ("heading", "B", ["A"]), ("clause", "section 3 applies", ["A", "B"])]
 
 
 def test_recursive_chunks(spark):
