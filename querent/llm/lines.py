@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sent_if_small, stored
 
 DEPTH, MIN_TEXTS = 4, 5
 #: Places out of a hundred that must agree with the template.
@@ -24,6 +24,8 @@ ALIKE = 60
 FIELD = "<*>"
 #: Dropped line numbers that are broadcast with their documents at most.
 SENT_LINES = 2_000_000
+#: Templates (of a line's length each) that are broadcast at most.
+MOST_TEMPLATES = 20_000
 _GAP = "[ \\t\\r\\f\\x0B]+"
 _ENDS = " \t\r\f\x0b"
 
@@ -54,12 +56,15 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     usual = once.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     usual = usual.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("total"))
     usual = usual.select("leaf", F.struct("place", F.when(F.expr("2 * top.n >= total"), F.col("top.token")).alias("token")).alias("part"))
+    # templates and verdicts are stored, so that a leaf that holds many of all lines can be split where lines meet them
     template = usual.groupBy("leaf").agg(F.sort_array(F.collect_list("part")).alias("parts")).select("leaf", F.col("parts.token").alias("template"))
+    template = sent_if_small(stored(template, "templates"), MOST_TEMPLATES)
     agree = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
     follows = found.join(template, "leaf").where(agree * 100 >= F.size("tokens") * ALIKE).select("leaf", "doc_id", "version", "line")
     follows = stored(follows, "follows")
     recurring = follows.select("leaf", "version", "doc_id").groupBy("leaf", "version").agg(F.min("doc_id").alias("doc_id"))
     recurring = recurring.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("first")).where(F.col("texts") >= min_texts)
+    recurring = sent_if_small(stored(recurring.select("leaf", "first"), "recurring"))
     return follows.join(recurring, "leaf").where("doc_id > first").select("doc_id", "version", "line")
 
 
