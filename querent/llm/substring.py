@@ -145,7 +145,8 @@ class SubstringIndex:
 
         found = texts.mapInArrow(windows, "one long, two long, doc_id long, version long, start int")
         first = found.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-        hits = found.join(first, ["one", "two"]).where("first < doc_id")
+        # stored, so that a window that very many documents share can be split where it meets its first document
+        hits = found.join(stored(first, "firsts"), ["one", "two"]).where("first < doc_id")
         starts = hits.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
         def stretches(batches):
