@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, map_docs, small_batches, stored, texts_of
+from .common import BROADCAST_ROWS, map_docs, sent_if_small, small_batches, stored, texts_of
 
 #: Splitters are approximate quantiles of doc_id with this relative error of a part.
 _ACCURACY = 10
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     """`hashed` (stored; has doc_id and fingerprint) with a suffix where unequal bytes share a bucket."""
     buckets = hashed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    buckets = sent_if_small(stored(buckets, "several"))
     several = stored(hashed.join(buckets, "fingerprint", "left_semi").where("doc_id is not null").select("doc_id", "fingerprint").distinct(), "buckets")
     if several.count() <= BROADCAST_ROWS:  # counted; beyond it the texts are shuffled
         several = F.broadcast(several)
