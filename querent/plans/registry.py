@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLE_SQL, QUERIES
 
-for _name in ("ingestion", "guarding", "retrieval", "evidence", "grounding", "deciding", "evaluating", "asking", "remembering", "learning", "streaming"):
+for _name in ("ingestion", "guarding", "retrieval", "evidence", "grounding", "deciding", "evaluating", "asking", "remembering", "learning", "serving", "streaming"):
     import_module(f"querent.plans.{_name}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -174,3 +174,26 @@ def test_results_do_not_depend_on_the_number_of_partitions(spark):
             seen.append(sorted(map(repr, registry.QUERIES[name](spark, sf).collect())))
         spark.conf.set("spark.sql.shuffle.partitions", before)
         assert seen[0] == seen[1]
+
+
+def test_memory_trim_skips_and_goes_on(spark):
+    from querent.operators import serving
+
+    rows = [("s", 1, 0.9, 1, "x" * 40), ("s", 2, 0.8, 2, "y" * 400), ("s", 3, 0.7, 3, "z" * 20)]
+    (r,) = serving.trimmed_memory(spark.createDataFrame(rows, "session_id string, item_id long, salience double, created_at_ms long, text string"), "session_id", 20).collect()
+    assert r.kept == [1, 3] and r.used == 15
+
+
+def test_corpus_and_cases_from_files(spark, tmp_path):
+    from querent.sources import files
+
+    (tmp_path / "t1" / "public").mkdir(parents=True)
+    (tmp_path / "t1" / "public" / "doc-1.md").write_text("# Title\n\ntenant: t9\n")
+    (r,) = files.markdown_corpus(spark, str(tmp_path)).collect()
+    assert (r.tenant_id, r.acl_hash, r.document_id, r.source_id, r.text) == ("t1", "public", "doc-1", "kb.t1", "# Title\n\ntenant: t9\n")
+    (tmp_path / "cases.jsonl").write_text('# comment\n\n{"case_id": "a", "query": "q", "expect_abstain": true}\n{"case_id": "b", "query": "r", "tenant_id": "t2"}\n')
+    got = {r.case_id: r.tenant_id for r in files.cases(spark, str(tmp_path / "cases.jsonl")).collect()}
+    assert got == {"a": "tenant-local", "b": "t2"}
+    (tmp_path / "bad.jsonl").write_text("{not json\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        files.cases(spark, str(tmp_path / "bad.jsonl")).collect()
