@@ -24,9 +24,12 @@ def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str = "text", b
     words = classes.select("id", *within, F.size("words").alias("n"), F.explode("words").alias("word"))
     rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id", *within).orderBy("df", "word"))
-    first = words.join(rare, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", *within, "n", "word")
+    first = words.join(rare, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", *within, "n", "word", "place")
     a, b = first.alias("a"), first.alias("b")
     cond = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9)
+    # a pair's first common word says how much can still be shared; a pair that fails there fails altogether
+    needed = (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-6
+    cond = cond & (F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1 >= needed)
     for c in within:
         cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     near = a.join(b, cond).select(*[F.col(f"a.{c}").alias(c) for c in within], F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from querent.functions import text
 from querent.operators.guardrails import BOILERPLATE
+from querent.sources.shared import spread
 
 FENCE, HEADING, LIST_ITEM, QUOTE = r"^\s*```", r"^(#{1,6})\s+(.*)$", r"^\s*(?:[-*+]|\d+[.)])\s+(.*)$", r"^\s*>\s?(.*)$"
 TABLE_ROW, TABLE_DIVIDER = r"^\s*\|.*\|\s*$", r"^\s*\|[\s:|-]+\|\s*$"
@@ -151,7 +152,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "block_no", "kind", "level", "text"])
 
-    return with_heading_paths(pages.select("doc_id", "html").mapInArrow(parse, "doc_id long, block_no int, kind string, level int, text string"))
+    return with_heading_paths(spread(pages.select("doc_id", "html")).mapInArrow(parse, "doc_id long, block_no int, kind string, level int, text string"))
 
 
 def document_types(docs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -175,15 +176,22 @@ def chunk_strategy(doc_type: Column, headings: Column) -> Column:
     return F.when((doc_type == "structured_prose") & (headings >= 2), "structure_aware").otherwise("recursive_character")
 
 
-_PLAIN = re.compile(r"[A-Za-z0-9]|[^\S　-鿿]")
+_PLAIN = re.compile(r"[A-Za-z0-9]+|[^\S　-鿿]")
+
+
+def _weight(said: str) -> tuple[int, int]:
+    """Plain and dense characters; weights of parts add up to that of the whole."""
+    dense = len(_PLAIN.sub("", said))
+    return len(said) - dense, dense
+
+
+def _estimate(plain: int, dense: int) -> int:
+    return max(1, round(plain / 4.0 + dense / 2.8)) if plain + dense else 0
 
 
 def tokens_in(said: str) -> int:
     """The token estimate of functions.text, for use inside Python tasks."""
-    if not said:
-        return 0
-    plain = len(_PLAIN.findall(said))
-    return max(1, round(plain / 4.0 + (len(said) - plain) / 2.8))
+    return _estimate(*_weight(said))
 
 
 def _filled(parts, limit, glue):
@@ -274,14 +282,25 @@ def cut_text(said: str, target: int, separators=SEPARATORS) -> list[str]:
     at = next((k for k, s in enumerate(separators) if s in said), None)
     if at is None:
         return [p for k in range(0, len(said), target * 4) if (p := said[k : k + target * 4]).strip()]
-    glue, out, held = separators[at], [], None
-    for part in [*said.split(glue), None]:
-        grown = part if not held else None if part is None else held + glue + part
-        if held and (part is None or tokens_in(grown) > target):
-            # a piece that is one part too long has none of this separator left, so it is cut at a finer one
-            out += cut_text(held, target, separators)
-            grown = part
-        held = grown
+    glue, out, run, weight = separators[at], [], [], (0, 0)
+    between = _weight(glue)
+
+    def close():
+        # a run that is one part too long has none of this separator left, so it is cut at a finer one
+        out.extend(cut_text(glue.join(run), target, separators))
+
+    for part in said.split(glue):
+        own = _weight(part)
+        grown = (weight[0] + between[0] + own[0], weight[1] + between[1] + own[1]) if sum(weight) else own
+        if sum(weight) and _estimate(*grown) > target:
+            close()
+            run, grown = [], own
+        if sum(weight) == 0:
+            run = []  # parts before the first that isn't empty leave no trace
+        run.append(part)
+        weight = grown
+    if sum(weight):
+        close()
     return [p for p in out if p.strip()]
 
 
@@ -301,7 +320,7 @@ def recursive_chunks(docs: DataFrame, target: int = RECURSIVE_TARGET, overlap: f
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["doc_id", "chunk_no", "text", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(chunk, "doc_id long, chunk_no int, text string, tokens long")
+    return spread(docs.select("doc_id", "text")).mapInArrow(chunk, "doc_id long, chunk_no int, text string, tokens long")
 
 
 def rejection(said: Column, least: int = LEAST_CHUNK) -> Column:
@@ -349,4 +368,4 @@ def hashed_vectors(rows: DataFrame, dims: int = 256, purpose: str = "document")
                 out.append((v / norm if norm else v).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "vector"])
 
-    return rows.select("doc_id", "text").mapInArrow(embed, "doc_id long, vector array<double>")
+    return spread(rows.select("doc_id", "text")).mapInArrow(embed, "doc_id long, vector array<double>")

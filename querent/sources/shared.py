@@ -26,3 +26,10 @@ def folder(spark: SparkSession, tag: str) -> str:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="querent-"))
         base = _OWN[0]
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows anew where a scan has fewer parts than there are cores, so that a small file keeps all of them busy in
+    a Python step; a scan of many files stays as it is and shuffles nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
