@@ -237,18 +237,20 @@ def word_bpe(path: str) -> WordBpe:
 
 
 class Encoder:
-    """Encodes and decodes texts; keeps the ids of words seen lately."""
+    """Encodes and decodes texts; keeps the ids of words seen lately, in two generations of WORDS_KEPT words at most."""
 
     def __init__(self, path: str):
-        self.bpe, self.known, self.merged_words, self.new_words = word_bpe(path), {}, 0, 0
+        self.bpe, self.known, self.older, self.merged_words, self.new_words = word_bpe(path), {}, {}, 0, 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         bpe, split = self.bpe, [self.bpe.segments(t) for t in texts]
-        new = {w for segments in split for s in segments if not (s and s[0] == "") for w in s} - self.known.keys()
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = {w for segments in split for s in segments if not (s and s[0] == "") for w in s}
-        fresh = sorted(new)
+        here = {w for segments in split for s in segments if not (s and s[0] == "") for w in s}
+        if len(self.known) + len(here) > WORDS_KEPT:
+            self.known, self.older = {}, self.known
+        new = here - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        fresh = sorted(new - again)
         ids, failed = bpe.encode_words(fresh)
         self.merged_words, self.new_words = self.merged_words + failed, self.new_words + len(fresh)
         self.known.update(zip(fresh, (x.tobytes() for x in ids), strict=True))
