@@ -56,5 +56,29 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+SUBSTRING_ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w WHERE len(ws) >= 50),
+h AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM h JOIN f USING (h) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n, 0)::bigint AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+JACCARD_ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda k: array_to_string(ws[k:k + 3], ' '))) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS shingle FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * k >= 85 * (na + nb - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(sh)::bigint AS n_shingles, m AS component_id FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op6_line_template_tree, op7_secret_forest, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op6_line_template_tree": LINES_ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_ORACLE, "op6_line_template_tree": LINES_ORACLE, "op10_jaccard_join": JACCARD_ORACLE}
