@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from querent.functions import text
 from querent.sources.catalog import CLOCK_MS, DAY_MS
+from querent.sources.shared import cut
 
 TOPICAL, SURFACE_BELOW, CORROBORATION_FLOOR, DEGRADED_CONFIDENCE = 0.6, 0.15, 0.4, 0.5
 HIGH, MODERATE, PARAMETRIC_AUTHORITY = 0.7, 0.4, 0.55
@@ -40,8 +41,19 @@ def source_conflicts(groups: DataFrame) -> DataFrame:
     """The first contradiction of each pair of lineages in a query's groups (query_id, place, lineage_root, authority, text)."""
     parts = F.filter(F.transform(text.sentences(F.col("text")), lambda s: F.trim(s)), lambda s: F.length(s) > 12)
     rows = groups.select("query_id", "place", "lineage_root", "authority", F.posexplode(parts).alias("n", "s")).withColumn("p", stance_parts(F.col("s")))
+    rows = cut(rows, "sentences")  # read four times below
+    # sentences on one topic share a word among the rarest of the first, so only such pairs are made
+    key = ["query_id", "place", "n"]
+    words = rows.select(*key, F.size("p.words").alias("size"), F.explode("p.words").alias("word"))
+    seen = words.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("df", "word"))
+    first = words.join(seen, ["query_id", "word"]).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * TOPICAL - 1e-9) + 1)
+    x, y = first.alias("x"), words.alias("y")
+    met = x.join(y, (F.col("x.query_id") == F.col("y.query_id")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.place") < F.col("y.place")))
+    met = met.select("x.query_id", F.col("x.place").alias("xp"), F.col("x.n").alias("xn"), F.col("y.place").alias("yp"), F.col("y.n").alias("yn")).distinct().alias("m")
     a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.place") < F.col("b.place")) & (F.col("a.lineage_root") != F.col("b.lineage_root")))
+    pairs = met.join(a, (F.col("m.query_id") == F.col("a.query_id")) & (F.col("m.xp") == F.col("a.place")) & (F.col("m.xn") == F.col("a.n")))
+    pairs = pairs.join(b, (F.col("m.query_id") == F.col("b.query_id")) & (F.col("m.yp") == F.col("b.place")) & (F.col("m.yn") == F.col("b.n")) & (F.col("a.lineage_root") != F.col("b.lineage_root")))
     pairs = pairs.where(stance(F.col("a.p"), F.col("b.p")) == "contradicts")
     gap = F.abs(F.col("a.authority") - F.col("b.authority"))
     rows = pairs.select(F.col("a.query_id").alias("query_id"), F.col("a.place").alias("left_place"), F.col("b.place").alias("right_place"), F.col("a.lineage_root").alias("left_root"), F.col("b.lineage_root").alias("right_root"), F.col("a.s").alias("left_text"), F.col("b.s").alias("right_text"), F.col("a.n").alias("ln"), F.col("b.n").alias("rn"), F.when(F.round(gap, 6) < SURFACE_BELOW, "surfaced").otherwise("authority_wins").alias("resolution"))
