@@ -4,7 +4,9 @@ The tree has a fixed depth: a line goes by its number of tokens and its first DE
 are variable fields. Within a leaf the token that most lines have at a place belongs to the template if at least half
 of the leaf's lines have it; other places are variable fields too. A line follows its leaf's template if it has the
 template's tokens at ALIKE of its places or more. A template that lines of MIN_TEXTS different texts follow is
-recurring: its lines are dropped, except in the document of the smallest doc_id.
+recurring: its lines are dropped, except in the document of the smallest doc_id. This is the rule of op6's query, which its
+SQL twin holds (recurring_lines). line_deduplicated() and the pipeline keep several templates for each leaf and drop only
+lines that agree at every fixed place (repeated_lines).
 
 Documents of equal text count once, so copies alone make no template. Lines are split at line feeds; blank lines are
 kept and never counted. Null text stays null (no lines). Rows with null doc_id count for templates, but are left as
@@ -68,6 +70,59 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     return follows.join(recurring, "leaf").where("doc_id > first").select("doc_id", "version", "line")
 
 
+def _templates(lines: DataFrame, words: DataFrame, kept: DataFrame, min_texts: int) -> DataFrame:
+    """leaf, same and template of the distinct lines whose kept words make one, and in which each word field varies."""
+    masks = kept.groupBy("leaf", "same").agg(F.bit_xor("code").alias("mask"), F.count(F.lit(1)).alias("n")).join(lines, ["leaf", "same"])
+    masks = masks.where(F.col("n") * 100 >= F.col("size") * ALIKE)
+    masks = stored(masks.select("leaf", "same", F.col("mask").bitwiseXOR(F.col("base")).alias("template")), "masks")
+    fields = words.join(kept.select("leaf", "same", "place"), ["leaf", "same", "place"], "left_anti").join(masks, ["leaf", "same"])
+    values = fields.select("leaf", "template", "place", "code").distinct().groupBy("leaf", "template", "place").agg(F.count(F.lit(1)).alias("values"))
+    steady = values.where(F.col("values") < min_texts).select("leaf", "template").distinct()
+    return stored(masks.join(sent_if_small(stored(steady, "steady")), ["leaf", "template"], "left_anti"), "templates")
+
+
+def repeated_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """doc_id, version and number of each line of a recurring template outside its first document, with several templates
+    for each leaf.
+
+    Tokens with a digit are fields. A word is fixed if min_texts texts of the leaf have it at this place, unless min_texts
+    such words or more stand there in lines that are the same otherwise; other words are fields. Lines with the same fixed
+    words and fields at the same places are one template, if ALIKE of the places are fixed and min_texts different words or
+    more stand at each place that is a word's field; else only equal lines are. So a line agrees with its template at every
+    fixed place, and a text counts once for each template."""
+    lines = _lines(_keyed(docs))
+    often = lines.select("leaf", "version").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts)
+    often = stored(often.select("leaf"), "leaves")
+    words = F.array_compact(F.transform("tokens", lambda t, i: F.when(~t.rlike("[0-9]"), F.struct(i.alias("place"), F.xxhash64(i, t).alias("code")))))
+    base = F.aggregate(F.transform("tokens", lambda t, i: F.when(t.rlike("[0-9]"), F.xxhash64(i, F.lit(FIELD))).otherwise(F.lit(0))), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    found = lines.join(often, "leaf", "left_semi").select("leaf", "doc_id", "version", "line", F.xxhash64("tokens").alias("same"), F.size("tokens").alias("size"), base.alias("base"), words.alias("words"))
+    found = stored(found, "lines")
+    # words are counted for each text, then masks are made once for each distinct line; no group is gathered
+    seen = found.groupBy("leaf", "same", "version").agg(F.first("words").alias("words")).select("leaf", "version", F.explode("words.code").alias("code"))
+    fixed = seen.distinct().groupBy("leaf", "code").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts)
+    fixed = sent_if_small(stored(fixed.select("leaf", "code"), "fixed"))
+    distinct = stored(found.groupBy("leaf", "same").agg(F.first("size").alias("size"), F.first("base").alias("base"), F.first("words").alias("words")), "distinct")
+    words = stored(distinct.select("leaf", "same", F.explode("words").alias("x")).select("leaf", "same", "x.place", "x.code"), "words")
+    distinct = distinct.drop("words")
+    usual = stored(words.join(fixed, ["leaf", "code"], "left_semi"), "usual")
+    masks = usual.groupBy("leaf", "same").agg(F.bit_xor("code").alias("mask")).join(distinct, ["leaf", "same"])
+    rests = usual.join(masks.select("leaf", "same", F.col("mask").bitwiseXOR(F.col("base")).alias("mask")), ["leaf", "same"])
+    rests = stored(rests.withColumn("rest", F.col("mask").bitwiseXOR(F.col("code"))).drop("mask"), "rests")
+    varied = rests.select("leaf", "rest", "place", "code").distinct().groupBy("leaf", "rest", "place").agg(F.count(F.lit(1)).alias("values"))
+    varied = sent_if_small(stored(varied.where(F.col("values") >= min_texts).select("leaf", "rest", "place"), "varied"))
+    kept = stored(rests.join(varied, ["leaf", "rest", "place"], "left_anti").drop("rest"), "kept")
+    templates = _templates(distinct, words, kept, min_texts)
+    # lines that are left without a template try again with all usual words
+    alone = lambda rows: rows.join(templates.select("leaf", "same"), ["leaf", "same"], "left_anti")
+    templates = templates.select("leaf", "same", "template").union(_templates(distinct, alone(words), alone(usual), min_texts).select("leaf", "same", "template"))
+    follows = found.select("leaf", "doc_id", "version", "line", "same").join(sent_if_small(templates), ["leaf", "same"], "left")
+    follows = stored(follows.select("leaf", F.coalesce("template", "same").alias("template"), "doc_id", "version", "line"), "follows")
+    recurring = follows.groupBy("leaf", "template", "version").agg(F.min("doc_id").alias("doc_id"))
+    recurring = recurring.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("texts"), F.min("doc_id").alias("first")).where(F.col("texts") >= min_texts)
+    recurring = sent_if_small(stored(recurring.select("leaf", "template", "first"), "recurring"))
+    return follows.join(recurring, ["leaf", "template"]).where("doc_id > first").select("doc_id", "version", "line")
+
+
 def _with_gone(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs as `row`, the lines of the text as `parts` and the numbers of those to drop as `gone`."""
     lists = stored(dropped.groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone")), "dropped")
@@ -85,8 +140,8 @@ def _kept():
 
 
 def line_deduplicated(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """The same rows and columns, recurring lines dropped."""
-    found = _with_gone(docs, recurring_lines(docs, min_texts))
+    """The same rows and columns, lines of recurring templates dropped (repeated_lines)."""
+    found = _with_gone(docs, repeated_lines(docs, min_texts))
     return found.select(*[_kept().alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -83,3 +83,33 @@ def test_sql_twin(spark):
     assert got == sorted(con.sql(lines.ORACLE).fetchall())
     assert sum(r[2] for r in got) > 100
     assert hashlib.sha256(b"").hexdigest() not in {r[3] for r in got if r[1] == 1 and r[2] == 0}
+
+
+def kept(spark, rows):
+    return {r.doc_id: r.text for r in lines.line_deduplicated(spark.createDataFrame([(d, t, "", "", "") for d, t in rows], SCHEMA)).collect()}
+
+
+def test_lines_off_the_template_stay(spark):
+    base = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90)]
+    rows = [(k, " ".join(base)) for k in range(1, 8)]
+    own = base.copy()
+    for k in range(10, 75, 3):
+        own[k] = f"own{chr(97 + k % 26)}"
+    rows.append((20, " ".join(own)))
+    assert kept(spark, [(d, f"{t}\nend {d * 'z'}") for d, t in rows])[20].split("\n")[0] == " ".join(own)
+
+
+def test_several_templates_of_a_leaf(spark):
+    names, towns = "anna bert carl dora emil".split(), "ulm bonn jena kiel trier".split()
+    rows = [(k, "please see the page about cats and dogs of our town today") for k in range(1, 9)]
+    rows += [(k, "please see the page with maps for hikers from the north here") for k in range(11, 19)]
+    rows += [(30 + k, f"please see the page by {names[k % 5]} living in {towns[k // 5]} since spring") for k in range(25)]
+    rows += [(60, "please see the page by anna living in ulm since autumn")]
+    got = kept(spark, [(d, f"{t}\nend {d * 'z'}") for d, t in rows])
+    assert {d for d, t in got.items() if "please" in t} == {1, 11, 30, 60}
+
+
+def test_five_near_copies_are_no_template(spark):
+    base = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90)]
+    rows = [(d, " ".join([*base[: 10 * d], f"own{d * 'z'}", *base[10 * d + 1 :]])) for d in range(1, 7)]
+    assert kept(spark, rows) == dict(rows)
