@@ -54,3 +54,22 @@ def test_run_and_empty(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "secret_scan", "best_fit_packing"]
+
+
+def test_near_duplicates_of_five_words(spark, tmp_path):
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k * k % 26)}" for k in range(200)]
+    texts = {1: words[:50], 2: [*words[:25], "other", *words[26:50]], 3: words[:61], 4: words[:65], 10: words[100:180], 11: words[100:165], 12: words[100:162]}
+
+    def linked(a, b):
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        return 100 * len(x & y) >= 80 * len(x | y)
+
+    least = {d: d for d in texts}
+    for a in texts:
+        for b in texts:
+            if linked(texts[a], texts[b]):
+                low, high = sorted((least[a], least[b]))
+                least = {d: low if c == high else c for d, c in least.items()}
+    docs = spark.createDataFrame([(d, " ".join(w), "en", "src0", 0) for d, w in texts.items()], COLUMNS)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert got == {d for d, low in least.items() if d == low} and 2 not in got and 11 not in got
