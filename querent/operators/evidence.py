@@ -12,15 +12,30 @@ from querent.sources.shared import cut
 SAME, POOL = 0.85, 48
 
 
+def word_set_classes(rows: DataFrame, id_col: str, text_col: str = "text", by: str | None = None) -> DataFrame:
+    """id and class_id (the least id of its class) of each row with words: rows of equal word sets, within `by` where it is
+    given, are one class. near_duplicate_pairs() links classes by these ids, so both together give every link of every row."""
+    within = [by] if by else []
+    sets = rows.select(F.col(id_col).alias("id"), *within, F.array_sort(text.words_of(F.col(text_col))).alias("words")).where(F.size("words") > 0)
+    sets = sets.withColumn("hash", F.xxhash64("words"))
+    # stored, so that a class that holds many of all rows can be split where rows meet it
+    classes = cut(sets.groupBy(*within, "hash", "words").agg(F.min("id").alias("class_id")), "classes")
+    same = F.col("s.hash").eqNullSafe(F.col("c.hash")) & (F.col("s.words") == F.col("c.words"))
+    for c in within:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}"))
+    return sets.alias("s").join(classes.alias("c"), same).select(*[F.col(f"s.{c}").alias(c) for c in within], "s.id", "c.class_id")
+
+
 def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str = "text", by: str | None = None, threshold: float = SAME) -> DataFrame:
-    """Pairs of rows whose word sets overlap by the threshold, within `by` where it is given.
+    """Pairs of rows whose word sets overlap by the threshold, within `by` where it is given. Rows of equal sets are one
+    class, which its least id stands for; word_set_classes() has the members.
 
     Only pairs that share one of the first words of each set can reach the threshold, if all sets follow one order of
     words, the rarest first; so pairs are made there and checked on the whole sets."""
     within = [by] if by else []
     sets = rows.select(F.col(id_col).alias("id"), *within, text.words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     # equal sets are one class, so that copies make no pairs of pairs
-    classes = sets.groupBy(*within, F.array_sort("words").alias("words")).agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("id"))
+    classes = sets.groupBy(*within, F.array_sort("words").alias("words")).agg(F.min("id").alias("id"))
     words = classes.select("id", *within, F.size("words").alias("n"), F.explode("words").alias("word"))
     rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id", *within).orderBy("df", "word"))

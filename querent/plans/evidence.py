@@ -25,6 +25,12 @@ def near_dup_pairs(spark, sf_dir):
     return evidence.near_duplicate_pairs(catalog.table(spark, sf_dir, "documents"), "doc_id")
 
 
+@query(f"""SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(words)) AS class_id FROM (SELECT doc_id, {_WORDS} AS words FROM documents) WHERE len(words) > 0""")
+def near_dup_members(spark, sf_dir):
+    """The class of every document in near_dup_pairs: exact copies, and links of copies that do not stand for their class."""
+    return evidence.word_set_classes(catalog.table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
+
+
 @query(f"SELECT sha256({base.normalized('text')}) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
 def fingerprint_groups(spark, sf_dir):
     return catalog.table(spark, sf_dir, "documents").groupBy(text.fingerprint(F.col("text")).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))

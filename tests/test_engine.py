@@ -197,3 +197,15 @@ def test_corpus_and_cases_from_files(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text("{not json\n")
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
         files.cases(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_near_duplicates_with_members_give_every_link(spark):
+    words = [f"w{chr(97 + k)}" for k in range(20)]
+    texts = {1: words, 2: words[::-1], 3: [*words[:19], "other"], 4: [*words[:19], "other"], 5: ["own"], 6: ["own"], 7: ["alone"], 8: []}
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    members = {r["id"]: r["class_id"] for r in evidence.word_set_classes(rows, "doc_id").collect()}
+    assert members == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
+    near = {(r["left_id"], r["right_id"]) for r in evidence.near_duplicate_pairs(rows, "doc_id").collect()}
+    alike = lambda a, b: len(set(texts[a]) & set(texts[b])) >= 0.85 * len(set(texts[a]) | set(texts[b]))
+    got = {(a, b) for a in members for b in members if a < b and (members[a] == members[b] or tuple(sorted((members[a], members[b]))) in near)}
+    assert got == {(a, b) for a in members for b in members if a < b and alike(a, b)} and (2, 4) in got and (5, 6) in got
