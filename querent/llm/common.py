@@ -8,8 +8,9 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one Arrow batch at most; texts can be long, so a batch must stay small.
 BATCH_ROWS = 256
@@ -17,10 +18,13 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, as in tests, a temporary one
+    serves a local master; on a cluster that would lose rows, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="querent-"))
     return _OWN_DIR[0]
@@ -64,16 +68,18 @@ def map_docs(df: DataFrame, make, schema: str) -> DataFrame:
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, kept for the words seen lately."""
+    """word (bytes) -> 64-bit hash, kept for the words seen lately: two generations of `most` words at most."""
 
-    def __init__(self, seed: int = 0, most: int = 500_000):
+    def __init__(self, seed: int = 0, most: int = 60_000):
         super().__init__()
-        self.seed, self.most = seed, most
+        self.seed, self.most, self.before = seed, most, {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word, self.seed)
+        value = self.before.get(word)
+        self[word] = value = xxhash.xxh3_64_intdigest(word, self.seed) if value is None else value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -125,10 +131,20 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(span[:n], span[width - have : width - have + n])
 
 
-#: Rows that a side may have to be broadcast; each caller keeps its rows small. Beyond it a join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes that a side may have to be broadcast. Beyond either a join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
-def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (stored, so that counting is cheap) with a broadcast hint if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _bytes_of(name: str, kind: T.DataType) -> Column:
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.ArrayType):
+        held = F.octet_length(F.array_join(c, "")) if isinstance(kind.elementType, T.StringType) else F.lit(0)
+        return F.coalesce(F.greatest(F.size(c), F.lit(0)) * 16 + held, F.lit(0))
+    return F.coalesce(F.octet_length(c), F.lit(0)) if isinstance(kind, T.StringType | T.BinaryType) else F.lit(16)
+
+
+def sent_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (stored, so that counting is cheap) with a broadcast hint if its counted rows and bytes are few."""
+    width = sum((_bytes_of(f.name, f.dataType) for f in df.schema), F.lit(16))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most else df

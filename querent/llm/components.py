@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sent_if_small, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # stored, so that a node with very many edges can be split where they meet its minimum
+    least = sent_if_small(stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least"))
     return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = sent_if_small(stored(down.groupBy("u").agg(F.min("v").alias("m")), "least"))
     return down.join(least, "u").where("v <> m").select("v", "m").union(least.select("u", "m")).toDF("u", "v")
 
 
@@ -29,5 +30,5 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         if state == mark or not state[0]:
             break
         mark = state
-        now = stored(_small_star(_large_star(now)).distinct(), "edges")
+        now = stored(_small_star(stored(_large_star(now), "stars")).distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -12,9 +12,9 @@ that lies within d(x) + (1 - t) of the pivot belongs to that component. Regions
 task, larger ones in rounds over the cluster.
 
 Documents of equal sets are one class and are never paired. No words or null text: n_shingles 0, a component of its
-own. Fewer words than `width`: the whole sequence is the one shingle. Repeated rows of one doc_id are equal or not like
-any two documents. Rows with null doc_id are
-linked with equal sets only, and have a null component without one. Shingles are compared by
+own. Fewer words than `width`: the whole sequence is the one shingle. Rows that repeat a doc_id are told apart by their
+text (`version`) and linked like any two documents. Rows with null doc_id are linked with equal sets only, and have a
+null component without one. Further columns are not looked at; an empty table gives no rows. Shingles are compared by
 64-bit hashes.
 """
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_docs, rolling, sent_if_small, stored, texts_of
+from .common import WordHashes, rolling, sent_if_small, stored, texts_of
 from .components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
@@ -74,19 +74,24 @@ def first_shingles(found: np.ndarray, frequent: np.ndarray, level: np.ndarray, n
 
 
 def sketches(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, num: int, den: int) -> DataFrame:
-    """doc_id, node (the class of equal sets), n_shingles and the first shingles of each document."""
+    """doc_id, version, node (the class of equal sets), n_shingles and the first shingles of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_SENT numbers at most
 
-    def make(doc_ids, texts):
-        sets = [shingles(t, width) for t in texts]
+    def make(batches):
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict(columns(batch, sets))
+
+    def columns(batch, sets):
         return {
-            "doc_id": doc_ids,
+            "doc_id": batch.column("doc_id"),
+            "version": batch.column("version"),
             "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "first": pa.array([first_shingles(s, *shared.value, num, den) if len(s) else [] for s in sets], pa.list_(pa.int64())),
         }
 
-    return map_docs(docs, make, "doc_id long, node long, n_shingles long, first array<long>")
+    return docs.withColumn("version", F.xxhash64("text")).mapInArrow(make, "doc_id long, version long, node long, n_shingles long, first array<long>")
 
 
 def possible_links(met: DataFrame, num: int, den: int, frequent: int) -> DataFrame:
@@ -254,7 +259,7 @@ def _too_large(sets: DataFrame, region_docs: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR, frequent: int = FREQUENT, region_docs: int = REGION_DOCS, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and version (a hash of the text) of every row."""
     docs = texts_of(docs)
     plain = stored(sketches(docs, frequent_shingles(docs, width, frequent, share), width, num, den), "sketches")
     classes = stored(plain.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
@@ -288,9 +293,29 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR
         if large.take(1):
             joined = joined.union(_large_regions(stored(again.join(large, "region", "left_semi"), "largest"), num, den))
     # a component's smallest doc_id
-    whole = members.select("node", "rep").join(joined, "node")
-    least = whole.groupBy("component").agg(F.min("rep").alias("least"))
+    whole = stored(members.select("node", "rep").join(joined, "node"), "joined")
+    least = sent_if_small(stored(whole.groupBy("component").agg(F.min("rep").alias("least")), "least"))
     linked = stored(whole.join(least, "component").select("node", "least"), "linked")
-    out = plain.select("doc_id", "n_shingles", "node").join(linked, "node", "left")
+    out = plain.select("doc_id", "n_shingles", "node", "version").join(linked, "node", "left")
     out = out.join(classes, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"), "version")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """The rows of docs without the copies: of each group of linked documents that of the smallest doc_id stays. Rows of
+    equal doc_id and text are copies too; the least of them in all columns' hash stays. Null doc_ids match like any other."""
+    linked = jaccard_components(docs, width, num, den)
+    goes = stored(linked.where("not (doc_id <=> component_id) and component_id is not null").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct(), "copies")
+    key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_version")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    same = lambda a, b: F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._version") == F.col(f"{b}._version"))
+    kept = rows.alias("r").join(sent_if_small(goes).alias("g"), same("r", "g"), "left_anti")
+    often = stored(docs.select(*key).groupBy("_id", "_version").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    if often.isEmpty():
+        return kept.select("row.*")
+    often = sent_if_small(often)
+    once = kept.alias("r").join(often.alias("g"), same("r", "g"), "left_anti").select("row")
+    again = kept.alias("r").join(often.alias("g"), same("r", "g"), "left_semi")
+    # aggregated map-side, so rows that are repeated very often are not gathered
+    again = again.groupBy("_id", "_version").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return once.union(again).select("row.*")

@@ -1,12 +1,15 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies come from every learning document. The weights are learnt with follow-the-regularised-leader
-(per-coordinate rates, L1 and L2 penalties) on at most SAMPLE_PER_LANG documents of each language, those of the lowest
-hash of doc_id; every fifth of them is kept back and sets the temperature that calibrates the scores.
+(per-coordinate rates, L1 and L2 penalties) on at most SAMPLE_PER_LANG documents of each language and SAMPLE_PAIRS n-gram
+counts in all, those of the lowest hash of doc_id; every fifth of them is kept back and sets the temperature that
+calibrates the scores. Every language that a learning document has is learnt.
 
 Null text, or text without a letter: `und` with score 0. Nothing to learn from (an empty table, no language given):
 `und` for all. A single language: that language. Repeated rows are predicted alike. Rows with null doc_id are
-predicted but never learnt from, as it is not known on which side of the split they are.
+predicted but never learnt from, as it is not known on which side of the split they are. Very long texts are counted
+piece by piece, with the same counts as in one piece. Further columns are not looked at, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,21 +19,22 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_docs, small_batches
+from .common import map_docs, small_batches, stored
 
 #: Character n-grams are hashed into this many buckets (a power of two).
 BUCKETS = 1 << 15
 NGRAMS = (1, 2, 3)
-#: Documents of one language that the weights are learnt from, at most; and languages, the most frequent first.
-SAMPLE_PER_LANG, MOST_LANGS = 600, 200
-#: A sampled document keeps its n-gram counts, BUCKETS at most, so the sample is bounded in bytes too.
+#: Documents of one language that the weights are learnt from, at most, and n-gram counts of all of them together.
+SAMPLE_PER_LANG, SAMPLE_PAIRS = 600, 20_000_000
 FOLDS, HELD_OUT = 5, 0
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 4
 UNKNOWN = "und"
+#: Characters that are counted at once.
 _CHUNK = 1 << 20
 
 
@@ -42,20 +46,24 @@ def has_letter(text: str) -> bool:
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets that occur in the lower-cased text and how often; letters and the gaps between words count."""
-    lower = unicodedata.normalize("NFC", text).lower()
-    counts = np.zeros(BUCKETS, np.int64)
-    for at in range(0, max(1, len(lower)), _CHUNK):
-        codes = np.frombuffer(f" {lower[max(0, at - 2) : at + _CHUNK]} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    lower = f" {unicodedata.normalize('NFC', text).lower()} "
+    counts, tail = np.zeros(BUCKETS, np.int64), np.empty(0, np.uint32)
+    for at in range(0, len(lower), _CHUNK):
+        codes = np.frombuffer(lower[at : at + _CHUNK].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
         letter = (codes >= 0xC0) | ((codes >= 97) & (codes <= 122))
         codes = np.where(letter, codes, np.uint32(32))
-        codes = codes[(codes != 32) | np.append(True, codes[:-1] != 32)]
+        before = np.append(tail[-1:] if len(tail) else np.uint32(0), codes[:-1])
+        # the last codes of the piece before, so that n-grams across the border count, and count once
+        codes = np.concatenate([tail, codes[(codes != 32) | (before != 32)]])
         value = np.zeros(len(codes), np.uint32)
         for n in range(1, max(NGRAMS) + 1):
-            value = value[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(n)
+            value = value[: max(0, len(codes) - n + 1)] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(n)
             if n in NGRAMS:
-                mixed = value ^ (value >> np.uint32(15))
+                mixed = value[max(0, len(tail) - n + 1) :]
+                mixed = mixed ^ (mixed >> np.uint32(15))
                 mixed = (mixed * np.uint32(0x2C1B3C6D)) ^ (mixed >> np.uint32(12))
                 counts += np.bincount(mixed % np.uint32(BUCKETS), minlength=BUCKETS)
+        tail = codes[1 - max(NGRAMS) :]
     there = np.flatnonzero(counts)
     return there, counts[there]
 
@@ -146,7 +154,7 @@ def document_frequencies(learning: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Learns from text and lang of the documents outside the held-out fold."""
     learning = _labelled(docs).where(f"fold <> {HELD_OUT} and lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in learning.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r["lang"]: r["count"] for r in learning.groupBy("lang").count().collect()}  # a row for each language
     langs = sorted(sizes)
     seen, n = document_frequencies(learning)
     model = Model(langs, np.log((1 + n) / (1 + seen)) + 1, np.zeros((BUCKETS + 1, len(langs))))
@@ -154,7 +162,7 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
         return model
     # the hash bound lets through about 1.2 samples of each language, so that no task gathers a language
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 1.2 * sample_per_lang / sizes[k]))]), F.col("lang"))
-    keyed = learning.where(F.col("lang").isin(langs)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    keyed = learning.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     keyed = keyed.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_per_lang)
@@ -164,9 +172,16 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
         found = [ngram_counts(t) for t in texts]
         return {"doc_id": doc_ids, "there": pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), "counts": pa.array([b.tolist() for _, b in found], pa.list_(pa.int32()))}
 
-    # sample_per_lang * MOST_LANGS rows of two numbers at most
+    # sample_per_lang rows of two numbers for each language
     picked = learning.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = map_docs(picked, make, "doc_id long, there array<int>, counts array<int>").join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id").collect()
+    counted = stored(map_docs(picked, make, "doc_id long, there array<int>, counts array<int>").join(F.broadcast(chosen), "doc_id"), "sample")
+    held, taken = 0, []
+    for r in counted.select("doc_id", F.size("there").alias("n")).orderBy("h", "doc_id").collect():
+        held += r["n"]
+        if held <= SAMPLE_PAIRS:
+            taken.append((r["doc_id"],))
+    taken = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long"))
+    rows = counted.join(taken, "doc_id", "left_semi").orderBy("h", "doc_id").collect()
     rows = [(r["rank"], (np.array(r["there"], np.int64), np.array(r["counts"], np.int64), langs.index(r["lang"]))) for r in rows]
     fit = [x for rank, x in rows if rank % 5]
     kept_back = [x for rank, x in rows if not rank % 5]
@@ -189,5 +204,25 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_docs(texts, make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def language_of(text: Column, model: Model) -> Column:
+    """The predicted language of a text column (`und` where there is none), as an expression within a row."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def predicted(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.predict(t)[0] for t in texts], dtype=object)
+
+    return predicted(text)
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows with a recognised language, all columns kept. Where no language is learnt, the rows that have a letter."""
+    small_batches(docs.sparkSession)
+    model, text = train(docs), F.col("text").cast("string")
+    if not model.langs:
+        return docs.where(text.rlike(r"\p{L}"))
+    return docs.where(language_of(text, model) != UNKNOWN)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))

@@ -53,7 +53,7 @@ def op8_language_id(spark, sf_dir):
 
 
 def op10_jaccard_join(spark, sf_dir):
-    return jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_components(read(spark, sf_dir, "documents")).drop("version")
 
 
 SUBSTRING_ORACLE = r"""

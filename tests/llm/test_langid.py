@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -44,9 +45,30 @@ def test_document_frequencies_count_every_document(spark):
     assert n == 21 and (seen == want).all()
 
 
-def test_long_text_is_counted_whole():
-    a, b = langid.ngram_counts("ab " * (langid._CHUNK // 2))
-    assert b.sum() > langid._CHUNK
+def test_long_text_is_counted_whole(monkeypatch):
+    text = "Ein Hund,  12 Katzen\n\n\nund 3 été ... " * 40 + "x"
+    want = langid.ngram_counts(text)
+    # plain sums: one of each n-gram of the letters and single gaps, padded at both ends
+    codes = re.sub("[^a-z\xc0-\U0010ffff]+", " ", f" {text.lower()} ")
+    assert want[1].sum() == sum(len(codes) - n + 1 for n in langid.NGRAMS)
+    for size in (1, 2, 3, 7, 100, 1279):
+        monkeypatch.setattr(langid, "_CHUNK", size)
+        got = langid.ngram_counts(text)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all(), size
+
+
+def test_every_language_is_learnt(spark):
+    made = [(i, " ".join(chr(97 + (i // 12 * 7 + j) % 26) * 3 + chr(0x4E00 + i // 12) for j in range(8)), f"l{i // 12:03}", None, None) for i in range(12 * 230)]
+    model = langid.train(spark.createDataFrame(made, SCHEMA), sample_per_lang=3)
+    assert len(model.langs) == 230
+
+
+def test_accepted_rows_keep_their_columns(spark):
+    rows = [(1, None, "en", "a", ""), (1, "a good text of the day", "en", "b", ""), (None, "another text", "en", "c", ""), (None, None, "en", "d", ""), (2, "12 34", None, "e", "")]
+    got = langid.accepted(spark.createDataFrame(rows, SCHEMA))
+    assert got.columns == ["doc_id", "text", "lang", "score", "fold"] and sorted(r.score for r in got.collect()) == ["b", "c"]
+    unlabelled = spark.createDataFrame([(a, b, None, d, e) for a, b, _, d, e in rows], SCHEMA)
+    assert sorted(r.score for r in langid.accepted(unlabelled).collect()) == ["b", "c"]
 
 
 def test_temperature_restores_overconfident_scores():

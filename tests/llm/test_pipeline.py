@@ -73,3 +73,11 @@ def test_near_duplicates_of_five_words(spark, tmp_path):
     docs = spark.createDataFrame([(d, " ".join(w), "en", "src0", 0) for d, w in texts.items()], COLUMNS)
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
     assert got == {d for d, low in least.items() if d == low} and 2 not in got and 11 not in got
+
+
+def test_rows_are_told_apart_by_doc_id_and_text(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long), (1, "other words that nobody else has"), (1, "other words that nobody else has"), (7, long), (7, "a text of its own here"), (None, long), (None, "nobody knows me at all"), (None, "nobody knows me at all"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "src0", k) for k, (d, t) in enumerate(rows)], COLUMNS)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, long), (1, "other words that nobody else has"), (7, "a text of its own here"), (None, "nobody knows me at all"), (None, None)], key=repr)
