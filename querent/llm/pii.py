@@ -1,11 +1,14 @@
 """Personal data behind disguises, with offsets into the source.
 
 The base patterns find e-mail addresses, IP addresses, card and phone numbers as they stand. Then transducers rewrite a
-text piece by piece: homoglyphs and full-width forms to ASCII, invisible characters to nothing, spelled digits to digits,
-(at)/[dot] disguises to @ and dots. The rewritten text is searched again, and spans that touch a rewritten piece are
-mapped back: each piece knows its source stretch. Base spans stay; the method only adds spans that overlap no base span.
-
-Null text counts as empty. Offsets are code points of the source, ends exclusive. Repeated rows give equal results, an
+text piece by piece: homoglyphs and full-width forms to ASCII, invisible characters to nothing, spelled digits (English, French, German, Spanish) to digits, at/dot disguises with or
+without brackets to @ and dots. The rewritten text is searched again, and spans that touch a rewritten piece are mapped
+back: each piece knows its source stretch. Base spans stay; the method only adds spans that overlap no base span. Words for
+a dot that are common words (point, punkt, punto) count outside brackets only between numbers or where a common top-level
+domain ends the address.
+
+Null text counts as empty. Offsets are code points of the source, ends exclusive. Every pattern takes time in proportion to
+the text, so very long texts are scanned whole. Repeated rows give equal results, further columns are not looked at, an
 empty table gives no rows.
 """
 
@@ -14,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,8 @@ from .common import map_docs, texts_of
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile("[0-9]")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match that starts within a run of digits could start with the run, so only starts of runs are tried.
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,26 +42,39 @@ LOOKALIKES = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", "\xa0": " ", " ": " ", " ": " ", " ": " ",
 }
-# Spelled digits.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + "！-～­​-‍⁠﻿]")
-_WORD = "|".join(DIGITS)
-_RUN = rf"(?:{_WORD}|[0-9]+)(?:(?: ?- ?|[ ]|\.| dot | point )(?:{_WORD}|[0-9]+))+"
+# Spelled digits, words for @ and for a dot, and common top-level domains.
+DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+_AT, _DOT, _DOT_WORD = "at|arobase|arroba|@", "dot", "point|punkt|punto"
+_TOP = "com|org|net|edu|gov|info|io|de|fr|es|eu|uk|us|ch|at|be|it|nl|ca|dev|app"
+_ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + r"！-～­​-‍⁠﻿\u2460-\u24ff\U0001d400-\U0001d7ff]|(?![0-9])\d")
+_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
+_UNIT = rf"(?:(?:double|triple) )?(?:{_WORD})|[0-9]+"
+_BETWEEN = rf" ?[-.] ?| (?:{_DOT}|{_DOT_WORD}) | "
 #: At least two spelled or plain digits in a row: prose with a single number word stays as it is.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9]){_RUN}(?![A-Za-z0-9])", re.IGNORECASE)
-_PART = re.compile(rf"(?P<word>{_WORD})|(?P<digits>[0-9]+)|(?P<dot>\.| dot | point )|(?P<gap>[ \-]+)", re.IGNORECASE)
-_PLUS = re.compile(rf"(?<![A-Za-z0-9])plus[ \-]+(?=\(?[0-9]|(?:{_WORD})[ \-])", re.IGNORECASE)
-_BRACKET = re.compile(r" ?[(\[{<] ?(?:(at|@)|(dot|point|\.)) ?[)\]}>] ?", re.IGNORECASE)
-_SPACED = re.compile(r"(?<=[A-Za-z0-9_%+-]) (?:at|@) (?=[A-Za-z0-9-]+(?: (?:dot|\.) |\.)[A-Za-z0-9-]+)", re.IGNORECASE)
-_SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9-]) (?:dot|\.) (?=[A-Za-z0-9-])", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{_UNIT})(?:(?:{_BETWEEN})(?:{_UNIT}))+(?![^\W_])", re.IGNORECASE)
+_PART = re.compile(rf"(?:(?P<times>double|triple) )?(?P<word>{_WORD})|(?P<digits>[0-9]+)|(?P<spoken> (?:{_DOT}|{_DOT_WORD}) )|(?P<dot>\.)|(?P<gap>[ \-]+)", re.IGNORECASE)
+_PLUS = re.compile(rf"(?<![^\W_])(?:plus|más)[ \-]+(?=\(?[0-9]|\(?(?:{_WORD})(?![^\W_]))", re.IGNORECASE)
+_AFTER_PLUS = re.compile(rf"(?<=\+)(?:{_WORD})(?![^\W_])", re.IGNORECASE)
+_BRACKET = re.compile(rf" ?[(\[{{<] ?(?:({_AT})|({_DOT}|{_DOT_WORD}|\.)) ?[)\]}}>] ?", re.IGNORECASE)
+_NAME = "[A-Za-z0-9-]+"
+_TAIL = rf"(?={_NAME}(?:(?: (?:{_DOT}|\.) |\.){_NAME}|(?:(?: (?:{_DOT}|{_DOT_WORD}|\.) |\.){_NAME}){{0,3}} (?:{_DOT_WORD}) (?:{_TOP})(?![^\W_])))"
+_SPACED = re.compile(rf"(?<=[A-Za-z0-9_%+-]) (?:{_AT}) {_TAIL}", re.IGNORECASE)
+_SPACED_DOT = re.compile(rf"(?<=[A-Za-z0-9-]) (?:{_DOT}|\.|({_DOT_WORD})) (?=[A-Za-z0-9-])", re.IGNORECASE)
+_HYPHEN_MAIL = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9._]+[-_]at[-_][A-Za-z0-9]+(?:[-_]dot[-_][A-Za-z0-9]+)*[-_]dot[-_](?:{_TOP})(?![^\W_])", re.IGNORECASE)
 #: Whether any of these can apply.
 _MAY = [
     _ODD,
     _BRACKET,
-    re.compile(r" (?:at|@) [A-Za-z0-9-]+(?: (?:dot|\.) |\.[A-Za-z0-9])", re.IGNORECASE),
-    re.compile(rf"(?<![A-Za-z])(?:{_WORD})[ \-.]", re.IGNORECASE),
-    re.compile(r"(?<![A-Za-z])plus ", re.IGNORECASE),
-    re.compile(r"@[A-Za-z0-9.-]* (?:dot|\.) |[A-Za-z0-9] (?:dot|\.) [A-Za-z0-9.-]*@", re.IGNORECASE),
+    re.compile(rf" (?:{_AT}) [A-Za-z0-9-]+(?: (?:{_DOT}|{_DOT_WORD}|\.) |\.[A-Za-z0-9])", re.IGNORECASE),
+    re.compile(rf"(?<![^\W_])(?:{_WORD})(?:{_BETWEEN})(?:[0-9]|(?:double |triple )?(?:{_WORD}))|[0-9](?:{_BETWEEN})(?:double |triple )?(?:{_WORD})|[0-9] (?:{_DOT}|{_DOT_WORD}) [0-9]|\+(?:{_WORD})", re.IGNORECASE),
+    re.compile(r"(?<![^\W_])(?:plus|más) ", re.IGNORECASE),
+    re.compile(rf"@[A-Za-z0-9.-]* (?:{_DOT}|{_DOT_WORD}|\.) |[A-Za-z0-9] (?:{_DOT}|\.) [A-Za-z0-9.-]*@", re.IGNORECASE),
+    re.compile(r"[-_]at[-_]", re.IGNORECASE),
 ]
 
 
@@ -86,7 +105,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in _emails(text)]
     if not _DIGIT.search(text):
         return out
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p := q.lstrip("0") or "0") < 4 and int(p) <= 255 for q in m[0].split("."))]
     for m in _CARD.finditer(text):
         if 16 <= m.end() - m.start() and 16 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
@@ -136,25 +155,42 @@ def _plain_letter(m: re.Match) -> str | None:
         return LOOKALIKES[c]
     if unicodedata.category(c) == "Cf":
         return ""
+    if unicodedata.category(c) == "Nd":
+        return str(unicodedata.digit(c))
     return unicodedata.normalize("NFKC", c)
 
 
 def _plain_digits(m: re.Match) -> str | None:
-    """A run with spelled digits: words to digits, gaps beside a word to nothing."""
-    parts = [(p.lastgroup, p[0]) for p in _PART.finditer(m[0])]
-    if not any(kind == "word" for kind, _ in parts):
+    """A run with spelled digits or dots: words to digits, spoken dots to dots, gaps beside a word to nothing."""
+    parts = [(p.lastgroup, p) for p in _PART.finditer(m[0])]
+    if not any(kind in ("word", "spoken") for kind, _ in parts):
         return None
     out = []
     for k, (kind, part) in enumerate(parts):
         if kind == "word":
-            out.append(DIGITS[part.lower()])
-        elif kind == "dot":
+            times = {"double": 2, "triple": 3}.get((part["times"] or "").lower(), 1)
+            out.append(DIGITS[part["word"].lower()] * times)
+        elif kind in ("dot", "spoken"):
             out.append(".")
         elif kind == "digits" or "word" not in (parts[k - 1][0], parts[k + 1][0]):
-            out.append(part)
+            out.append(part[0])
     return "".join(out)
 
 
+def _spoken_dot(r: Rewritten):
+    """Puts a dot where an @ is near; a common word for it must be followed by a dot's word, or a top-level domain."""
+
+    def put(m: re.Match) -> str | None:
+        if "@" not in r.text[max(0, m.start() - 80) : m.end() + 80]:
+            return None
+        return "." if not m[1] or _ENDS.match(r.text, m.end()) else None
+
+    return put
+
+
+_ENDS = re.compile(rf"(?:{_NAME}(?: (?:{_DOT}|{_DOT_WORD}|\.) |\.)){{0,3}}(?:{_TOP})(?![^\W_])", re.IGNORECASE)
+
+
 def disguised(text: str) -> list[tuple[str, int, int]]:
     """Spans that only show once the disguises are taken off."""
     if not any(p.search(text) for p in _MAY):
@@ -163,19 +199,29 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     r.apply(_ODD, _plain_letter)
     r.apply(_BRACKET, lambda m: "@" if m[1] else ".")
     r.apply(_SPACED, lambda m: "@")
+    r.apply(_HYPHEN_MAIL, lambda m: re.sub("(?i)[-_]dot[-_]", ".", re.sub("(?i)[-_]at[-_]", "@", m[0], count=1)))
     for _ in range(2):  # labels of one letter share their neighbours
-        r.apply(_SPACED_DOT, lambda m: "." if "@" in r.text[max(0, m.start() - 80) : m.end() + 80] else None)
+        r.apply(_SPACED_DOT, _spoken_dot(r))
     r.apply(_PLUS, lambda m: "+")
     r.apply(_SPELLED, _plain_digits)
+    r.apply(_AFTER_PLUS, lambda m: DIGITS[m[0].lower()])
     return r.found()
 
 
+def _apart(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of base."""
+    if not base:
+        return spans
+    edges = sorted((a, b) for _, a, b in base)
+    starts, furthest = [a for a, _ in edges], list(accumulate((b for _, b in edges), max))
+    return [s for s in spans if not (k := bisect_left(starts, s[2])) or furthest[k - 1] <= s[1]]
+
+
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and these with the added ones; both by kind as listed, then start."""
     order = {kind: k for k, kind in enumerate(KINDS)}
     base = find(text)
-    more = [s for s in disguised(text) if not any(s[1] < e and b < s[2] for _, b, e in base)]
-    return base, sorted({*base, *more}, key=lambda s: (order[s[0]], s[1], s[2]))
+    return base, sorted({*base, *_apart(disguised(text), base)}, key=lambda s: (order[s[0]], s[1], s[2]))
 
 
 def _listed(spans: list[tuple[str, int, int]]) -> str:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +49,64 @@ def test_disguises_map_back_to_the_source():
     assert added("x at once.Then go") in ([], [("email", "x at once.Then")])
 
 
+# Spelled digits of the four languages, by digit.
+SPOKEN = {
+    "en": "zero one two three four five six seven eight nine".split(),
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf".split(),
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun".split(),
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve".split(),
+}
+AT = {"en": "at", "fr": "arobase", "de": "at", "es": "arroba"}
+DOT = {"en": "dot", "fr": "point", "de": "punkt", "es": "punto"}
+
+
+def planted(rng, kind, lang):
+    """One identifier of a kind under a disguise of a language, as it may stand in a text."""
+    spell = lambda digits: " ".join(SPOKEN[lang][int(d)] for d in digits)
+    at, dot = AT[lang], DOT[lang]
+    if kind == "email":
+        name, host, top = rng.choice(["jane", "j.doe", "max-99", "info"]), rng.choice(["mail", "example", "my-host"]), rng.choice(["com", "org", "net", lang if lang != "en" else "io"])
+        return rng.choice([f"{name} {at} {host} {dot} {top}", f"{name} ({at}) {host} ({dot}) {top}", f"{name}[{at}]{host}[{dot}]{top}", f"{name} {{at}} {host}.{top}", f"{name}@{host} {dot} {top}", f"{name}＠{host}．{top}", f"{name}@{host.replace('a', 'а').replace('e', 'е').replace('o', 'о')}.{top}"])
+    if kind == "ip":
+        parts = [str(rng.randrange(256)) for _ in range(4)]
+        return rng.choice([f" {dot} ".join(parts), "[.]".join(parts), f"({dot})".join(parts), ".".join(parts).translate({48 + k: 0xFF10 + k for k in range(10)}), f" {dot} ".join(map(spell, parts))])
+    if kind == "card":
+        body = [rng.randrange(10) for _ in range(15)]
+        last = next(c for c in range(10) if luhn("".join(map(str, [*body, c]))))
+        digits = "".join(map(str, [*body, last]))
+        groups = [digits[k : k + 4] for k in range(0, 16, 4)]
+        return rng.choice([spell(digits), " ".join([*groups[:2], *map(spell, groups[2:])]), "–".join(groups), "\xa0".join(groups), digits.translate({48 + k: 0xFF10 + k for k in range(10)})])
+    digits = "".join(str(rng.randrange(10)) for _ in range(10))
+    plus = "más" if lang == "es" else "plus"
+    return rng.choice([f"{plus} {spell('1' + digits)}", f"{plus} 1 {digits}", f"+1 {spell(digits)}", f"＋1 ({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"+1 ({spell(digits[:3])}) {spell(digits[3:])}"])
+
+
+def test_recall_of_planted_disguises():
+    rng = random.Random(7)
+    words = {"en": "the man said that we should call or write to", "fr": "le monsieur a dit que nous devons écrire au", "de": "der Mann sagte dass wir schreiben sollen an", "es": "el hombre dijo que debemos llamar al"}
+    for kind in ("email", "ip", "card", "phone"):
+        for lang in SPOKEN:
+            found = 0
+            for _ in range(100):
+                text = f"{words[lang]}: {(it := planted(rng, kind, lang))}, {words[lang]}."
+                at = text.index(it)
+                found += any(k == kind and a <= at + 2 and b >= at + len(it) - 2 for k, a, b in scan(text)[1])
+            assert found >= 95, (kind, lang, found)
+
+
+def test_prose_has_nothing_to_add():
+    for text in ("look at this point and then at that point come back", "un homme et deux femmes à ce point fr", "drei oder vier Leute um acht, null Problem", "uno dos tres, vamos a las ocho en punto", "plus one more thing. We met at 5 dot", "a-at-b look-at-me state-of-the-art", "12 point 5 percent of 3 dot 4"):
+        assert scan(text)[1] == [], text
+
+
+def test_very_long_texts_take_time_in_proportion():
+    for text in ("7" * 2_000_000, "7." * 1_000_000, "1.2." * 500_000, "a@" * 500_000, "one " * 300_000, "12 - " * 300_000, "+1" * 500_000, "+1" + " " * 2_000_000, " at a" * 300_000, "(" * 1_000_000, "a-at-" * 200_000, "a_" * 500_000):
+        began = time.perf_counter()
+        scan(text)
+        assert time.perf_counter() - began < 30, text[:10]
+    assert scan("0" * 5000 + ".1.2.3")[0] == [("ip", 0, 5006)]
+
+
 def test_contract_columns(spark):
     text = "é a@b.co 1.2.3.4 x 4242424242424242 x +1 (375) 555-4393"
     rows = {r.doc_id: r for r in personal_data(spark.createDataFrame([(1, text, "s", "n"), (2, None, "", ""), (2, None, "", "")], SCHEMA)).collect()}
