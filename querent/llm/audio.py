@@ -3,10 +3,12 @@
 A payload is stored losslessly, one byte a sample, behind a 44-byte RIFF header. Features of the samples read back:
 polyphase resampling by UP/DOWN, log-mel energies of overlapped frames, and segments of activity by two energy
 thresholds (hysteresis). Log-mel windows are fixed-shape tensors (WINDOW frames by MELS bands, the last one padded with
-silence) with their time spans, as an Arrow fixed-shape tensor array in IPC form.
+silence) with their time spans. They are built as an Arrow fixed-shape tensor array; Spark's column holds its values as
+arrays of WINDOW * MELS floats, and tensor_array() gives the Arrow tensors back.
 
-Long recordings are worked through in blocks that carry what filter and frames overlap, so memory is bounded but for the
-features themselves. Null media gives null features. Null text is stored as the empty payload (192 spaces).
+Long recordings are worked through in blocks that carry what filter and frames overlap, so beyond the media and the
+features themselves memory is bounded. Null media gives null features. Null text is stored as the empty payload (192
+spaces). Repeated rows give equal results, further columns are not looked at, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,16 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored
 
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 24
-FRAME, HOP, MELS, WINDOW = 200, 80, 40, 64
+RATE, UP, DOWN, TAPS = 16_000, 3, 4, 24
+FRAME, HOP, MELS, WINDOW = 300, 120, 40, 16
 UNIT, HEADER = 192, 44
 #: Decibels over the quietest tenth at which activity starts and ends, and the least length of a segment in frames.
 START_DB, END_DB, LEAST = 6.0, 3.0, 3
 #: Frames worked on at once.
 BLOCK = 4096
 FLOOR = 1e-10
+#: Bytes of features that are sent on at once.
+SENT = 8 << 20
+TENSORS = "array<struct<start_s: double, end_s: double, mel: array<float>>>"
 
 
 def payload(text: Column) -> Column:
@@ -91,8 +96,8 @@ def _phases() -> np.ndarray:
     return np.pad(taps, (0, rows * UP - len(taps))).reshape(rows, UP).T
 
 
-def resampled(samples: np.ndarray, first: int, count: int) -> np.ndarray:
-    """Output samples first .. first+count at UP/DOWN of the rate; what lies outside the input is silence."""
+def resampled(held: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Output samples first .. first+count at UP/DOWN of the rate; what lies outside the input (8-bit samples) is silence."""
     phases = _phases()
     width, half = phases.shape[1], TAPS * max(UP, DOWN) // 2
     out = np.empty(count)
@@ -104,7 +109,7 @@ def resampled(samples: np.ndarray, first: int, count: int) -> np.ndarray:
             continue
         newest = (mine * DOWN + half - phase) // UP
         low, high = int(newest[0]) - width + 1, int(newest[-1]) + 1
-        part = samples[max(0, low) : max(0, high)]
+        part = (held[max(0, low) : max(0, high)].astype(np.float64) - 128) / 128
         part = np.pad(part, (max(0, -low), max(0, high - max(low, 0) - len(part))))
         step = int(newest[1] - newest[0]) if len(newest) > 1 else 1
         windows = np.lib.stride_tricks.sliding_window_view(part, width)[::step][: len(mine)]
@@ -126,7 +131,7 @@ def _mel() -> np.ndarray:
 
 def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel energies in hundredths of a decibel (frames by MELS) and the energy of each frame in decibels."""
-    samples = (np.frombuffer(data, np.uint8).astype(np.float64) - 128) / 128
+    samples = np.frombuffer(data, np.uint8)
     total = -(-len(samples) * UP // DOWN)
     frames = 1 + max(0, -(-(total - FRAME) // HOP))
     size, window = 1 << (FRAME - 1).bit_length(), np.hanning(FRAME)
@@ -138,9 +143,9 @@ def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         sound = np.pad(resampled(samples, at * HOP, have), (0, wanted - have))
         cut = np.lib.stride_tricks.sliding_window_view(sound, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(cut * window, size)) ** 2
-        mels.append(10 * np.log10(power @ _mel() + FLOOR))
+        mels.append(np.round(1000 * np.log10(power @ _mel() + FLOOR)).astype(np.int16))
         energy.append(10 * np.log10((cut * cut).mean(axis=1) + FLOOR))
-    return np.round(np.concatenate(mels) * 100).astype(np.int32), np.round(np.concatenate(energy), 2)
+    return np.concatenate(mels), np.round(np.concatenate(energy), 2)
 
 
 def segments(energy: np.ndarray) -> list[tuple[float, float]]:
@@ -156,47 +161,85 @@ def segments(energy: np.ndarray) -> list[tuple[float, float]]:
     return [(a * second, b * second) for a, b in edge.reshape(-1, 2).tolist() if b - a >= LEAST]
 
 
-def tensors(mels: np.ndarray) -> bytes:
-    """Windows of the log-mel energies as Arrow IPC: start_s, end_s and a fixed-shape tensor of WINDOW by MELS."""
-    n = -(-len(mels) // WINDOW)
-    filled = np.pad(mels, ((0, n * WINDOW - len(mels)), (0, 0)), constant_values=int(np.log10(FLOOR) * 1000)).astype(np.float32) / 100
+def spans(frames: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end in seconds of each window of a recording of so many frames."""
     second = HOP * DOWN / (UP * RATE)
-    starts = np.arange(n) * WINDOW * second
-    ends = np.minimum(starts + WINDOW * second, (len(mels) - 1) * second + FRAME * DOWN / (UP * RATE))
+    starts = np.arange(-(-frames // WINDOW)) * WINDOW * second
+    return starts, np.minimum(starts + WINDOW * second, (frames - 1) * second + FRAME * DOWN / (UP * RATE))
+
+
+def tensors(mels: np.ndarray) -> pa.FixedShapeTensorArray:
+    """Windows of the log-mel energies as fixed-shape tensors of WINDOW by MELS."""
+    n = -(-len(mels) // WINDOW)
+    filled = np.pad(mels, ((0, n * WINDOW - len(mels)), (0, 0)), constant_values=int(np.log10(FLOOR) * 1000)).astype(np.float32) / np.float32(100)
+    return pa.FixedShapeTensorArray.from_numpy_ndarray(filled.reshape(n, WINDOW, MELS))
+
+
+def tensor_array(column: pa.Array) -> pa.FixedShapeTensorArray:
+    """The tensors of an Arrow column `tensors` as it is read from Spark or Parquet, of all its rows."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    values = pa.concat_arrays([pa.array([], pa.float32()), *(x.flatten().field("mel").flatten() for x in parts)])
     kind = pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS))
-    values = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(filled.reshape(-1)), WINDOW * MELS))
-    batch = pa.record_batch([pa.array(starts), pa.array(ends), values], names=["start_s", "end_s", "mel"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, WINDOW * MELS))
+
+
+def _tensor_column(rows: list[pa.FixedShapeTensorArray | None], frames: list[int]) -> pa.Array:
+    """Rows of windows with their time spans, in the form of Spark's column."""
+    there = [x for x in rows if x is not None]
+    sizes = [0 if x is None else len(x) for x in rows]
+    values = pa.concat_arrays([x.storage.flatten() for x in there]) if there else pa.array([], pa.float32())
+    mel = pa.ListArray.from_arrays(pa.array(np.arange(sum(sizes) + 1) * WINDOW * MELS, pa.int32()), values)
+    edges = [spans(n) for n in frames if n]
+    starts, ends = (np.concatenate([np.empty(0), *(e[k] for e in edges)]) for k in (0, 1))
+    window = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends), mel], ["start_s", "end_s", "mel"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), window, mask=pa.array([x is None for x in rows]))
+
+
+_PLAIN = {
+    "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
+    "segments": pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])),
+}
 
 
-def audio_features(media: DataFrame, keep_tensors: bool = True) -> DataFrame:
-    """Adds to rows with doc_id, n_bytes and media what the stored bytes hold and their features."""
+def audio_features(media: DataFrame) -> DataFrame:
+    """Adds to rows with doc_id, n_bytes and media what the stored bytes hold, their features and their tensors."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for data in batch.column("media"):
-                if not data.is_valid:
-                    rows.append((None,) * 8)
-                    continue
-                data = data.as_py()
-                _, held = samples_of(data)
-                mels, energy = features(held)
-                active = segments(energy)
-                mark = f"{len(mels)}x{MELS}:{hashlib.sha256(mels.astype('<i4').tobytes()).hexdigest()[:32]}:{','.join(f'{a:.3f}-{b:.3f}' for a, b in active)}"
-                rows.append((len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-16:]), len(data), hashlib.sha256(data).hexdigest(), mark, [{"start_s": a, "end_s": b} for a, b in active], tensors(mels) if keep_tensors else None))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.binary())
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments", "tensors")
+            ids, lengths, rows, windows, frames, held_bytes = [], [], [], [], [], 0
+
+            def made(ids, lengths, rows, windows, frames):
+                plain = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PLAIN.values(), strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), *plain, _tensor_column(windows, frames)], ["doc_id", "n_bytes", *_PLAIN, "tensors"])
+
+            for doc_id, n, data in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
+                ids.append(doc_id)
+                lengths.append(n)
+                if data.is_valid:
+                    data = data.as_py()
+                    _, held = samples_of(data)
+                    mels, energy = features(held)
+                    active = segments(energy)
+                    windows.append(tensors(mels))
+                    frames.append(len(mels))
+                    digest = hashlib.sha256(windows[-1].storage.flatten().to_numpy().astype("<f4").tobytes()).hexdigest()[:32]
+                    mark = f"{len(mels)}x{MELS}:{digest}:{','.join(f'{a:.3f}-{b:.3f}' for a, b in active)}"
+                    rows.append((len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-16:]), len(data), hashlib.sha256(data).hexdigest(), mark, [{"start_s": a, "end_s": b} for a, b in active]))
+                    held_bytes += mels.size * 4
+                else:
+                    windows.append(None)
+                    frames.append(0)
+                    rows.append((None,) * len(_PLAIN))
+                if held_bytes > SENT:
+                    yield made(ids, lengths, rows, windows, frames)
+                    ids, lengths, rows, windows, frames, held_bytes = [], [], [], [], [], 0
             if rows:
-                found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *found], ["doc_id", "n_bytes", *names])
+                yield made(ids, lengths, rows, windows, frames)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_s: double, end_s: double>>, tensors binary"
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_s: double, end_s: double>>, tensors {TENSORS}"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def audio_digests(docs: DataFrame) -> DataFrame:
-    return audio_features(stored_media(docs), keep_tensors=False).drop("tensors")
+    """Stores the media of all documents in the shared folder, reads them back and gives digests, features and tensors."""
+    return audio_features(stored(stored_media(docs), "media", "zstd"))
