@@ -24,7 +24,7 @@ DEPTH, MIN_TEXTS = 4, 5
 #: Places out of a hundred that must agree with the template.
 ALIKE = 60
 FIELD = "<*>"
-#: Dropped line numbers that are broadcast with their documents at most.
+#: Lines up to the last dropped one that are broadcast with their documents at most.
 SENT_LINES = 2_000_000
 #: Templates (of a line's length each) that are broadcast at most.
 MOST_TEMPLATES = 20_000
@@ -124,8 +124,13 @@ def repeated_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
 
 
 def _with_gone(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs as `row`, the lines of the text as `parts` and the numbers of those to drop as `gone`."""
-    lists = stored(dropped.groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone")), "dropped")
+    """The rows of docs as `row`, the lines of the text as `parts`, and for each line up to the last that is dropped whether
+    it is (`gone`)."""
+    lists = stored(dropped.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line")).alias("at")), "at")
+    # spelled out for every line, so that a document with very many dropped lines takes time in proportion
+    before = F.concat(F.array(F.lit(-1)), F.expr("slice(at, 1, size(at) - 1)"))
+    flags = F.flatten(F.zip_with("at", before, lambda a, b: F.concat(F.array_repeat(F.lit(False), a - b - 1), F.array(F.lit(True)))))
+    lists = stored(lists.select("doc_id", "version", flags.alias("gone")), "dropped")
     size = lists.agg(F.sum(F.size("gone"))).first()[0] or 0
     if size <= SENT_LINES:  # counted; beyond it the texts are shuffled
         lists = F.broadcast(lists)
@@ -135,7 +140,7 @@ def _with_gone(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def _kept():
-    text = F.array_join(F.filter("parts", lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.array_join(F.zip_with("parts", "gone", lambda x, g: F.when(~F.coalesce(g, F.lit(False)), x)), "\n")
     return F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(text)
 
 
@@ -149,7 +154,7 @@ def line_digests(docs: DataFrame) -> DataFrame:
     """doc_id, lines in all and dropped, and the digest of what is kept, of every row."""
     found = _with_gone(docs.select("doc_id", "text"), recurring_lines(docs))
     n_lines = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.size("parts")).cast("long")
-    n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(F.filter("gone", lambda g: g))).cast("long")
     return found.select("row.doc_id", n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.sha2(F.encode(F.coalesce(_kept(), F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
