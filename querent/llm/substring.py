@@ -10,7 +10,8 @@ words need no windows: all but the first are repeats as a whole.
 
 Null and empty texts have no words: nothing is removed and the digest is that of nothing. Texts under `width` words have
 no window. Rows with null doc_id are returned whole and are never a source. Rows that repeat a doc_id are versions of one
-document, which never remove words from each other.
+document, which never remove words from each other. Very long texts are taken whole. Further columns are not looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ BATCHES, FANOUT = 3, 2
 #: Removed stretches that are broadcast with their documents at most.
 SENT_STRETCHES = 1_000_000
 _SECOND_BASE = 0xD1342543DE82EF95
-_words = WordHashes(1)
+#: Two independent hashes of a word, so that windows compared by both differ where either does.
+_words, _others = WordHashes(1), WordHashes(2)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,7 +86,8 @@ class SubstringIndex:
         sketch = stored(self._sketch(_keyed(docs)), "sketch")
         new_whole = sketch.select("whole", "doc_id", "version")
         wholes = self._history().where("whole is not null").select("whole", "doc_id", "version")
-        first = new_whole.union(wholes).groupBy("whole").agg(F.min("doc_id").alias("first"))
+        # stored, so that a text of very many copies can be split where it meets its first document
+        first = sent_if_small(stored(new_whole.union(wholes).groupBy("whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "wholes"))
         copies = stored(new_whole.join(first, "whole").where("first < doc_id").select("doc_id", "version").distinct(), "copies")
         self.copies.append(copies)
         fresh = sketch.join(copies, ["doc_id", "version"], "left_anti")
@@ -128,7 +131,8 @@ class SubstringIndex:
             for batch in batches:
                 prints = batch.column("prints")
                 for k, (doc_id, version, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text")), strict=True)):
-                    hashes = _words.of(words_of(text))
+                    words = words_of(text)
+                    hashes = _words.of(words)
                     known = np.sort(prints[k].values.to_numpy())
                     mine = fingerprints(hashes, width, gram).view(np.int64)
                     at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
@@ -137,7 +141,7 @@ class SubstringIndex:
                         n = len(start)
                         yield pa.RecordBatch.from_pydict({
                             "one": pa.array(rolling(hashes, width)[start].view(np.int64)),
-                            "two": pa.array(rolling(hashes, width, _SECOND_BASE)[start].view(np.int64)),
+                            "two": pa.array(rolling(_others.of(words), width, _SECOND_BASE)[start].view(np.int64)),
                             "doc_id": pa.array(np.full(n, doc_id, np.int64)),
                             "version": pa.array(np.full(n, version, np.int64)),
                             "start": pa.array(start.astype(np.int32)),
