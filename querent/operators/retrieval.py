@@ -7,32 +7,36 @@ from pyspark.sql import functions as F
 
 from querent.functions import text
 from querent.sources import catalog
+from querent.sources.shared import cut
 
 K1, B, TOP_K, RRF_K = 1.2, 0.75, 24, 60
 RERANK_INPUT, OUTPUT_K = 30, 8
 
 
-def term_counts(chunks: DataFrame, terms: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """Postings of the wanted terms alone: chunk, its length in tokens, term and count."""
-    words = chunks.select(id_col, text.tokens(F.col(text_col)).alias("words"))
-    rows = words.select(id_col, F.size("words").alias("length"), F.explode("words").alias("term"))
-    return rows.join(terms.select("term").distinct(), "term", "left_semi").groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(queries: DataFrame, chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """Stored postings of the query terms alone, from one pass over the texts: chunk_id, owner, acl_hash, length in tokens and
+    distinct words of the chunk, term and tf. Each chunk also has one row of the empty term, which corpus counts come from."""
+    terms = queries.select(F.explode(F.array_append(text.tokens(F.col("query_text")), F.lit(""))).alias("term")).distinct()
+    words = chunks.select("chunk_id", F.col("tenant_id").alias("owner"), "acl_hash", text.tokens(F.col(text_col)).alias("words"))
+    # counted before the words are dealt out, else once for each word
+    words = words.select("chunk_id", "owner", "acl_hash", F.size("words").alias("length"), F.size(F.array_distinct("words")).alias("n_words"), F.array_append("words", F.lit("")).alias("words"))
+    rows = words.select("chunk_id", "owner", "acl_hash", "length", "n_words", F.explode("words").alias("term"))
+    rows = rows.join(terms, "term", "left_semi").groupBy("chunk_id", "owner", "acl_hash", "length", "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return cut(rows, "postings")
 
 
-def corpus_stats(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """Number of chunks and their mean length in tokens, over all tenants."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.tokens(F.col(text_col)))).alias("mean_length"))
+def _in_scope(rows: DataFrame) -> DataFrame:
+    return rows.where((F.col("owner") == F.col("tenant_id")) & F.array_contains(F.array_append("acl_hashes", F.lit("public")), F.col("acl_hash")))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, chunk_id, score of every visible chunk that has a query term; frequencies count over all tenants."""
-    asked = catalog.query_tokens(queries)
-    postings = term_counts(chunks, asked)
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scope = chunks.select("chunk_id", F.col("tenant_id").alias("owner"), "acl_hash")
-    hits = asked.join(postings.join(df, "term").join(scope, "chunk_id"), "term")
-    hits = hits.where((F.col("owner") == F.col("tenant_id")) & F.array_contains(F.array_append("acl_hashes", F.lit("public")), F.col("acl_hash")))
-    hits = hits.crossJoin(F.broadcast(corpus_stats(chunks)))  # one row
+def bm25(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, held: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score of every visible chunk that has a query term; frequencies count over all tenants. `held`:
+    postings() of these queries, where they are there already."""
+    held = postings(queries, chunks) if held is None else held
+    stats = held.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    held = held.where("term <> ''")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = _in_scope(catalog.query_tokens(queries).join(held.join(df, "term"), "term")).crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * gain), 6).alias("score")).where("score > 0")
@@ -51,15 +55,12 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFra
     return top_k(scored, k, id_col="point_id")
 
 
-def overlap_leg(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def overlap_leg(queries: DataFrame, chunks: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """A second ranking: Jaccard overlap of query and chunk words, among chunks that share a query term."""
+    held = (postings(queries, chunks) if held is None else held).where("term <> ''")
     asked = queries.select("query_id", "tenant_id", "acl_hashes", F.array_distinct(text.tokens(F.col("query_text"))).alias("asked"))
-    words = chunks.select("chunk_id", F.col("tenant_id"), "acl_hash", F.array_distinct(text.tokens(F.col("text"))).alias("words"))
     terms = asked.select("query_id", "tenant_id", "acl_hashes", F.size("asked").alias("n_asked"), F.explode("asked").alias("term"))
-    held = words.select("chunk_id", F.col("tenant_id").alias("owner"), "acl_hash", F.size("words").alias("n_words"), F.explode("words").alias("term"))
-    held = held.join(terms.select("term").distinct(), "term", "left_semi")
-    both = terms.join(held, "term").where((F.col("owner") == F.col("tenant_id")) & F.array_contains(F.array_append("acl_hashes", F.lit("public")), F.col("acl_hash")))
-    both = both.groupBy("query_id", "chunk_id", "n_asked", "n_words").agg(F.count(F.lit(1)).alias("both"))
+    both = _in_scope(terms.join(held, "term")).groupBy("query_id", "chunk_id", "n_asked", "n_words").agg(F.count(F.lit(1)).alias("both"))
     return both.select("query_id", "chunk_id", F.round(F.col("both") / (F.col("n_asked") + F.col("n_words") - F.col("both")), 6).alias("score"))
 
 

@@ -15,11 +15,11 @@ def _q(p):
 
 
 _ASK = """asked AS (SELECT conv_id * 100 + turn AS query_id, CASE turn % 9 WHEN 0 THEN 'Please compare ' || t || ' and Sev-2 rotas for our team' WHEN 1 THEN 'hello' WHEN 2 THEN 'what is 12 * 7 of ' || t WHEN 3 THEN 'Summarize this text ' || t WHEN 4 THEN 'current price of ' || t || ' right now please'
-  WHEN 5 THEN 'quote the SLA verbatim, which document says it' WHEN 6 THEN 'tell me who will escalate sev-1 for Acme Corp' ELSE t END AS query_text FROM (SELECT *, regexp_replace(left(text, 30), '[^ -~]', 'x', 'g') AS t FROM conversations))"""
+  WHEN 5 THEN 'quote the SLA verbatim, which document says it' WHEN 6 THEN 'tell me who will escalate sev-1 for Acme Corp' ELSE t END AS query_text FROM (SELECT *, regexp_replace(text, '[^ -~]', 'x', 'g') AS t FROM conversations))"""
 
 
 def asked(spark, sf_dir):
-    t, k = F.regexp_replace(F.left("text", F.lit(30)), "[^ -~]", "x"), F.col("turn") % 9
+    t, k = F.regexp_replace("text", "[^ -~]", "x"), F.col("turn") % 9
     made = (
         F.when(k == 0, F.concat(F.lit("Please compare "), t, F.lit(" and Sev-2 rotas for our team")))
         .when(k == 1, "hello")

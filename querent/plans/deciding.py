@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from querent.functions import text
 from querent.operators import evaluation, fusion
 from querent.sources import catalog
+from querent.sources.shared import cut
 
 from . import base
 from .base import query
@@ -27,13 +28,13 @@ _STANCE = f"""CASE WHEN len(a.words) > 0 AND ({base.covered("a.words", "b.words"
 
 
 @query(
-    f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[.!?].*$', '', 's') || CASE turn % 3 WHEN 0 THEN ' is 30 days' WHEN 1 THEN ' is not 45 days' ELSE '' END AS s FROM conversations), p AS (SELECT conv_id, turn, {_stance_sql("s")} AS p FROM t),
+    f"""WITH t AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' is 30 days' WHEN 1 THEN ' is not 45 days' ELSE '' END AS s FROM conversations), p AS (SELECT conv_id, turn, {_stance_sql("s")} AS p FROM t),
 j AS (SELECT x.conv_id, x.turn AS left_turn, y.turn AS right_turn, x.p AS a, y.p AS b FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.turn < y.turn)
 SELECT conv_id, left_turn, right_turn, {_STANCE} AS stance FROM j"""
 )
 def stance_pairs(spark, sf_dir):
     n = F.col("turn") % 3
-    s = F.concat(F.regexp_replace("text", r"(?s)[.!?].*$", ""), F.when(n == 0, " is 30 days").when(n == 1, " is not 45 days").otherwise(""))
+    s = F.concat("text", F.when(n == 0, " is 30 days").when(n == 1, " is not 45 days").otherwise(""))
     rows = catalog.table(spark, sf_dir, "conversations").select("conv_id", "turn", fusion.stance_parts(s).alias("p"))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")))
@@ -45,7 +46,7 @@ _GROUPS = _BM25.replace("labels AS", f"{_ROOTS}, labels AS") + ", gr AS (SELECT
 
 def groups(spark, sf_dir):
     rows = reranked(spark, sf_dir).join(roots(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
-    return rows.select("query_id", F.col("final_rank").alias("place"), "lineage_root", "authority", "rerank_score", "updated_at_ms", "text")
+    return cut(rows.select("query_id", F.col("final_rank").alias("place"), "lineage_root", "authority", "rerank_score", "updated_at_ms", "text"), "groups")
 
 
 _SENTS = f"""sn AS (SELECT query_id, place, lineage_root, authority, list_filter(list_transform({base.sentences("text")}, lambda s: trim(s)), lambda s: length(s) > 12) AS ss FROM gr),
@@ -86,9 +87,11 @@ def staleness(spark, sf_dir):
 
 
 @query(
-    f"""{_GROUPS}, {_CONFIDENCE}, {_AGREEMENT},
+    f"""{_GROUPS}, {_SENTS}, {_CONFIDENCE}, {_AGREEMENT}, nc AS (SELECT query_id, count(*) AS n_conflicts, bool_or(round(abs(xa - ya), 6) < 0.15) AS surfaced FROM cf GROUP BY 1),
+ol AS (SELECT query_id, round((1704067200000 - min(updated_at_ms)) / (180.0::double * 86400000), 6) > 1 AS stale FROM gr WHERE updated_at_ms > 0 GROUP BY 1),
 x AS (SELECT query_id, confidence AS p_ret, CASE query_id % 4 WHEN 0 THEN 0.9::double WHEN 1 THEN 0.5::double WHEN 2 THEN 0.2::double END AS p_par, agreement, (SELECT max(authority) FROM gr WHERE gr.query_id = rc.query_id) AS am,
-  query_id % 5 = 0 AS surfaced, query_id % 3 AS n_conflicts, query_id % 6 = 1 AS pc, query_id % 7 = 0 AS stale, query_id % 2 = 0 AS private, query_id % 3 = 0 AS ambiguous, query_id % 2 = 1 AS strict FROM rc JOIN ag USING (query_id)),
+  coalesce(surfaced, false) AS surfaced, coalesce(n_conflicts, 0) AS n_conflicts, query_id % 6 = 1 AS pc, coalesce(stale, false) AS stale, query_id % 2 = 0 AS private, query_id % 3 = 0 AS ambiguous, query_id % 2 = 1 AS strict
+  FROM rc JOIN ag USING (query_id) LEFT JOIN nc USING (query_id) LEFT JOIN ol USING (query_id)),
 y AS (SELECT *, CASE WHEN private AND p_ret < 0.4 THEN 'private_query_no_evidence' WHEN p_ret < 0.4 AND coalesce(p_par, 0) < 0.7 AND ambiguous THEN 'ambiguous_needs_clarification' WHEN p_ret < 0.4 AND coalesce(p_par, 0) < 0.7 THEN 'knowledge_below_floor' WHEN stale AND strict THEN 'evidence_too_stale' END AS reason_code FROM x)
 SELECT query_id, CASE WHEN reason_code IS NOT NULL THEN 'abstain' WHEN p_ret < 0.4 THEN 'parametric' ELSE 'retrieved_evidence' END AS basis, reason_code,
   round(0.4::double * p_ret * am * 0.5::double + 0.2::double * coalesce(p_par, 0) * 0.55::double + 0.2::double * agreement - 0.15::double * CASE WHEN surfaced THEN 1.0 WHEN n_conflicts > 0 THEN 0.5 ELSE 0 END::double - 0.05::double * 0
@@ -98,9 +101,12 @@ def decision_table(spark, sf_dir):
     rows = groups(spark, sf_dir)
     q = F.col("query_id")
     made = fusion.retrieval_confidence(rows).join(fusion.independent_agreement(rows, rows.where("lineage_root % 4 = 1")), "query_id").join(rows.groupBy("query_id").agg(F.max("authority").alias("authority_max")), "query_id")
+    conflicts = fusion.source_conflicts(rows).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_conflicts"), F.bool_or(F.col("resolution") == "surfaced").alias("surfaced"))
+    stale = fusion.staleness(rows, F.lit(180.0)).select("query_id", F.lit(True).alias("stale"))
+    made = made.join(conflicts, "query_id", "left").join(stale, "query_id", "left").na.fill({"n_conflicts": 0, "surfaced": False, "stale": False})
     made = made.select(
         "query_id", F.col("confidence").alias("p_ret"), F.when(q % 4 == 0, 0.9).when(q % 4 == 1, 0.5).when(q % 4 == 2, 0.2).alias("p_par"), "agreement", "authority_max", F.lit(0.5).alias("freshness"),
-        (q % 5 == 0).alias("surfaced"), (q % 3).alias("n_conflicts"), (q % 6 == 1).alias("parametric_conflict"), (q % 7 == 0).alias("stale"), (q % 2 == 0).alias("private"), (q % 3 == 0).alias("ambiguous"), (q % 2 == 1).alias("strict"), F.lit(0.0).alias("coverage_gap"),
+        "surfaced", "n_conflicts", (q % 6 == 1).alias("parametric_conflict"), "stale", (q % 2 == 0).alias("private"), (q % 3 == 0).alias("ambiguous"), (q % 2 == 1).alias("strict"), F.lit(0.0).alias("coverage_gap"),
     )
     return fusion.decided(made).select("query_id", "basis", "reason_code", "knowledge_score")
 

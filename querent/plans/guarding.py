@@ -8,6 +8,7 @@ from querent.operators import filters, guardrails
 from querent.sources import catalog
 
 from .base import query
+from .retrieval import _BM25, reranked
 
 
 def _any(col, patterns):
@@ -113,18 +114,19 @@ def guardrail_chain(spark, sf_dir):
 
 
 @query(
-    f"""WITH {catalog.SQL_DOCUMENTS}, {catalog.SQL_QUERIES}, g AS (SELECT query_id, tenant_id AS own, d.* FROM queries q JOIN (SELECT doc_id, text, tenant_id AS t2, acl_hash, source_id FROM docs) d ON d.doc_id % 40 = q.query_id % 40),
+    _BM25
+    + """, g AS (SELECT query_id, concat('tenant-', (query_id + query_id % 2) % 3) AS own, d.* FROM final JOIN (SELECT doc_id AS chunk_id, text, tenant_id AS t2, acl_hash, source_id FROM docs) d USING (chunk_id)),
 failed AS (SELECT DISTINCT query_id FROM g WHERE (own <> 'tenant-0' AND contains(text, 'Licensed under CC BY')) OR (own <> 'tenant-1' AND contains(text, 'Released under the MIT')))
-SELECT query_id, count(*) AS shown, count_if(reason = 'access') AS no_access, count_if(reason = 'quarantined') AS quarantined FROM (
+SELECT query_id, count(*) AS shown, count(*) FILTER (reason = 'access') AS no_access, count(*) FILTER (reason = 'quarantined') AS quarantined FROM (
   SELECT query_id, CASE WHEN t2 <> own OR acl_hash NOT IN ('acl-eng', 'public') THEN 'access' WHEN source_id IN ('src1', 'src7') THEN 'quarantined' END AS reason FROM g WHERE query_id NOT IN (SELECT query_id FROM failed)) GROUP BY ALL"""
 )
 def retrieval_screen(spark, sf_dir):
-    asking = catalog.queries(spark, sf_dir)
-    docs = catalog.documents(spark, sf_dir)
-    groups = asking.select("query_id", (F.col("query_id") % 40).alias("k")).join(docs.withColumn("k", F.col("doc_id") % 40), "k")
-    groups = groups.select("query_id", F.col("doc_id").alias("group_id"), "text", "tenant_id", "acl_hash", "source_id")
+    """What was retrieved, screened for who asks now: for odd queries a principal of the next tenant."""
+    n = F.col("query_id")
+    asking = catalog.queries(spark, sf_dir).select("query_id", F.concat(F.lit("tenant-"), ((n + n % 2) % 3).cast("string")).alias("own_tenant"), "acl_hashes")
+    groups = reranked(spark, sf_dir).select("query_id", F.col("chunk_id").alias("group_id"), "text", "tenant_id", "acl_hash", "source_id")
     canaries = spark.createDataFrame([("tenant-0", "Licensed under CC BY"), ("tenant-1", "Released under the MIT")], "tenant_id string, canary string")
-    kept, _ = guardrails.screen(groups, asking.select("query_id", F.col("tenant_id").alias("own_tenant"), "acl_hashes"), canaries, ["src1", "src7"])
+    kept, _ = guardrails.screen(groups, asking, canaries, ["src1", "src7"])
     return kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("shown"), F.count_if(F.col("dropped_for") == "access").alias("no_access"), F.count_if(F.col("dropped_for") == "quarantined").alias("quarantined"))
 
 

@@ -102,8 +102,8 @@ def hashed_embeddings(spark, sf_dir):
     return ingestion.hashed_vectors(catalog.table(spark, sf_dir, "documents"))
 
 
-@query(f"WITH {catalog.SQL_DOCUMENTS} SELECT doc_id::varchar AS chunk_id, tenant_id, acl_hash, authority, source_id, doc_id AS lineage_root, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END || chr(10) || chr(10) || left(text, 40) AS prefixed_head, 'slow' AS volatility FROM docs")
+@query(f"WITH {catalog.SQL_DOCUMENTS} SELECT doc_id::varchar AS chunk_id, tenant_id, acl_hash, authority, source_id, doc_id AS lineage_root, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END || chr(10) || chr(10) || text AS prefixed, 'slow' AS volatility FROM docs")
 def index_payload(spark, sf_dir):
     docs = catalog.documents(spark, sf_dir)
     path = F.array(F.when(F.col("lang") == "en", "en").otherwise("other"))
-    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "tenant_id", "acl_hash", "authority", "source_id", F.coalesce(F.lit(None).cast("long"), "doc_id").alias("lineage_root"), ingestion.prefixed(F.left("text", F.lit(40)), path).alias("prefixed_head"), F.lit("slow").alias("volatility"))
+    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "tenant_id", "acl_hash", "authority", "source_id", F.coalesce(F.lit(None).cast("long"), "doc_id").alias("lineage_root"), ingestion.prefixed(F.col("text"), path).alias("prefixed"), F.lit("slow").alias("volatility"))

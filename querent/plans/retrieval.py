@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from querent.functions import text
 from querent.operators import evaluation, retrieval
 from querent.sources import catalog
+from querent.sources.shared import cut
 
 from . import base
 from .base import query
@@ -41,13 +42,14 @@ def _chunks(spark, sf_dir):
     return catalog.documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")
 
 
-def _bm25_top(spark, sf_dir):
-    return retrieval.top_k(retrieval.bm25(catalog.queries(spark, sf_dir), _chunks(spark, sf_dir)), retrieval.TOP_K)
+def _bm25_top(spark, sf_dir, held=None):
+    return retrieval.top_k(retrieval.bm25(catalog.queries(spark, sf_dir), _chunks(spark, sf_dir), held=held), retrieval.TOP_K)
 
 
 def _legs(spark, sf_dir):
-    lexical = _bm25_top(spark, sf_dir).select("query_id", "chunk_id", F.lit("lexical").alias("source"), "rank", F.col("score").alias("effective_score"), F.lit(1.0).alias("weight"))
-    overlap = retrieval.top_k(retrieval.overlap_leg(catalog.queries(spark, sf_dir), _chunks(spark, sf_dir)), retrieval.TOP_K)
+    held = retrieval.postings(catalog.queries(spark, sf_dir), _chunks(spark, sf_dir))
+    lexical = _bm25_top(spark, sf_dir, held).select("query_id", "chunk_id", F.lit("lexical").alias("source"), "rank", F.col("score").alias("effective_score"), F.lit(1.0).alias("weight"))
+    overlap = retrieval.top_k(retrieval.overlap_leg(catalog.queries(spark, sf_dir), _chunks(spark, sf_dir), held), retrieval.TOP_K)
     return lexical.unionByName(overlap.select("query_id", "chunk_id", F.lit("overlap").alias("source"), "rank", F.col("score").alias("effective_score"), F.lit(0.5).alias("weight")))
 
 
@@ -56,10 +58,11 @@ def fused(spark, sf_dir):
 
 
 def reranked(spark, sf_dir):
-    """Candidates with texts, reranked: what evidence and answers start from."""
+    """Candidates with texts, reranked: what evidence and answers start from. Stored, as a plan reads it more than once."""
     pool = retrieval.top_k(fused(spark, sf_dir), retrieval.RERANK_INPUT, by="fused_score").withColumnRenamed("rank", "position")
+    pool = cut(pool, "pool")  # RERANK_INPUT rows a query, so texts are joined to few rows
     texts = _chunks(spark, sf_dir).select("chunk_id", "text", "source_id", "authority", "updated_at_ms", "tenant_id", "acl_hash")
-    return retrieval.rerank(catalog.queries(spark, sf_dir), pool.join(texts, "chunk_id"))
+    return cut(retrieval.rerank(catalog.queries(spark, sf_dir), pool.join(texts, "chunk_id")), "reranked")
 
 
 def relevance(spark, sf_dir):

@@ -10,7 +10,6 @@ from querent.functions import text
 #: The as-of clock in milliseconds; nothing reads the wall clock.
 CLOCK_MS = 1704067200000
 DAY_MS = 86_400_000
-QUERY_WORDS = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +32,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query set: the first words of each benchmark item, and who asks."""
+    """The query set: each benchmark item, its white space collapsed, and who asks."""
     b = table(spark, sf_dir, "benchmark")
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, QUERY_WORDS)
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     return b.select(
         F.col("item_id").alias("query_id"),
         F.array_join(words, " ").alias("query_text"),
@@ -60,5 +59,5 @@ SQL_DOCUMENTS = """docs AS (SELECT doc_id, text, lang, source AS source_id, conc
   CASE doc_id % 5 WHEN 0 THEN 'acl-finance' WHEN 1 THEN 'acl-eng' ELSE 'public' END AS acl_hash,
   round(0.3::double + 0.1::double * (doc_id % 7), 6) AS authority,
   CASE WHEN doc_id % 2 = 0 THEN 1704067200000 - doc_id * 86400000 ELSE 0 END AS updated_at_ms FROM documents)"""
-SQL_QUERIES = """queries AS (SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:12], ' ') AS query_text,
+SQL_QUERIES = """queries AS (SELECT item_id AS query_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ') AS query_text,
   concat('tenant-', item_id % 3) AS tenant_id FROM benchmark)"""

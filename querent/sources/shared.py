@@ -22,6 +22,8 @@ def folder(spark: SparkSession, tag: str) -> str:
     """A new folder of its own under the shared one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):  # each machine would write to its own disk
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="querent-"))
         base = _OWN[0]
