@@ -86,35 +86,36 @@ def samples_of(media: bytes) -> tuple[int, bytes]:
 
 
 @cache
-def _phases() -> np.ndarray:
-    """The windowed-sinc low-pass, a row of taps for each of the UP phases."""
+def _phases() -> tuple[int, np.ndarray]:
+    """The windowed-sinc low-pass in polyphase form: a column of taps for each of the UP outputs of a period, over the input
+    samples from the first place (counted from the period's own first sample) on."""
     half = TAPS * max(UP, DOWN) // 2
     t = np.arange(-half, half + 1)
     cut = 1 / max(UP, DOWN)
     taps = np.sinc(t * cut) * cut * np.hanning(len(t) + 2)[1:-1] * UP
-    rows = -(-len(taps) // UP)
-    return np.pad(taps, (0, rows * UP - len(taps))).reshape(rows, UP).T
+    first, last = -(half // UP), ((UP - 1) * DOWN + half) // UP
+    at = np.arange(UP)[None, :] * DOWN + half - UP * np.arange(first, last + 1)[:, None]
+    there = (at >= 0) & (at < len(taps))
+    return first, np.where(there, taps[np.clip(at, 0, len(taps) - 1)], 0.0)
 
 
 def resampled(held: np.ndarray, first: int, count: int) -> np.ndarray:
     """Output samples first .. first+count at UP/DOWN of the rate; what lies outside the input (8-bit samples) is silence."""
-    phases = _phases()
-    width, half = phases.shape[1], TAPS * max(UP, DOWN) // 2
-    out = np.empty(count)
-    for phase in range(UP):
-        # output k stands at k * DOWN on the UP-fold grid; phase p uses the taps p, p + UP, ...
-        k = np.arange(first, first + count)
-        mine = k[(k * DOWN + half) % UP == phase]
-        if not len(mine):
-            continue
-        newest = (mine * DOWN + half - phase) // UP
-        low, high = int(newest[0]) - width + 1, int(newest[-1]) + 1
-        part = (held[max(0, low) : max(0, high)].astype(np.float64) - 128) / 128
-        part = np.pad(part, (max(0, -low), max(0, high - max(low, 0) - len(part))))
-        step = int(newest[1] - newest[0]) if len(newest) > 1 else 1
-        windows = np.lib.stride_tricks.sliding_window_view(part, width)[::step][: len(mine)]
-        out[mine - first] = windows @ phases[phase][::-1]
-    return out
+    place, phases = _phases()
+    q, end = first // UP, -(-(first + count) // UP)
+    low, width = q * DOWN + place, len(phases)
+    part = np.zeros((end - q - 1) * DOWN + width)
+    a, b = max(0, low), min(len(held), low + len(part))
+    if b > a:
+        part[a - low : b - low] = (held[a:b].astype(np.float64) - 128) / 128
+    # UP outputs for each period of DOWN inputs
+    periods = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, width)[::DOWN])
+    return (periods @ phases).reshape(-1)[first - q * UP :][:count]
+
+
+@cache
+def _window() -> np.ndarray:
+    return np.hanning(FRAME)
 
 
 @cache
@@ -134,15 +135,17 @@ def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     samples = np.frombuffer(data, np.uint8)
     total = -(-len(samples) * UP // DOWN)
     frames = 1 + max(0, -(-(total - FRAME) // HOP))
-    size, window = 1 << (FRAME - 1).bit_length(), np.hanning(FRAME)
+    size, window = 1 << (FRAME - 1).bit_length(), _window()
     mels, energy = [], []
     for at in range(0, frames, BLOCK):
         n = min(BLOCK, frames - at)
         wanted = (n - 1) * HOP + FRAME
         have = min(wanted, total - at * HOP)
-        sound = np.pad(resampled(samples, at * HOP, have), (0, wanted - have))
+        sound = np.zeros(wanted)
+        sound[:have] = resampled(samples, at * HOP, have)
         cut = np.lib.stride_tricks.sliding_window_view(sound, FRAME)[::HOP]
-        power = np.abs(np.fft.rfft(cut * window, size)) ** 2
+        spectrum = np.fft.rfft(cut * window, size)
+        power = spectrum.real**2 + spectrum.imag**2
         mels.append(np.round(1000 * np.log10(power @ _mel() + FLOOR)).astype(np.int16))
         energy.append(10 * np.log10((cut * cut).mean(axis=1) + FLOOR))
     return np.concatenate(mels), np.round(np.concatenate(energy), 2)
@@ -171,7 +174,9 @@ def spans(frames: int) -> tuple[np.ndarray, np.ndarray]:
 def tensors(mels: np.ndarray) -> pa.FixedShapeTensorArray:
     """Windows of the log-mel energies as fixed-shape tensors of WINDOW by MELS."""
     n = -(-len(mels) // WINDOW)
-    filled = np.pad(mels, ((0, n * WINDOW - len(mels)), (0, 0)), constant_values=int(np.log10(FLOOR) * 1000)).astype(np.float32) / np.float32(100)
+    filled = np.full((n * WINDOW, MELS), int(np.log10(FLOOR) * 1000), np.float32)
+    filled[: len(mels)] = mels
+    filled /= np.float32(100)
     return pa.FixedShapeTensorArray.from_numpy_ndarray(filled.reshape(n, WINDOW, MELS))
 
 
