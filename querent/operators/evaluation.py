@@ -73,3 +73,38 @@ def ece_bins(rows: DataFrame, p: str, outcome: str, bins: int = 10) -> DataFrame
     """Count, mean prediction and hit rate of each bin; the expected calibration error is their weighted gap."""
     b = F.least(F.lit(bins - 1), F.floor(F.col(p) * bins)).cast("long")
     return rows.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.col(outcome).cast("double")), 6).alias("hit_rate"))
+
+
+def coverage_at_k(ranked: DataFrame, aspects: DataFrame, k: int) -> DataFrame:
+    """Share of each query's aspects (query_id, aspect, doc_id: a document that supports it) with a document in the top k."""
+    top = first_occurrences(ranked).where(F.col("place") <= k).select("query_id", "doc_id", F.lit(True).alias("hit"))
+    covered = aspects.join(top, ["query_id", "doc_id"], "left").groupBy("query_id", "aspect").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
+    return covered.groupBy("query_id").agg(F.round(F.avg(F.col("hit").cast("double")), 6).alias("coverage"))
+
+
+# The least score that passes, for each metric of an answer.
+ANSWER_THRESHOLDS = {"groundedness": 0.9, "citation_precision": 0.95, "completeness": 1.0, "abstention_correct": 1.0, "adversarial": 1.0}
+
+
+def answer_scores(samples: DataFrame) -> DataFrame:
+    """query_id, metric_id, score and passed of each answer; a metric that a sample has no data for has null score and passed.
+
+    Samples: query_id, answer, abstained, claims_total, claims_cited, citations and relevant (arrays of document ids),
+    expected_facts, expect_abstain, expected_outcome, outcome, forbidden. Null and empty lists are missing data alike. A
+    null answer holds nothing, and a sample of unknown abstention did not abstain. Citations that repeat count again.
+    """
+    answer, gone = F.coalesce("answer", F.lit("")), F.coalesce("abstained", F.lit(False))
+    some = lambda c: F.coalesce(F.array_size(c), F.lit(0)) > 0
+    right = F.size(F.filter("citations", lambda c: F.array_contains("relevant", c)))
+    facts = F.size(F.filter("expected_facts", lambda f: F.contains(F.lower(answer), F.lower(f))))
+    leaked = F.coalesce(F.exists("forbidden", lambda f: F.contains(answer, f)), F.lit(False))
+    as_expected = F.col("expected_outcome").isNull() | F.coalesce(F.col("outcome") == F.col("expected_outcome"), F.lit(False))
+    scores = {
+        "groundedness": F.when(~gone & (F.col("claims_total") > 0), F.coalesce("claims_cited", F.lit(0)) / F.col("claims_total")),
+        "citation_precision": F.when(~gone & some("relevant"), F.when(some("citations"), right / F.size("citations")).otherwise(0.0)),
+        "completeness": F.when(some("expected_facts"), facts / F.size("expected_facts")),
+        "abstention_correct": (gone == F.col("expect_abstain")).cast("double"),
+        "adversarial": F.when(F.col("expected_outcome").isNotNull() | some("forbidden"), (as_expected & ~leaked).cast("double")),
+    }
+    made = [F.struct(F.lit(m).alias("metric_id"), F.round(s, 6).alias("score"), (F.round(s, 6) >= ANSWER_THRESHOLDS[m]).alias("passed")) for m, s in scores.items()]
+    return samples.select("query_id", F.explode(F.array(*made)).alias("m")).select("query_id", "m.*")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from querent.operators import evaluation
+from querent.functions import text
+from querent.operators import evaluation, grounding
 from querent.sources import catalog
 
+from . import base
 from .base import query
 from .grounding import _ANSWER, answers
-from .retrieval import relevance
+from .retrieval import _BM25, _bm25_top, relevance, reranked
 
 _SAMPLES = (
     _ANSWER
@@ -78,3 +80,65 @@ def alert_ratios(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "events").withColumn("tenant", F.col("user_id") % 10)
     found = evaluation.alert_ratios(rows, F.col("event_type") == "error", "ts", ["tenant"], "1 day", 0.05)
     return found.withColumn("starts", F.col("starts").cast("timestamp_ntz"))
+
+
+@query(
+    _BM25
+    + """, top5 AS (SELECT query_id, chunk_id AS doc_id FROM bm25_top WHERE rank < 5), asp AS (SELECT query_id, source, bool_or(t.doc_id IS NOT NULL) AS hit
+  FROM labels l JOIN documents d USING (doc_id) LEFT JOIN top5 t USING (query_id, doc_id) GROUP BY ALL)
+SELECT query_id, round(avg(hit::int), 6) AS coverage FROM asp GROUP BY ALL"""
+)
+def coverage_at_k(spark, sf_dir):
+    """An aspect of a query is a source that holds a relevant document."""
+    ranked = _bm25_top(spark, sf_dir).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+    sources = catalog.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("aspect"))
+    return evaluation.coverage_at_k(ranked, relevance(spark, sf_dir).join(sources, "doc_id"), 5)
+
+
+#: Strings that no answer may hold.
+_FORBIDDEN = ("password=", "AKIA", 'token = "')
+_FACTS = base.content("query_text", text.LEXICAL, text.RERANK_STOP, 6)
+
+
+def answer_samples(spark, sf_dir):
+    """Answers with what they are judged by: their claims and citations, the documents that hold the item, its longer words
+    as facts. A query without a relevant document should be abstained from."""
+    pool = reranked(spark, sf_dir)
+    groups = pool.select("query_id", F.concat(F.lit("E"), F.col("final_rank") + 1).alias("marker"), "chunk_id", "text")
+    said = grounding.extractive_answers(catalog.queries(spark, sf_dir).select("query_id", "query_text"), groups.select("query_id", "marker", "text"))
+    said = said.withColumn("abstained", F.col("answer").isin(grounding.NO_ANSWER, grounding.NO_EVIDENCE))
+    claimed = grounding.claims(said).groupBy("query_id").agg(F.count(F.lit(1)).alias("claims_total"), F.count_if(F.size("markers") > 0).alias("claims_cited"))
+    cited = said.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(grounding.MARKER), F.lit(1)))).alias("marker"))
+    cited = cited.join(groups.select("query_id", "marker", "chunk_id"), ["query_id", "marker"]).groupBy("query_id").agg(F.collect_list("chunk_id").alias("citations"))
+    # only whether a cited document is relevant matters, so a query's relevant documents are few or those that it cites
+    known = relevance(spark, sf_dir)
+    held = known.join(pool.select("query_id", F.col("chunk_id").alias("doc_id"), F.lit(True).alias("pooled")), ["query_id", "doc_id"], "left")
+    held = held.groupBy("query_id").agg(F.concat(F.collect_list(F.when(F.col("pooled"), F.col("doc_id"))), F.array(F.min("doc_id"))).alias("relevant"))
+    asked = catalog.queries(spark, sf_dir).select("query_id", text.content(F.col("query_text"), text.LEXICAL, text.RERANK_STOP, 6).alias("expected_facts"))
+    rows = said.join(claimed, "query_id", "left").join(cited, "query_id", "left").join(held, "query_id", "left").join(asked, "query_id")
+    none = F.col("relevant").isNull()
+    return rows.withColumns({
+        "expect_abstain": none,
+        "expected_outcome": F.when(none, "abstained"),
+        "outcome": F.when(F.col("abstained"), "abstained").otherwise("answered"),
+        "forbidden": F.array(*[F.lit(x) for x in _FORBIDDEN]),
+    })
+
+
+@query(
+    _ANSWER
+    + f""", sm AS (SELECT a.query_id, answer, answer IN ('The retrieved evidence does not address that question.', 'I do not have evidence in context to answer that.') AS gone, {_FACTS} AS facts,
+  (SELECT count(*) FROM cl WHERE cl.query_id = a.query_id) AS n_claims, (SELECT count(*) FROM cl WHERE cl.query_id = a.query_id AND len(markers) > 0) AS n_cited,
+  (SELECT count(*) FROM labels l WHERE l.query_id = a.query_id) AS n_rel FROM ans a JOIN queries USING (query_id)),
+mk AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(answer, '\\[(E\\d+)\\]', 1)) AS marker FROM ans), ci AS (SELECT m.query_id, count(*) AS n, count(l.doc_id) AS good
+  FROM mk m JOIN final f ON f.query_id = m.query_id AND 'E' || (f.final_rank + 1) = m.marker LEFT JOIN labels l ON l.query_id = f.query_id AND l.doc_id = f.chunk_id GROUP BY ALL),
+sc5 AS (SELECT s.query_id, unnest([
+  {{'m': 'groundedness', 's': CASE WHEN NOT gone AND n_claims > 0 THEN n_cited::double / n_claims END, 't': 0.9::double}},
+  {{'m': 'citation_precision', 's': CASE WHEN NOT gone AND n_rel > 0 THEN coalesce(good::double / n, 0) END, 't': 0.95::double}},
+  {{'m': 'completeness', 's': CASE WHEN len(facts) > 0 THEN len(list_filter(facts, lambda f: contains(lower(answer), lower(f))))::double / len(facts) END, 't': 1.0::double}},
+  {{'m': 'abstention_correct', 's': (gone = (n_rel = 0))::int::double, 't': 1.0::double}},
+  {{'m': 'adversarial', 's': ((n_rel > 0 OR gone) AND NOT list_bool_or(list_transform({base.listed(_FORBIDDEN)}, lambda f: contains(answer, f))))::int::double, 't': 1.0::double}}]) AS x FROM sm s LEFT JOIN ci USING (query_id))
+SELECT query_id, x.m AS metric_id, round(x.s, 6) AS score, round(x.s, 6) >= x.t AS passed FROM sc5"""
+)
+def answer_quality(spark, sf_dir):
+    return evaluation.answer_scores(answer_samples(spark, sf_dir))
