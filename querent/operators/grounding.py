@@ -92,9 +92,21 @@ def judged_score(reply: Column) -> Column:
 
 
 def buffered_sentences(chunks: DataFrame, by: str, order: str, most: int = 400) -> DataFrame:
-    """What a sentence buffer releases from ordered pieces of a stream: at sentence ends, or at the last space of `most`
-    characters. A stream's pieces are one answer's, so they fold in one row."""
-    rows = chunks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "piece"))).alias("p")).select(by, F.array_join("p.piece", "").alias("whole"))
-    parts = rows.select(by, F.posexplode(text.sentences(F.col("whole"))).alias("n", "s"))
-    cut = F.regexp_extract_all("s", F.lit(rf"(?s).{{1,{most}}}(?:\s|$)|.{{1,{most}}}"), F.lit(0))
-    return parts.select(by, "n", F.posexplode(cut).alias("k", "released")).select(by, F.row_number().over(Window.partitionBy(by).orderBy("n", "k")).alias("place"), F.trim("released").alias("released"))
+    """What a sentence buffer releases from ordered pieces of a stream, white space kept. After each piece, whole sentences
+    go; if `most` characters or more are left, all up to the last space go as well. What is left at the end goes last. Null
+    pieces are empty, an empty stream releases nothing. A stream's pieces are one answer's, so they fold in one row."""
+    whole = lambda held: F.regexp_extract_all(held, F.lit(r"(?s).*?[.!?]\s+"), F.lit(0))
+    rest_of = lambda held: F.substring(held, F.length(F.array_join(whole(held), "")) + 1, F.length(held))
+
+    def fed(state: Column, piece: Column) -> Column:
+        held = F.concat(state["held"], F.coalesce(piece["piece"], F.lit("")))
+        rest = rest_of(held)
+        back = F.locate(" ", F.reverse(rest))
+        cut = F.when((F.length(rest) >= most) & (back > 0) & (back < F.length(rest)), F.length(rest) - back + 1).otherwise(0)
+        early = F.when(cut > 0, F.array(F.left(rest, cut))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.substring(rest, cut + 1, F.length(rest)).alias("held"), F.concat(state["released"], whole(held), early).alias("released"))
+
+    rows = chunks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "piece"))).alias("p"))
+    start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("released"))
+    last = lambda s: F.when(s["held"] != "", F.array_append(s["released"], s["held"])).otherwise(s["released"])
+    return rows.select(by, F.posexplode(F.aggregate("p", start, fed, last)).alias("place", "released")).withColumn("place", F.col("place") + 1)

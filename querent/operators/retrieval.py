@@ -93,3 +93,18 @@ def rerank(queries: DataFrame, candidates: DataFrame, k: int = OUTPUT_K) -> Data
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "position")
     rows = rows.withColumn("rerank_score", score).withColumn("final_rank", F.row_number().over(order) - 1)
     return rows.where(F.col("final_rank") < k).drop("asked", "held")
+
+
+def rerank_outcomes(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """query_id, ran and skipped_reason: whether each query (with `allowed` and `expired`) is reranked, and why not."""
+    some = candidates.select("query_id").distinct().withColumn("some", F.lit(True))
+    reason = F.when(~F.col("allowed"), "degraded_budget").when(F.col("some").isNull(), "no_candidates").when(F.col("expired"), "deadline_exceeded")
+    return queries.join(some, "query_id", "left").select("query_id", reason.isNull().alias("ran"), reason.alias("skipped_reason"))
+
+
+def rerank_with_budget(queries: DataFrame, candidates: DataFrame, input_k: int = RERANK_INPUT, k: int = OUTPUT_K) -> DataFrame:
+    """Reranks the first input_k candidates of the queries that may be; the others keep the fused order, unscored."""
+    rows = candidates.where(F.col("position") < max(input_k, k)).join(rerank_outcomes(queries, candidates), "query_id")
+    ranked = rerank(queries, rows.where(F.col("ran") & (F.col("position") < input_k)), k)
+    kept = rows.where(~F.col("ran") & (F.col("position") < k)).withColumns({"rerank_score": F.lit(None).cast("double"), "final_rank": F.col("position")})
+    return ranked.unionByName(kept)

@@ -96,6 +96,26 @@ def rerank_overlap(spark, sf_dir):
     return reranked(spark, sf_dir).select("query_id", "chunk_id", F.col("final_rank").cast("long").alias("final_rank"), F.col("position").cast("long").alias("position"), "fused_score", "rerank_score")
 
 
+#: A query of more characters is degraded; a pool of more characters takes longer than the deadline.
+_MOST_ASKED, _MOST_READ = 300, 130_000
+
+
+@query(
+    _BM25
+    + f"""SELECT query_id, chunk_id, CASE WHEN why IS NULL THEN place ELSE position END AS final_rank, CASE WHEN why IS NULL THEN rerank_score END AS rerank_score, coalesce(why, '') AS skipped_reason FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, position) - 1 AS place, CASE WHEN length(query_text) > {_MOST_ASKED} THEN 'degraded_budget' WHEN sum(length(text)) OVER (PARTITION BY query_id) > {_MOST_READ} THEN 'deadline_exceeded' END AS why
+  FROM reranked r JOIN queries q USING (query_id) JOIN docs d ON d.doc_id = r.chunk_id) WHERE final_rank < 8"""
+)
+def rerank_with_budget(spark, sf_dir):
+    pool = retrieval.top_k(fused(spark, sf_dir), retrieval.RERANK_INPUT, by="fused_score").withColumnRenamed("rank", "position")
+    pool = cut(pool.join(_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id"), "pool")
+    read = pool.groupBy("query_id").agg(F.sum(F.length("text")).alias("n_read"))
+    asked = catalog.queries(spark, sf_dir).select("query_id", "query_text").join(read, "query_id", "left")
+    asked = asked.withColumns({"allowed": F.length("query_text") <= _MOST_ASKED, "expired": F.coalesce(F.col("n_read") > _MOST_READ, F.lit(False))})
+    rows = retrieval.rerank_with_budget(asked, pool)
+    return rows.select("query_id", "chunk_id", F.col("final_rank").cast("long").alias("final_rank"), "rerank_score", F.coalesce("skipped_reason", F.lit("")).alias("skipped_reason"))
+
+
 @query(
     _BM25
     + """SELECT f.query_id, f.chunk_id, f.final_rank, f.rerank_score, l.doc_id IS NOT NULL AS relevant FROM final f

@@ -209,3 +209,56 @@ def test_near_duplicates_with_members_give_every_link(spark):
     alike = lambda a, b: len(set(texts[a]) & set(texts[b])) >= 0.85 * len(set(texts[a]) | set(texts[b]))
     got = {(a, b) for a in members for b in members if a < b and (members[a] == members[b] or tuple(sorted((members[a], members[b]))) in near)}
     assert got == {(a, b) for a in members for b in members if a < b and alike(a, b)} and (2, 4) in got and (5, 6) in got
+
+
+def test_sentence_buffer_is_the_fold(spark):
+    def released(pieces, most):
+        held, out = "", []
+        for piece in pieces:
+            held += piece or ""
+            while m := re.search(r"(?<=[.!?])\s+", held):
+                out.append(held[: m.end()])
+                held = held[m.end() :]
+            at = held.rfind(" ")
+            if len(held) >= most and at > 0:
+                out.append(held[: at + 1])
+                held = held[at + 1 :]
+        return out + ([held] if held else [])
+
+    streams = {
+        1: ["One. Two", "! Three  ", "four", None, " five. "],
+        2: ["words without an end " * 5, "and more", "x" * 50, " y"],
+        3: ["", None],
+        4: ["." * 30, " ", " a?", "\n\nb"],
+        5: [" " + "z" * 60, "é. " * 9],
+    }
+    rows = [(k, n, p) for k, pieces in streams.items() for n, p in enumerate(pieces)]
+    got = {k: [] for k in streams}
+    for r in grounding.buffered_sentences(spark.createDataFrame(rows, "k long, n long, piece string"), "k", "n", 40).orderBy("k", "place").collect():
+        got[r.k].append(r.released)
+    assert got == {k: released(pieces, 40) for k, pieces in streams.items()}
+
+
+def test_rerank_outcomes_name_the_first_reason(spark):
+    asked = spark.createDataFrame([(1, True, False), (2, False, True), (3, True, True), (4, True, True)], "query_id long, allowed boolean, expired boolean")
+    pool = spark.createDataFrame([(1,), (2,), (4,), (4,)], "query_id long")
+    got = {r.query_id: (r.ran, r.skipped_reason) for r in retrieval.rerank_outcomes(asked, pool).collect()}
+    assert got == {1: (True, None), 2: (False, "degraded_budget"), 3: (False, "no_candidates"), 4: (False, "deadline_exceeded")}
+
+
+def test_answer_scores_leave_out_what_they_cannot_judge(spark):
+    from querent.operators import evaluation
+
+    schema = "query_id long, answer string, abstained boolean, claims_total long, claims_cited long, citations array<string>, relevant array<string>, expected_facts array<string>, expect_abstain boolean, expected_outcome string, outcome string, forbidden array<string>"
+    rows = [
+        (1, "Alpha and beta", False, 4, 3, ["a", "b"], ["a"], ["ALPHA", "gamma"], False, None, "answered", ["delta"]),
+        (2, None, None, None, None, None, None, None, None, None, None, None),
+        (3, "I do not", True, 0, 0, [], ["a"], [], True, "abstained", "answered", None),
+        (4, "has delta", False, 1, 1, [], ["a"], ["delta"], True, None, None, ["delta"]),
+    ]
+    got = {(r.query_id, r.metric_id): (r.score, r.passed) for r in evaluation.answer_scores(spark.createDataFrame(rows, schema)).collect()}
+    assert all(got[2, m] == (None, None) for m in evaluation.ANSWER_THRESHOLDS)
+    want = {"groundedness": 0.75, "citation_precision": 0.5, "completeness": 0.5, "abstention_correct": 1.0, "adversarial": 1.0}
+    assert {m: got[1, m][0] for m in want} == want and not got[1, "groundedness"][1] and got[1, "adversarial"][1]
+    assert {m: got[3, m][0] for m in want} == {"groundedness": None, "citation_precision": None, "completeness": None, "abstention_correct": 1.0, "adversarial": 0.0}
+    assert {m: got[4, m][0] for m in want} == {"groundedness": 1.0, "citation_precision": 0.0, "completeness": 1.0, "abstention_correct": 0.0, "adversarial": 0.0}
