@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 
 REPO = Path(__file__).parent.parent
@@ -17,8 +19,9 @@ def test_entry_and_names(spark):
     assert sql <= names and len(names) > 80
 
 
-def test_without_the_subpackage(tmp_path):
-    for p in ("querent", "__spark_entry__.py"):
+@pytest.mark.parametrize("left_in", [(), ("corpus_pipeline.py",)])
+def test_without_the_subpackage(tmp_path, left_in):
+    for p in ("querent", "__spark_entry__.py", *left_in):
         os.system(f"cp -r {REPO / p} {tmp_path}/")
     gone = tmp_path / "querent" / "llm"
     gone.rename(tmp_path / "gone")
