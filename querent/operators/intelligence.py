@@ -21,6 +21,8 @@ GREETING = r"^\s*(hi|hello|hey|thanks|thank you|ok|okay|got it|never ?mind)\b[\s
 PRONOUN = r"\b(it|its|that|this|they|them|those|there)\b"
 FILLER_PREFIX = r"^\s*(?:please\s+|could you\s+|can you\s+|i(?:'d| would) like to know\s+|tell me\s+)+"
 TRAILING_POLITENESS = r"\s*(?:please|thanks|thank you)\s*[.!?]*\s*$"
+CONJUNCTION = r"\s+(?:and then|and also|as well as|;|\band\b(?=\s+(?:how|what|when|where|why|who|which)))\s+"
+COMPARISON = r"\b(?:difference between|compare)\s+(.+?)\s+(?:and|versus|vs\.?|with)\s+(.+?)\s*[?.]?\s*$"
 QUESTION_WORD = r"^\s*(what|which|who|whom|whose|when|where|why|how|is|are|do|does|did|can|could|should|would|will)\b"
 ENTITY = r"\b(?:[A-Z][\w-]+(?:\s+[A-Z][\w-]+)*|[a-z]+-\d+|[A-Z]{2,})\b"
 ALIASES = {
@@ -37,6 +39,7 @@ TTL_SECONDS = {"static": 86400, "slow": 14400, "fast": 900, "realtime": 0}
 #: Strategy, expected latency in ms and cost in USD; quality prior and its weight in samples.
 PROFILES = (("parametric", 420.0, 0.0016), ("non_parametric", 1150.0, 0.0043), ("hybrid", 1380.0, 0.0057))
 PRIOR_QUALITY, PRIOR_SAMPLES, HEDGE_ABOVE = 0.62, 20.0, 0.35
+MOST_SUB_QUERIES = 6
 #: Level and the remaining fraction of the scarcest budget at which it starts.
 LADDER = ((1, 0.50), (2, 0.35), (3, 0.25), (4, 0.15), (5, 0.08), (6, 0.0))
 
@@ -118,6 +121,31 @@ def expanded(query: Column) -> Column:
     return F.when(F.size(added) > 0, F.concat_ws(" ", query, F.array_join(added, " ")))
 
 
+def decomposed(query: Column) -> Column:
+    """The parts of a question, MOST_SUB_QUERIES at most: the two sides of a comparison, else what conjunctions join; null
+    where that gives fewer than two."""
+    sides = F.array(*[F.trim(F.regexp_extract(query, f"(?i){COMPARISON}", k)) for k in (1, 2)])
+    joined = F.filter(F.transform(F.split(query, f"(?i){CONJUNCTION}"), F.trim), lambda part: part != "")
+    parts = F.when(matches(query, COMPARISON), sides).otherwise(joined)
+    return F.when(F.size(parts) >= 2, F.slice(parts, 1, MOST_SUB_QUERIES))
+
+
+def transformed(queries: DataFrame, text_col: str = "query_text") -> DataFrame:
+    """Adds the variants that each query's analysis calls for; null where a transform doesn't apply or changes nothing. Wants
+    needs_rewrite and multi_hop, as analysed() gives them."""
+    asked = F.col(text_col)
+    framed = F.coalesce("needs_rewrite", F.lit(False)) | matches(asked, FILLER_PREFIX)
+    known = F.lower(asked).rlike("|".join(f"\\Q{term}\\E" for term in ALIASES))
+    return queries.select(
+        "*",
+        F.when(framed, rewritten(asked)).alias("rewritten"),
+        coreference_resolved(asked).alias("coreference"),
+        expanded(asked).alias("expanded"),
+        F.when(known, F.nullif(F.array_join(entities(asked), " "), F.lit(""))).alias("entities_only"),
+        F.when(F.col("multi_hop"), decomposed(asked)).alias("sub_queries"),
+    )
+
+
 def plan_legs(queries: DataFrame, sources: list[tuple[str, bool, bool, int, bool]]) -> DataFrame:
     """Legs of each query: one for each source, with the variant that its capabilities call for, and sub-query legs for
     vector sources. `sources` are (id, text only, vector, top_k, required); queries have raw, rewritten, sub_queries and,
@@ -183,6 +211,19 @@ def never_back(level: Column, by: list[str], order: list[str]) -> Column:
     return F.max(level).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def spent(steps: DataFrame, by: list[str], order: list[str], wall_total: Column, usd_total: Column) -> DataFrame:
+    """What each step (wall_ms, usd) leaves of its request's budget: time never under zero, money spent so far, and whether
+    either is used up. Null amounts count as nothing; negative ones are an error."""
+    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def running(amount: str) -> Column:
+        taken = F.coalesce(amount, F.lit(0))
+        return F.sum(F.when(taken < 0, F.raise_error(F.lit("spend amounts must not be negative")).cast("double")).otherwise(taken)).over(so_far)
+
+    rows = steps.select("*", F.greatest(F.lit(0), wall_total - running("wall_ms")).alias("wall_left"), running("usd").alias("usd_spent"))
+    return rows.withColumn("exhausted", (F.col("wall_left") <= 0) | (F.col("usd_spent") >= usd_total))
+
+
 def cache_key(tier: str, tenant: Column, acl: Column, config: Column, embedding: Column, query: Column) -> Column:
     """Tier, tenant, sorted access labels, versions and the hash of the lower-cased, collapsed query, joined by pipes."""
     subject = F.sha2(F.trim(F.regexp_replace(F.lower(query), r"\s+", " ")), 256)

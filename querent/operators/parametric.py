@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from querent.functions import text
+from querent.sources.shared import cut
 
 COVERAGE_FLOOR, MOST_ADAPTERS = 0.62, 3
 BLOCKERS = (
@@ -29,7 +31,7 @@ def words(body: Column) -> Column:
 def leader_clusters(passages: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Clusters of each domain's passages (domain, passage_id, vector) in order of id: a passage joins the closest running
     mean at or over the threshold, or starts a cluster. A running mean depends on all passages before it, so a domain is
-    one task's; domains are what spreads the work. See mean_clusters() for one that doesn't depend on order."""
+    one task's; domains are what spreads the work. mean_clusters() is the form for domains of any size."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("passage_id")
@@ -62,6 +64,59 @@ def leader_clusters(passages: DataFrame, threshold: float = 0.5) -> DataFrame:
     return passages.groupBy("domain").applyInPandas(run, f"domain {kind}, passage_id long, cluster int, coherence double")
 
 
+def mean_clusters(passages: DataFrame, centres: int = 16, rounds: int = 3, threshold: float = 0.5) -> DataFrame:
+    """Clusters of each domain's passages (domain, passage_id, vector) around `centres` means at most, in a fixed number of
+    rounds: every passage goes to the closest mean, then the means are taken anew. It doesn't depend on the order of rows,
+    and a domain is spread over all tasks: only sums of a (domain, cluster, place) and the means themselves are grouped.
+
+    Rows: domain, passage_id, cluster, coherence (mean cosine of the cluster's passages to its mean). A passage under the
+    threshold, or whose vector is null or zero, belongs to no cluster: both are null. Vectors of a domain have one length.
+    First means: the passage of smallest id in each of `centres` hash buckets. Null domains are one domain. Repeated rows
+    count each; an empty table gives no rows."""
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.when(length > 0, F.transform("vector", lambda x: x / length))
+    rows = cut(passages.select("domain", "passage_id", unit.alias("unit")), "units")
+    bucket = F.pmod(F.xxhash64("passage_id"), F.lit(centres)).cast("int")
+    first = rows.where("unit is not null").groupBy("domain", bucket.alias("cluster"))
+    means = first.agg(F.min_by("unit", F.struct("passage_id", "unit")).alias("mean"))
+    for _ in range(rounds):
+        sums = _placed(rows, means).where("cluster is not null").select("domain", "cluster", F.posexplode("unit").alias("place", "x"))
+        sums = sums.groupBy("domain", "cluster", "place").agg(F.round(F.avg("x"), 12).alias("x"))
+        means = sums.groupBy("domain", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("mean"))
+    placed = cut(_placed(rows, means).withColumn("cluster", F.when(F.col("sim") >= threshold, F.col("cluster"))), "placed")
+    coherence = placed.where("cluster is not null").groupBy("domain", "cluster").agg(F.round(F.least(F.lit(1.0), F.avg("sim")), 6).alias("coherence")).alias("c")
+    found = placed.alias("p").join(coherence, F.col("p.domain").eqNullSafe(F.col("c.domain")) & (F.col("p.cluster") == F.col("c.cluster")), "left")
+    return found.select("p.domain", "p.passage_id", "p.cluster", "c.coherence")
+
+
+@F.pandas_udf(StructType().add("cluster", IntegerType()).add("sim", DoubleType()))
+def _closest(unit: pd.Series, means: pd.Series) -> pd.DataFrame:
+    """Each row's closest mean of its domain, the first of equal ones."""
+    place, sims = [], []
+    for v, ms in zip(unit, means, strict=True):
+        if v is None or ms is None:
+            place.append(None)
+            sims.append(None)
+            continue
+        m = np.stack(ms)
+        lengths = np.linalg.norm(m, axis=1)
+        cos = np.round(np.divide(m @ v, lengths, out=np.full(len(m), -2.0), where=lengths > 0), 9)
+        at = int(np.argmax(cos))
+        place.append(at)
+        sims.append(float(cos[at]))
+    return pd.DataFrame({"cluster": pd.array(place, dtype="Int32"), "sim": pd.array(sims, dtype="Float64")})
+
+
+def _placed(rows: DataFrame, means: DataFrame) -> DataFrame:
+    """Rows with their closest mean. The means of a domain are one stored row, of at most `centres` vectors; their table is
+    broadcast where Spark finds its stored size under the session's limit, and joined by a shuffle (which AQE splits where
+    a domain is hot) beyond it."""
+    listed = means.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "mean"))), lambda s: s["mean"]).alias("means"))
+    listed = cut(listed, "means").withColumnRenamed("domain", "_domain")
+    near = rows.join(listed, F.col("domain").eqNullSafe(F.col("_domain")), "left").withColumn("near", _closest("unit", "means"))
+    return near.select("domain", "passage_id", "unit", F.col("near.cluster").alias("cluster"), F.col("near.sim").alias("sim"))
+
+
 def augmented(passages: DataFrame) -> DataFrame:
     """Three question surfaces for each sentence of a passage (document_id, text) with six content words or more."""
     clean = F.trim(F.regexp_replace("text", r"\s+", " "))

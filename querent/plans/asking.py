@@ -65,6 +65,24 @@ def query_variants(spark, sf_dir):
     return asked(spark, sf_dir).select("query_id", ai.rewritten(t).alias("rewritten"), F.array_join(ai.entities(t), "|").alias("entities"), ai.expanded(t).alias("expanded"), ai.coreference_resolved(t).alias("coreference"))
 
 
+_SPLIT = f"regexp_replace(regexp_replace(query_text, '(?i)\\s+(?:and then|and also|as well as|;)\\s+', chr(1), 'g'), '(?i)\\s+and\\s+(how|what|when|where|why|who|which)', chr(1) || '\\1', 'g')"
+_PARTS = f"""CASE WHEN regexp_matches(query_text, '(?i){ai.COMPARISON}') THEN [trim(regexp_extract(query_text, '(?i){ai.COMPARISON}', 1)), trim(regexp_extract(query_text, '(?i){ai.COMPARISON}', 2))]
+  ELSE list_filter(list_transform(string_split({_SPLIT}, chr(1)), lambda x: trim(x)), lambda x: x <> '') END"""
+_KNOWN = " OR ".join(f"contains(lower(query_text), '{k}')" for k in ai.ALIASES)
+
+
+@query(
+    f"""WITH {_RULES}, e AS (SELECT *, list_filter(regexp_extract_all(query_text, '{ai.ENTITY}'), lambda x: length(x) >= 2 AND lower(x) NOT IN ('the', 'a', 'an', 'is', 'are')) AS es, list_filter([{_ALIASES}], lambda x: x IS NOT NULL) AS al, {_PARTS} AS parts FROM r)
+SELECT query_id, CASE WHEN nw < 4 OR regexp_matches(query_text, '(?i){_q(ai.FILLER_PREFIX)}') THEN nullif(CASE WHEN {_REWRITE} = '' THEN query_text ELSE {_REWRITE} END, query_text) END AS rewritten,
+CASE WHEN len(es) > 0 AND pn THEN nullif(regexp_replace(query_text, '(?i){ai.PRONOUN}', es[1]), query_text) END AS coreference, CASE WHEN len(al) > 0 THEN query_text || ' ' || array_to_string(al, ' ') END AS expanded,
+CASE WHEN {_KNOWN} THEN nullif(array_to_string(list_filter(es, lambda x, i: NOT list_contains(list_transform(es[1:i - 1], lambda y: lower(y)), lower(x))), ' '), '') END AS entities_only,
+CASE WHEN hop AND len(parts) >= 2 THEN array_to_string(parts[1:6], '|') END AS sub_queries FROM e"""
+)
+def query_transforms(spark, sf_dir):
+    rows = ai.transformed(ai.analysed(asked(spark, sf_dir)))
+    return rows.select("query_id", "rewritten", "coreference", "expanded", "entities_only", F.array_join("sub_queries", "|").alias("sub_queries"))
+
+
 @query("SELECT source, lang, count(quality) AS n, round(count(quality) / (count(quality) + 20.0::double) * avg(quality) + 20.0::double / (count(quality) + 20.0::double) * 0.62::double, 6) AS quality FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
 def quality_shrinkage(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "labels").join(catalog.table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")

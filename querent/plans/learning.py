@@ -134,3 +134,10 @@ def cluster_leader(spark, sf_dir):
     """Running means depend on order; tests hold the brute force."""
     rows = catalog.table(spark, sf_dir, "embeddings").select(F.col("label").alias("domain"), F.col("vec_id").alias("passage_id"), F.col("embedding").cast("array<double>").alias("vector"))
     return parametric.leader_clusters(rows, 0.3)
+
+
+@query()
+def cluster_means(spark, sf_dir):
+    """Means in rounds are beyond a twin in SQL; tests hold the brute force."""
+    rows = catalog.table(spark, sf_dir, "embeddings").select(F.col("label").alias("domain"), F.col("vec_id").alias("passage_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return parametric.mean_clusters(rows, threshold=0.3)

@@ -157,6 +157,72 @@ def test_leader_clusters_depend_on_order_of_ids(spark):
     assert got == {1: 0, 2: 0, 3: 1, 4: 2, 5: 0}
 
 
+def mean_clusters_by_force(rows, bucket, centres, rounds, threshold):
+    """(domain, id, vector) rows; one by one, without Spark."""
+    out = {}
+    for domain in {d for d, _, _ in rows}:
+        mine = [(i, np.array(v) / np.linalg.norm(v)) for d, i, v in rows if d == domain and v is not None and np.linalg.norm(v) > 0]
+        firsts = {}
+        for i, v in sorted(mine, key=lambda x: x[0]):
+            firsts.setdefault(bucket[i], v)
+        means = [firsts[b] for b in sorted(firsts)]
+
+        def closest(v, means):
+            cos = [round(float(m @ v / np.linalg.norm(m)), 9) for m in means]
+            return cos.index(max(cos)), max(cos)
+
+        for _ in range(rounds):
+            places = [closest(v, means)[0] for _, v in mine]
+            means = [np.mean([v for (_, v), p in zip(mine, places, strict=True) if p == k], axis=0) for k in sorted(set(places))]
+        last = {i: closest(v, means) for i, v in mine}
+        for d, i, _ in rows:
+            if d == domain:
+                at, sim = last.get(i, (None, -2.0))
+                fits = at is not None and sim >= threshold
+                alike = [s for p, s in last.values() if p == at and s >= threshold]
+                out[i] = (at, float(np.mean(alike))) if fits else (None, None)
+    return out
+
+
+def test_mean_clusters_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    ways = np.eye(6)
+    rows = [("hot" if i % 3 else None, i, [float(x) for x in ways[i % 5] + rng.normal(0, 0.15, 6)]) for i in range(90)]
+    rows += [("hot", 500, [0.0] * 6), ("hot", 501, None), ("one", 502, [0.0, 0.0, 1.0, 0.0, 0.0, 0.0])]
+    docs = spark.createDataFrame(rows, "domain string, passage_id long, vector array<double>")
+    bucket = {r[0]: r[1] for r in docs.select("passage_id", F.expr("cast(pmod(xxhash64(passage_id), 4) as int)")).collect()}
+    got = {r.passage_id: (r.cluster, r.coherence) for r in parametric.mean_clusters(docs.repartition(5), 4, 2, 0.8).collect()}
+    want = mean_clusters_by_force(rows, bucket, 4, 2, 0.8)
+    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
+    assert all(s is None if want[i][1] is None else abs(s - want[i][1]) < 1e-5 for i, (_, s) in got.items())
+    assert {c for c, _ in got.values()} > {None, 0, 1} and parametric.mean_clusters(docs.limit(0), 4, 1).count() == 0
+
+
+def test_transforms_apply_where_the_analysis_calls_for_them(spark):
+    asked = [
+        (1, "compare sev-1 with the on-call rota?"),
+        (2, "tell me what changed and then who approved it and why it broke"),
+        (3, "what changed in the retention policy of last year"),
+        (4, "hello"),
+        (5, "; ".join(f"a{k} and then b{k}" for k in range(9)).replace(";", " ;")),
+        (6, None),
+    ]
+    rows = intelligence.transformed(intelligence.analysed(spark.createDataFrame(asked, "query_id long, query_text string")))
+    got = {r.query_id: r for r in rows.collect()}
+    assert got[1].sub_queries == ["sev-1", "the on-call rota"] and "severity 1" in got[1].expanded and got[1].entities_only == "sev-1"
+    assert got[2].sub_queries == ["tell me what changed", "who approved it", "why it broke"] and got[2].rewritten.startswith("what changed")
+    assert got[3].sub_queries is None and got[3].rewritten is None and got[3].expanded and got[4].sub_queries is None
+    assert len(got[5].sub_queries) == 6 and got[6].sub_queries is None and got[6].expanded is None
+
+
+def test_running_spend_is_clamped_and_refuses_negative_amounts(spark):
+    steps = spark.createDataFrame([(1, 1, 40, 0.1), (1, 2, 80, None), (1, 3, 5, 0.5), (2, 1, None, 0.0)], "request long, step long, wall_ms long, usd double")
+    run = lambda s: {(r.request, r.step): (r.wall_left, round(r.usd_spent, 6), r.exhausted) for r in intelligence.spent(s, ["request"], ["step"], F.lit(100), F.lit(1.0)).collect()}
+    assert run(steps) == {(1, 1): (60, 0.1, False), (1, 2): (0, 0.1, True), (1, 3): (0, 0.6, True), (2, 1): (100, 0.0, False)}
+    with pytest.raises(Exception, match="negative"):
+        run(steps.withColumn("wall_ms", F.lit(-1)))
+
+
 def test_fusion_of_ranks_rewards_agreement(spark):
     legs = spark.createDataFrame([("q", 1, "a", 0, 1.0, 0.5), ("q", 1, "b", 1, 1.0, 0.4), ("q", 2, "a", 1, 1.0, 0.9)], "query_id string, chunk_id long, source string, rank int, weight double, effective_score double")
     got = {r.chunk_id: r for r in retrieval.reciprocal_rank_fusion(legs).collect()}
