@@ -138,15 +138,17 @@ def covered_aspects(body: Column, wanted: Column) -> Column:
 _PACKED = "group_no int, place int, tokens long, redundancy double, value double, coverage double, dropped boolean"
 
 
-def pack_evidence(groups: DataFrame, budget: int) -> DataFrame:
-    """Fills each query's budget greedily by value per token. Pools are at most POOL groups, so one query fits in a task.
+def pack_evidence(groups: DataFrame, budget: int | str) -> DataFrame:
+    """Fills each query's budget (tokens, or the column that holds them) greedily by value per token. Pools are at most POOL
+    groups, so one query fits in a task.
 
     Rows: query_id, group_no, tokens, score, authority, freshness, words (stop words left out), found (aspects that it
     covers), n_aspects. A group that doesn't fit is dropped and packing goes on."""
 
     def pack(pool: pd.DataFrame) -> pd.DataFrame:
         items = pool.sort_values("group_no").to_dict("records")
-        total, left, chosen, seen, out = int(pool["n_aspects"].iloc[0]), budget, [], set(), []
+        left = budget if isinstance(budget, int) else int(pool[budget].iloc[0])
+        total, chosen, seen, out = int(pool["n_aspects"].iloc[0]), [], set(), []
 
         def value(x):
             mine = set(x["words"])

@@ -81,14 +81,15 @@ def metric_lines(histograms: DataFrame, name: str, label: str, bounds) -> DataFr
     return histograms.select(label, F.posexplode(F.array(*rows)).alias("line_no", "line"))
 
 
-def trimmed_memory(items: DataFrame, by: str, cap: int) -> DataFrame:
-    """Items that fit in the cap, the most salient first; one that doesn't fit is left out and later ones are still tried."""
+def trimmed_memory(items: DataFrame, by: str, cap: int | str) -> DataFrame:
+    """Items that fit in the cap (tokens, or the column that holds them for each group), the most salient first; one that doesn't fit is left out and later ones are still tried."""
     row = F.struct((-F.col("salience")).alias("k"), "created_at_ms", "item_id", text.token_estimate(F.col("text")).alias("cost"))
-    pools = items.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("items"))
+    most = F.lit(cap) if isinstance(cap, int) else F.max(cap)
+    pools = items.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("items"), most.alias("most"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
 
     def step(s, x):
-        fits = s["used"] + x["cost"] <= cap
+        fits = s["used"] + x["cost"] <= F.col("most")
         return F.struct(F.when(fits, s["used"] + x["cost"]).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["kept"], x["item_id"])).otherwise(s["kept"]).alias("kept"))
 
     return pools.select(by, F.aggregate("items", start, step).alias("s")).select(by, "s.used", "s.kept")

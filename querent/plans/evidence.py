@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from querent.functions import text
-from querent.operators import evidence
+from querent.operators import context, evidence
 from querent.sources import catalog
+from querent.sources.shared import cut
 
 from . import base
 from .base import query
@@ -87,8 +88,8 @@ def aspect_coverage(spark, sf_dir):
     return rows.select("query_id", "chunk_id", F.size("a").cast("long").alias("n_aspects"), F.size(evidence.covered_aspects(F.col("text"), F.col("a"))).cast("long").alias("n_covered"))
 
 
-def grouped(spark, sf_dir):
-    rows = reranked(spark, sf_dir).join(roots(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
+def grouped(spark, sf_dir, pool=None):
+    rows = (pool or reranked(spark, sf_dir)).join(roots(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
     return evidence.leader_groups(rows.withColumn("effective_score", F.coalesce("rerank_score", "fused_score")))
 
 
@@ -98,13 +99,13 @@ def evidence_groups(spark, sf_dir):
     return grouped(spark, sf_dir)
 
 
-@query()
-def pack_evidence(spark, sf_dir):
-    """Greedy packing depends on what is packed already; tests hold the brute force."""
+def _candidates(spark, sf_dir, *more):
+    """Groups of each query as packing takes them, with further columns of their representatives."""
     wanted = catalog.queries(spark, sf_dir).select("query_id", evidence.aspects(F.col("query_text")).alias("a"))
-    pool = reranked(spark, sf_dir).select("query_id", F.col("chunk_id").alias("representative"), "text", F.coalesce("rerank_score", "fused_score").alias("score"))
-    rows = grouped(spark, sf_dir).join(pool, ["query_id", "representative"]).join(wanted, "query_id")
-    rows = rows.select(
+    pool = reranked(spark, sf_dir)
+    shown = pool.select("query_id", F.col("chunk_id").alias("representative"), "text", "source_id", F.coalesce("rerank_score", "fused_score").alias("score"))
+    rows = grouped(spark, sf_dir, pool).join(shown, ["query_id", "representative"]).join(wanted, "query_id")
+    return rows.select(
         "query_id",
         F.col("group_no").cast("int").alias("group_no"),
         text.token_estimate(F.col("text")).alias("tokens"),
@@ -114,8 +115,14 @@ def pack_evidence(spark, sf_dir):
         text.content(F.col("text"), text.LEXICAL, text.PACK_STOP).alias("words"),
         evidence.covered_aspects(F.col("text"), F.col("a")).alias("found"),
         F.size("a").alias("n_aspects"),
+        *more,
     )
-    return evidence.pack_evidence(rows, 1500)
+
+
+@query()
+def pack_evidence(spark, sf_dir):
+    """Greedy packing depends on what is packed already; tests hold the brute force."""
+    return evidence.pack_evidence(_candidates(spark, sf_dir), 1500)
 
 
 @query(
@@ -127,3 +134,16 @@ def render_evidence(spark, sf_dir):
     block = evidence.rendered(F.concat(F.lit("E"), F.col("final_rank") + 1), F.col("source_id"), F.col("chunk_id").cast("string"), F.lit("v1"), F.col("authority"), F.col("text"))
     rows = reranked(spark, sf_dir).select("query_id", F.struct("final_rank", block.alias("block")).alias("b"))
     return rows.groupBy("query_id").agg(F.array_sort(F.collect_list("b")).alias("b")).select("query_id", F.array_join("b.block", "\n\n").alias("rendered"))
+
+
+@query()
+def built_contexts(spark, sf_dir):
+    """Greedy packing and a fold are beyond SQL; tests hold the brute force. Every third query is degraded to half its
+    evidence; a conversation's turns are what is remembered for the query of its number."""
+    n = F.col("query_id")
+    asked = catalog.queries(spark, sf_dir).select("query_id", "query_text", F.lit(8192).alias("context_window"), F.when(n % 3 == 0, 0.5).otherwise(1.0).alias("multiplier"))
+    groups = _candidates(spark, sf_dir, "marker", "representative", "source_id", "text").withColumnRenamed("representative", "document_id")
+    groups = cut(groups.withColumn("version", F.lit("v1")), "groups")
+    turns = catalog.table(spark, sf_dir, "conversations")
+    memory = turns.select(F.col("conv_id").alias("query_id"), F.col("turn").cast("long").alias("item_id"), "text", (F.col("turn") % 5 / 5).alias("salience"), F.col("turn").cast("long").alias("created_at_ms"))
+    return context.built(asked, groups, memory, "Answer from the evidence and cite it.")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from querent.functions import text
-from querent.operators import evidence, filters, fusion, grounding, guardrails, ingestion, intelligence, memory, parametric, retrieval
+from querent.operators import context, evidence, filters, fusion, grounding, guardrails, ingestion, intelligence, memory, parametric, retrieval
 
 
 def test_token_estimate_rounds_half_to_even(spark):
@@ -328,3 +328,21 @@ def test_answer_scores_leave_out_what_they_cannot_judge(spark):
     assert {m: got[1, m][0] for m in want} == want and not got[1, "groundedness"][1] and got[1, "adversarial"][1]
     assert {m: got[3, m][0] for m in want} == {"groundedness": None, "citation_precision": None, "completeness": None, "abstention_correct": 1.0, "adversarial": 0.0}
     assert {m: got[4, m][0] for m in want} == {"groundedness": 1.0, "citation_precision": 0.0, "completeness": 1.0, "abstention_correct": 0.0, "adversarial": 0.0}
+
+
+def test_contexts_are_packed_trimmed_and_rendered(spark):
+    queries = spark.createDataFrame([(1, "alpha beta", 4000, 1.0), (2, "alpha", 100, 1.0), (3, None, 4000, 1.0), (4, "alpha", 4000, 0.001)], "query_id long, query_text string, context_window int, multiplier double")
+    group = lambda q, n, words, score: (q, n, 20, score, 0.5, 1.0, words, [w for w in words if w in ("alpha", "beta")], 2 if q == 1 else 1, "s", n * 10, "v1", f"E{n}", " ".join(words))
+    rows = [group(1, 1, ["alpha"], 0.9), group(1, 2, ["beta"], 0.8), group(1, 3, ["gamma"], 0.7), group(2, 1, ["alpha"], 0.9), group(4, 1, ["alpha"], 0.9)]
+    schema = "query_id long, group_no int, tokens long, score double, authority double, freshness double, words array<string>, found array<string>, n_aspects int, source_id string, document_id long, version string, marker string, text string"
+    said = [(1, 7, "likes tea", 0.5, 1), (1, 8, "word " * 3000, 0.9, 1), (1, 9, "is new", 0.7, 2), (2, 7, "x", 0.5, 1)]
+    memory = spark.createDataFrame(said, "query_id long, item_id long, text string, salience double, created_at_ms long")
+    got = {r.query_id: r for r in context.built(queries, spark.createDataFrame(rows, schema), memory, "Be exact.").collect()}
+    blocks = [f"[E{n}] (source=s document={n}0 version=v1 authority=0.50)\n{t}" for n, t in ((1, "alpha"), (3, "gamma"), (2, "beta"))]
+    facts = f"<memory>\n{context.REMEMBERED}\n[M] is new\n[M] likes tea\n</memory>"
+    want = "\n\n".join(["Be exact.", facts, "<evidence>\n" + "\n\n".join([context.PREAMBLE, "", *blocks]) + "\n</evidence>", "alpha beta"])
+    assert got[1].prompt == want and got[1].prompt_hash == hashlib.sha256(want.encode()).hexdigest()[:32]
+    assert got[1].memory_items == [9, 7] and got[1].dropped == [] and got[1].evidence_tokens == 60 and not got[1].coverage_warning
+    assert got[2].overflow and got[2].prompt is None and got[2].coverage_warning is None
+    assert got[3].prompt == "Be exact." and not got[3].coverage_warning
+    assert got[4].prompt == "Be exact.\n\nalpha" and got[4].dropped == [1] and got[4].coverage_warning
