@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querent.sources.shared import cut
+
 # The pattern families. All but PII and secrets are case-insensitive.
 INJECTION = (
     r"\b(?:ignore|disregard|forget|override|bypass)\b[^.\n]{0,40}?\b(?:previous|prior|above|earlier|all|any|system|your)\b[^.\n]{0,20}?\b(?:instructions?|prompts?|rules|directions|guidelines|context)\b",
@@ -36,6 +38,8 @@ SECRETS = (
 BOILERPLATE = r"^\s*(page\s+\d+(\s+of\s+\d+)?|figure\s+\d+|table\s+\d+|\d+|[-_=*.|\s–—•·]+)\s*$"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 MAX_CHARS, SPAN = 8000, 200
+#: Canaries, and their characters, that are broadcast at most; beyond that, the most characters of an anchor.
+CANARY_ROWS, CANARY_CHARS, ANCHOR = 2000, 200_000, 16
 
 
 def first_span(text: Column, patterns) -> Column:
@@ -86,14 +90,32 @@ def chain(rows: DataFrame, text_col: str, checks) -> DataFrame:
     return rows.withColumnRenamed("_now", "checked_text").drop("_found")
 
 
+def sightings(seen: DataFrame, canaries: DataFrame, rows: int = CANARY_ROWS, chars: int = CANARY_CHARS) -> DataFrame:
+    """Queries (query_id, own_tenant, text) whose text holds a canary of another tenant. Null and empty canaries are ignored.
+
+    A list of at most `rows` canaries and `chars` characters, both counted, is sent to the texts. A longer one is met by its
+    anchors: the first characters of each canary, as many as the shortest has and ANCHOR at most, against the windows of that width of each
+    text, by an equi-join that shuffles; what meets is compared in full, so both ways find the same."""
+    listed = canaries.select(F.col("tenant_id").alias("canary_tenant"), "canary").where(F.length("canary") > 0).distinct()
+    listed = cut(listed, "canaries")
+    n, total, width = listed.agg(F.count("canary"), F.coalesce(F.sum(F.length("canary")), F.lit(0)), F.coalesce(F.min(F.length("canary")), F.lit(1))).first()
+    foreign = (F.col("canary_tenant") != F.col("own_tenant")) & F.contains("text", "canary")
+    if n <= rows and total <= chars:
+        return seen.join(F.broadcast(listed), foreign).select("query_id").distinct()
+    width = min(width, ANCHOR)
+    windows = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))  # in time linear in the text
+    texts = seen.select("query_id", "own_tenant", "text").distinct()
+    anchored = listed.withColumn("anchor", F.substring("canary", 1, width))
+    return texts.withColumn("anchor", F.explode(windows)).join(anchored, "anchor").where(foreign).select("query_id").distinct()
+
+
 def screen(groups: DataFrame, principals: DataFrame, canaries: DataFrame, quarantined: list[str]) -> tuple[DataFrame, DataFrame]:
     """Evidence groups that may be shown, and queries that fail as a whole because a foreign tenant's canary showed up.
 
     groups: query_id, group_id, text, tenant_id, acl_hash, source_id; principals: query_id, own_tenant, acl_hashes;
-    canaries: tenant_id, canary. Canaries are a short list by nature and are sent to the groups."""
+    canaries: tenant_id, canary."""
     seen = groups.join(principals, "query_id")
-    foreign = seen.join(F.broadcast(canaries.select(F.col("tenant_id").alias("canary_tenant"), "canary")), (F.col("canary_tenant") != F.col("own_tenant")) & F.contains("text", "canary"))
-    failed = foreign.select("query_id").distinct()
+    failed = sightings(seen, canaries)
     visible = F.coalesce((F.col("tenant_id") == F.col("own_tenant")) & F.array_contains(F.array_append("acl_hashes", F.lit("public")), F.col("acl_hash")), F.lit(False))
     reason = F.when(~visible, "access").when(F.col("source_id").isin(quarantined), "quarantined").when(first_span(F.col("text"), INJECTION).isNotNull(), "injection")
     kept = seen.join(failed, "query_id", "left_anti").withColumn("dropped_for", reason)

@@ -346,3 +346,12 @@ def test_contexts_are_packed_trimmed_and_rendered(spark):
     assert got[2].overflow and got[2].prompt is None and got[2].coverage_warning is None
     assert got[3].prompt == "Be exact." and not got[3].coverage_warning
     assert got[4].prompt == "Be exact.\n\nalpha" and got[4].dropped == [1] and got[4].coverage_warning
+
+
+def test_canaries_are_seen_alike_with_and_without_a_broadcast(spark):
+    rows = [(1, "a", "holds KEY-b1 here"), (2, "b", "holds KEY-b1 here"), (3, "a", "KEY-"), (4, "a", ""), (5, "a", None), (6, "c", "xx" * 3000 + "KEY-a2"), (7, "a", "KEY-b"), (7, "a", "KEY-b1 KEY-b1")]
+    seen = spark.createDataFrame(rows, "query_id long, own_tenant string, text string")
+    listed = spark.createDataFrame([("b", "KEY-b1"), ("b", "KEY-b1"), ("a", "KEY-a2 or more"), ("a", "KEY-a2"), ("a", ""), ("b", None)], "tenant_id string, canary string")
+    for bounds in ((100, 1000), (1, 1000), (100, 5)):
+        assert {r[0] for r in guardrails.sightings(seen, listed, *bounds).collect()} == {1, 6, 7}
+    assert guardrails.sightings(seen, listed.limit(0)).count() == 0 and guardrails.sightings(seen, listed.limit(0), -1).count() == 0
