@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .pii import personal_data
 from .secrets import secret_digests
 from .substring import substring_digests
+from .warc import archived_pages
 
 
 def op9_best_fit_packing(spark, sf_dir):
@@ -56,6 +57,10 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents")).drop("version")
 
 
+def op13_warc_revisits(spark, sf_dir):
+    return archived_pages(read(spark, sf_dir, "pages"))
+
+
 SUBSTRING_ORACLE = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w WHERE len(ws) >= 50),
@@ -80,5 +85,13 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 SELECT doc_id, len(sh)::bigint AS n_shingles, m AS component_id FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op6_line_template_tree, op7_secret_forest, op8_language_id, op9_best_fit_packing, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_ORACLE, "op6_line_template_tree": LINES_ORACLE, "op10_jaccard_join": JACCARD_ORACLE}
+WARC_ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), top AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (k // 4 * 5 + 1)::int, 5))::bigint >> (15 - 5 * (k % 4))) & 31)::int + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM p JOIN top USING (h)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op6_line_template_tree, op7_secret_forest, op8_language_id, op9_best_fit_packing, op10_jaccard_join, op13_warc_revisits)}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_ORACLE, "op6_line_template_tree": LINES_ORACLE, "op10_jaccard_join": JACCARD_ORACLE, "op13_warc_revisits": WARC_ORACLE}
