@@ -12,6 +12,7 @@ from .lines import ORACLE as LINES_ORACLE
 from .lines import line_digests
 from .packing import pack_documents
 from .pii import personal_data
+from .resampling import resampled_documents
 from .secrets import secret_digests
 from .substring import substring_digests
 from .warc import archived_pages
@@ -57,6 +58,10 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents")).drop("version")
 
 
+def op12_importance_resampling(spark, sf_dir):
+    return resampled_documents(spark, sf_dir)
+
+
 def op13_warc_revisits(spark, sf_dir):
     return archived_pages(read(spark, sf_dir, "pages"))
 
@@ -85,6 +90,23 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 SELECT doc_id, len(sh)::bigint AS n_shingles, m AS component_id FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
 """
 
+RESAMPLING_ORACLE = r"""
+WITH tab AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v) ORDER BY v) AS tab FROM (SELECT unnest(range(256)) AS v)),
+texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+f AS (SELECT kind, id, unnest(ws) AS f FROM w UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1])) FROM w),
+n AS (SELECT kind, id, f, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM n)),
+c AS (SELECT f, xor(list_reduce(list_transform(range(len(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::bigint), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 10000 AS bucket FROM x, tab),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::double AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::double AS t FROM n JOIN c USING (f) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::bigint AS gain FROM counts),
+weights AS (SELECT id, sum(n)::bigint AS n_features, floor(sum(n * gain)::double / sum(n))::bigint AS weight FROM n JOIN c USING (f) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id),
+scores AS (SELECT w.id AS doc_id, len(ws) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint AS score FROM w LEFT JOIN weights USING (id) WHERE kind = 'd'),
+ranks AS (SELECT *, CASE WHEN able THEN row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) END AS rank, count(*) FILTER (able) OVER () AS n FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM ranks
+"""
+
 WARC_ORACLE = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), top AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
 SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes,
@@ -93,5 +115,5 @@ SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes,
 FROM p JOIN top USING (h)
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op6_line_template_tree, op7_secret_forest, op8_language_id, op9_best_fit_packing, op10_jaccard_join, op13_warc_revisits)}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_ORACLE, "op6_line_template_tree": LINES_ORACLE, "op10_jaccard_join": JACCARD_ORACLE, "op13_warc_revisits": WARC_ORACLE}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op6_line_template_tree, op7_secret_forest, op8_language_id, op9_best_fit_packing, op10_jaccard_join, op12_importance_resampling, op13_warc_revisits)}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_ORACLE, "op6_line_template_tree": LINES_ORACLE, "op10_jaccard_join": JACCARD_ORACLE, "op12_importance_resampling": RESAMPLING_ORACLE, "op13_warc_revisits": WARC_ORACLE}
