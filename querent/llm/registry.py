@@ -5,6 +5,7 @@ from __future__ import annotations
 from .audio import audio_digests
 from .bpe import encoded_digests
 from .common import read
+from .conversations import repair_reports
 from .fingerprint import edited_likeness
 from .jaccard import jaccard_components
 from .langid import identify
@@ -58,6 +59,10 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents")).drop("version")
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return repair_reports(read(spark, sf_dir, "conversations"))
+
+
 def op12_importance_resampling(spark, sf_dir):
     return resampled_documents(spark, sf_dir)
 
@@ -115,5 +120,5 @@ SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes,
 FROM p JOIN top USING (h)
 """
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op6_line_template_tree, op7_secret_forest, op8_language_id, op9_best_fit_packing, op10_jaccard_join, op12_importance_resampling, op13_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op6_line_template_tree, op7_secret_forest, op8_language_id, op9_best_fit_packing, op10_jaccard_join, op11_conversation_repair, op12_importance_resampling, op13_warc_revisits)}
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_ORACLE, "op6_line_template_tree": LINES_ORACLE, "op10_jaccard_join": JACCARD_ORACLE, "op12_importance_resampling": RESAMPLING_ORACLE, "op13_warc_revisits": WARC_ORACLE}

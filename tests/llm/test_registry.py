@@ -15,6 +15,7 @@ COLUMNS = {
     8: "doc_id held_out lang_pred score",
     9: "doc_id piece start length ids_crc32 sequence_id offset",
     10: "doc_id n_shingles component_id",
+    11: "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     12: "doc_id n_features weight score rank",
     13: "page_id payload_bytes payload_digest record_type refers_to",
 }
