@@ -30,7 +30,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read, stored, texts_of
@@ -168,6 +168,12 @@ def _below(a, b, key):
     return (a < key[0]) | ((a == key[0]) & (b < key[1]))
 
 
+def _before(key, a, b) -> Column:
+    """Whether a key lies before (a, b), either of them columns."""
+    x, y, a, b = (v if isinstance(v, Column) else F.lit(v).cast("long") for v in (*key, a, b))
+    return (x < a) | ((x == a) & (y < b))
+
+
 def _sides(keys: DataFrame, low, high, pivot) -> list:
     """For each partition: how many of its keys between low and high (both excluded) are below, at and above the pivot, and
     the medians of those below and above. Without a pivot all are above."""
@@ -228,9 +234,8 @@ def cutoff(keys: DataFrame, k: int, few: int = FEW) -> tuple[int, int]:
         else:
             low, need, rest = pivot or low, need - under - same, [((r.oa, r.ob), r.over) for r in sides if r.over]
         if sum(n for _, n in rest) <= few:
-            part = keys
-            for key, keep in ((low, F.struct("a", "b") > F.struct(*map(F.lit, low or (0, 0)))), (high, F.struct("a", "b") < F.struct(*map(F.lit, high or (0, 0))))):
-                part = part.where(keep) if key else part
+            part = keys.where(_before(low, F.col("a"), F.col("b"))) if low else keys
+            part = part.where(_before((F.col("a"), F.col("b")), *high)) if high else part
             return sorted((r.a, r.b) for r in part.collect())[need - 1]
         pivot = weighted_median(rest)
 

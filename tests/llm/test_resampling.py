@@ -88,6 +88,8 @@ def test_selection_discards_a_quarter_each_round(spark, monkeypatch):
     df = spark.createDataFrame(keys, "a long, b long").repartition(7).sortWithinPartitions("a", "b").cache()
     left, sides = [], r._sides
     monkeypatch.setattr(r, "_sides", lambda *x: left.append(sides(*x)) or left[-1])
+    for k in (1, 700, 2500, 4999):  # the rest is read at once
+        assert r.cutoff(df, k, few=300) == sorted(keys)[k - 1]
     for k in (1, 1250, 5000):
         left.clear()
         assert r.cutoff(df, k, few=0) == sorted(keys)[k - 1]
