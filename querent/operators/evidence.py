@@ -56,33 +56,35 @@ def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str = "text", b
 
 
 def lineage_roots(edges: DataFrame) -> DataFrame:
-    """Root of each child over single-parent edges: each round a node points at what its target points at, so that a chain
-    takes as many rounds as its length has bits. Nodes that lead into a cycle get the cycle's least node."""
-    now, rounds = cut(edges.select("child", "parent"), "lineage"), 0
-    while True:
+    """Root of each child over edges (child, parent; one parent each): where the walk up ends, or the node where it closes a
+    cycle: for a node on a cycle itself, for one that leads there the first node of the cycle that it meets. Each round a
+    node points at what its target points at, so a walk takes as many rounds as its length has bits."""
+    edges = cut(edges.select("child", "parent"), "lineage")
+    rounds = max(edges.count(), 1).bit_length()  # 2^rounds steps are more than there are nodes
+    now, walking = _pointed_up(edges, rounds)
+    if not walking:
+        return now.select("child", F.col("parent").alias("root"))
+    # after so many steps a node that still has a parent is on a cycle, and every node of a cycle is reached by one of it
+    cycle = cut(now.join(edges.select(F.col("child").alias("parent")), "parent", "left_semi").select("parent").distinct(), "cycle")
+    rest = edges.join(cycle.select(F.col("parent").alias("child")), "child", "left_anti")
+    ends, _ = _pointed_up(cut(rest, "lineage"), rounds)
+    return ends.select("child", F.col("parent").alias("root")).unionByName(cycle.select(F.col("parent").alias("child"), F.col("parent").alias("root")))
+
+
+def _pointed_up(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """Edges from each child to its last ancestor, or 2^rounds steps up, and whether some still have a parent there."""
+    now = edges
+    for _ in range(rounds):
         up = now.select(F.col("child").alias("parent"), F.col("parent").alias("upper"))
-        after = cut(now.join(up, "parent", "left").select("child", F.coalesce("upper", "parent").alias("parent")), "lineage")
-        if after.exceptAll(now).isEmpty() or rounds > 40:
-            break
-        now, rounds = after, rounds + 1
-        # a target that still has a parent after 2^rounds steps, more than there are nodes, is on a cycle
-        if 2**rounds > edges.count():
-            break
-    on_cycle = now.join(edges.select(F.col("child").alias("parent")), "parent", "left_semi")
-    if on_cycle.isEmpty():
-        return now.withColumnRenamed("parent", "root")
-    return _cycle_roots(now, edges)
-
-
-def _cycle_roots(now: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every target that has a parent lies on a cycle; the cycle's least node is found by walking it with doubling minima."""
-    step = edges.join(now.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent", F.least("child", "parent").alias("low"))
-    step, size = cut(step, "cycle"), edges.count()
-    for _ in range(size.bit_length()):
-        up = step.select(F.col("child").alias("parent"), F.col("parent").alias("upper"), F.col("low").alias("low2"))
-        step = cut(step.join(up, "parent").select("child", F.col("upper").alias("parent"), F.least("low", "low2").alias("low")), "cycle")
-    low = step.select(F.col("child").alias("parent"), "low")
-    return now.join(low, "parent", "left").select("child", F.coalesce("low", "parent").alias("root"))
+        now = cut(now.join(up, "parent", "left").select("child", F.coalesce("upper", "parent").alias("parent"), F.col("upper").isNotNull().alias("moved")), "lineage")
+        if now.where("moved").isEmpty():
+            return now.drop("moved"), False
+    return now.drop("moved"), True
+
+
+def children_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and child of each edge below the nodes (node)."""
+    return edges.select(F.col("parent").alias("node"), "child").join(nodes.select("node").distinct(), "node", "left_semi")
 
 
 def leader_groups(pool: DataFrame, threshold: float = SAME) -> DataFrame:

@@ -23,7 +23,7 @@ FILLER_PREFIX = r"^\s*(?:please\s+|could you\s+|can you\s+|i(?:'d| would) like t
 TRAILING_POLITENESS = r"\s*(?:please|thanks|thank you)\s*[.!?]*\s*$"
 CONJUNCTION = r"\s+(?:and then|and also|as well as|;|\band\b(?=\s+(?:how|what|when|where|why|who|which)))\s+"
 COMPARISON = r"\b(?:difference between|compare)\s+(.+?)\s+(?:and|versus|vs\.?|with)\s+(.+?)\s*[?.]?\s*$"
-QUESTION_WORD = r"^\s*(what|which|who|whom|whose|when|where|why|how|is|are|do|does|did|can|could|should|would|will)\b"
+QUESTION_WORD = r"^\s*(who|what|when|where|why|how|which|is|are|do|does|can)\b"
 ENTITY = r"\b(?:[A-Z][\w-]+(?:\s+[A-Z][\w-]+)*|[a-z]+-\d+|[A-Z]{2,})\b"
 ALIASES = {
     "sev-1": ("sev1", "severity 1", "p1", "priority 1"),

@@ -29,6 +29,41 @@ def _in_scope(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("owner") == F.col("tenant_id")) & F.array_contains(F.array_append("acl_hashes", F.lit("public")), F.col("acl_hash")))
 
 
+#: Texts without a word of their own inside are sent to the documents up to so many rows and characters, both counted.
+SHORT_ROWS, SHORT_CHARS, ANCHOR = 2000, 200_000, 12
+#: Words of a text that are words of any text that holds it: a character that no word has is on either side.
+_INNER = r"(?<=[^a-z0-9\-_.])[a-z0-9][a-z0-9\-_.]*(?=[^a-z0-9\-_.])"
+
+
+def holders(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id and doc_id of each document (doc_id, text) that holds an item's text (query_id, item) as it is.
+
+    Items meet the documents at their rarest inner word, by a join on that word, and are compared in full there. Items of
+    one or two words may have none: a counted few are sent to the documents, more are met by their first characters. Null
+    and empty items are in no document; null texts hold none. Repeated rows give repeated links."""
+    items = cut(items.where(F.length("item") > 0).select("query_id", "item", F.array_distinct(F.regexp_extract_all(F.lower("item"), F.lit(_INNER), F.lit(0))).alias("inner")), "items")
+    docs = docs.select("doc_id", "text")
+    asked = items.select("query_id", "item", F.explode("inner").alias("word"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word"))
+    words = cut(words.join(asked.select("word").distinct(), "word", "left_semi"), "words")
+    df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.join(df, "word", "left").groupBy("query_id", "item").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "word")).alias("w")).select("query_id", "item", F.col("w.word").alias("word"))
+    near = rarest.join(words, "word").select("query_id", "item", "doc_id").distinct()
+    found = near.join(docs, "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id")
+    short = items.where(F.size("inner") == 0)
+    n, total, width = short.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("item")), F.lit(0)), F.coalesce(F.min(F.length("item")), F.lit(1))).first()
+    if not n:
+        return found
+    if n <= SHORT_ROWS and total <= SHORT_CHARS:
+        more = docs.join(F.broadcast(short.select("query_id", "item")), F.contains("text", "item"))
+    else:
+        width = min(width, ANCHOR)
+        windows = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
+        anchored = short.select("query_id", "item", F.substring("item", 1, width).alias("anchor"))
+        more = docs.select("*", F.explode(windows).alias("anchor")).join(anchored, "anchor").where(F.contains("text", "item"))
+    return found.unionByName(more.select("query_id", "doc_id"))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, held: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score of every visible chunk that has a query term; frequencies count over all tenants. `held`:
     postings() of these queries, where they are there already."""
@@ -36,10 +71,21 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, he
     stats = held.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     held = held.where("term <> ''")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = _in_scope(catalog.query_tokens(queries).join(held.join(df, "term"), "term")).crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf * gain), 6).alias("score")).where("score > 0")
+    return bm25_scores(queries, held.join(df, "term"), stats, k1, b)
+
+
+def idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def gain(k1: float = K1, b: float = B) -> Column:
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+
+
+def bm25_scores(queries: DataFrame, held: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, chunk_id, score from postings of the query terms with their df, and one row of n and mean_length."""
+    hits = _in_scope(catalog.query_tokens(queries).join(held, "term")).crossJoin(F.broadcast(stats))  # one row
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(idf() * gain(k1, b)), 6).alias("score")).where("score > 0")
 
 
 def top_k(scores: DataFrame, k: int, by: str = "score", id_col: str = "chunk_id") -> DataFrame:

@@ -53,10 +53,28 @@ def lineage_independence(spark, sf_dir):
     return rows.select("query_id", "chunk_id", "lineage_root", first.alias("independent"))
 
 
-@query("WITH RECURSIVE up(child, node) AS (SELECT doc_id, doc_id // 3 FROM documents WHERE doc_id >= 3 UNION ALL SELECT child, node // 3 FROM up WHERE node >= 3) SELECT child, min(node) AS root FROM up GROUP BY child")
+#: Each document stems from that of a third of its id; the first three, and those from 30 to 34, stem from each other in a circle.
+_PARENT = "CASE WHEN doc_id < 3 THEN (doc_id + 1) % 3 WHEN doc_id BETWEEN 30 AND 34 THEN 30 + (doc_id - 29) % 5 ELSE {third} END"
+_EDGES = f"edges AS (SELECT doc_id AS child, {_PARENT.format(third='doc_id // 3')} AS parent FROM documents)"
+
+
+def _edges(spark, sf_dir):
+    return catalog.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("child"), F.expr(_PARENT.format(third="doc_id div 3")).alias("parent"))
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, up(child, node, path) AS (SELECT child, child, []::bigint[] FROM edges
+  UNION ALL SELECT up.child, e.parent, list_append(path, node) FROM up JOIN edges e ON e.child = up.node WHERE NOT list_contains(path, node))
+SELECT child, node AS root FROM up WHERE list_contains(path, node)"""
+)
 def lineage_roots(spark, sf_dir):
-    edges = catalog.table(spark, sf_dir, "documents").where("doc_id >= 3").select(F.col("doc_id").alias("child"), F.expr("doc_id div 3").alias("parent"))
-    return evidence.lineage_roots(edges)
+    return evidence.lineage_roots(_edges(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT parent AS node, child FROM edges WHERE parent IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def lineage_children(spark, sf_dir):
+    good = catalog.table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("node"))
+    return evidence.children_of(_edges(spark, sf_dir), good)
 
 
 @query(_BM25 + "SELECT query_id, chunk_id, CASE WHEN final_rank % 2 = 0 THEN final_rank // 2 ELSE count(*) OVER (PARTITION BY query_id) - 1 - final_rank // 2 END AS place FROM final")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querent.functions import text
-from querent.operators import evaluation, retrieval
+from querent.operators import evaluation, lexical_index, retrieval
 from querent.sources import catalog
-from querent.sources.shared import cut
+from querent.sources.shared import cut, folder
 
 from . import base
 from .base import query
@@ -66,13 +66,9 @@ def reranked(spark, sf_dir):
 
 
 def relevance(spark, sf_dir):
-    """Which documents hold a benchmark item's text. Items are few words of fixed number, so they are sent to the documents by their first words."""
+    """Which documents hold a benchmark item's text."""
     items = catalog.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    docs = catalog.table(spark, sf_dir, "documents").select("doc_id", "text")
-    lead = F.element_at(text.tokens(F.col("item")), 2)
-    words = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("lead"))
-    near = words.join(items.select("query_id", lead.alias("lead")), "lead").select("query_id", "doc_id")
-    return near.join(items, "query_id").join(docs, "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id")
+    return retrieval.holders(items, catalog.table(spark, sf_dir, "documents"))
 
 
 @query(_BM25 + "SELECT query_id, chunk_id, score, rank FROM bm25_top")
@@ -80,6 +76,28 @@ def bm25_topk(spark, sf_dir):
     return _bm25_top(spark, sf_dir).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+#: Documents of low quality have been indexed anew with their source as a heading, toxic ones taken out.
+_CHANGED = f"""WITH docs AS (SELECT doc_id, tenant_id, acl_hash, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN concat_ws(' ', source_id, text) ELSE text END AS text
+  FROM base.docs WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), """
+
+
+def incremental_index(spark, sf_dir):
+    """An index of all documents after three batches: all of them, those of low quality again, toxic ones deleted."""
+    labels = catalog.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "chunk_id")
+    docs, low, toxic = _chunks(spark, sf_dir), labels.where("quality = 0"), labels.where("toxic = 1")
+    index = lexical_index.upserted(lexical_index.create(spark, folder(spark, "index")), docs)
+    index = lexical_index.upserted(index, docs.join(low, "chunk_id", "left_semi").withColumn("heading_path", F.array("source_id")))
+    lexical_index.deleted(index, toxic.select("chunk_id"))
+    return lexical_index.reopened(spark, index.folder)
+
+
+@query(_BM25.replace(f"WITH {catalog.SQL_DOCUMENTS}", _CHANGED.replace("base.docs", f"(WITH {catalog.SQL_DOCUMENTS} SELECT * FROM docs)").rstrip().rstrip(",")) + "SELECT query_id, chunk_id, score, rank FROM bm25_top")
+def incremental_bm25_topk(spark, sf_dir):
+    queries, index = catalog.queries(spark, sf_dir), incremental_index(spark, sf_dir)
+    scores = retrieval.bm25_scores(queries, lexical_index.postings(index, queries), lexical_index.statistics(index))
+    return retrieval.top_k(scores, retrieval.TOP_K).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(_BM25 + "SELECT query_id, chunk_id, fused_score, best_score, lexical_rank, overlap_rank FROM rrf")
 def rrf_fusion(spark, sf_dir):
     ranks = [F.element_at("rank_by_leg", F.lit(s)).cast("long").alias(f"{s}_rank") for s in ("lexical", "overlap")]
