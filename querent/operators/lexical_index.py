@@ -133,7 +133,9 @@ def tokenised(index: Index, chunks: DataFrame, text_col: str = "text", order: st
     body = F.concat_ws(" ", *heading, F.coalesce(text_col, F.lit("")))
     last = Window.partitionBy("chunk_id").orderBy(*([F.desc_nulls_last(order)] if order else []), F.desc_nulls_last(text_col))
     rows = chunks.select(F.col("chunk_id").cast(index.state["id_type"]), F.col("tenant_id").alias("owner"), "acl_hash", text.tokens(body).alias("words"), F.row_number().over(last).alias("n")).where("n = 1")
-    rows = rows.select("chunk_id", "owner", "acl_hash", F.size("words").alias("length"), F.size(F.array_distinct("words")).alias("n_words"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
+    rows = rows.select("chunk_id", "owner", "acl_hash", F.size("words").alias("length"), F.size(F.array_distinct("words")).alias("n_words"), F.array_append("words", F.lit("")).alias("words"))
+    # counted before the words are dealt out, else once for each word
+    rows = rows.select("chunk_id", "owner", "acl_hash", "length", "n_words", F.explode("words").alias("term"))
     return rows.groupBy("chunk_id", "owner", "acl_hash", "length", "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -64,7 +64,7 @@ def holders(items: DataFrame, docs: DataFrame) -> DataFrame:
     return found.unionByName(more.select("query_id", "doc_id"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B, held: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame | None, k1: float = K1, b: float = B, held: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score of every visible chunk that has a query term; frequencies count over all tenants. `held`:
     postings() of these queries, where they are there already."""
     held = postings(queries, chunks) if held is None else held
@@ -101,7 +101,7 @@ def vector_search(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFra
     return top_k(scored, k, id_col="point_id")
 
 
-def overlap_leg(queries: DataFrame, chunks: DataFrame, held: DataFrame | None = None) -> DataFrame:
+def overlap_leg(queries: DataFrame, chunks: DataFrame | None, held: DataFrame | None = None) -> DataFrame:
     """A second ranking: Jaccard overlap of query and chunk words, among chunks that share a query term."""
     held = (postings(queries, chunks) if held is None else held).where("term <> ''")
     asked = queries.select("query_id", "tenant_id", "acl_hashes", F.array_distinct(text.tokens(F.col("query_text"))).alias("asked"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querent.functions import text
-from querent.operators import evaluation, lexical_index, retrieval
+from querent.operators import bounded, evaluation, lexical_index, retrieval
 from querent.sources import catalog
 from querent.sources.shared import cut, folder
 
@@ -42,15 +42,32 @@ def _chunks(spark, sf_dir):
     return catalog.documents(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")
 
 
-def _bm25_top(spark, sf_dir, held=None):
-    return retrieval.top_k(retrieval.bm25(catalog.queries(spark, sf_dir), _chunks(spark, sf_dir), held=held), retrieval.TOP_K)
+def _held(spark, sf_dir):
+    return retrieval.postings(catalog.queries(spark, sf_dir), _chunks(spark, sf_dir))
+
+
+def _pool(spark, sf_dir, held=None):
+    return bounded.pool(catalog.queries(spark, sf_dir), bounded.rows_of(_held(spark, sf_dir) if held is None else held))
+
+
+def _tops(spark, sf_dir):
+    """The best chunks of each query by both rankings: all pairs scored, or bounds first where postings are counted many.
+    Both ways give the same rows."""
+    queries, held = catalog.queries(spark, sf_dir), _held(spark, sf_dir)
+    if held.count() > bounded.LARGE:
+        pool = _pool(spark, sf_dir, held)
+        return bounded.bm25_top(pool), bounded.overlap_top(pool)
+    return tuple(retrieval.top_k(leg(queries, None, held=held), retrieval.TOP_K) for leg in (retrieval.bm25, retrieval.overlap_leg))
+
+
+def _bm25_top(spark, sf_dir):
+    return _tops(spark, sf_dir)[0]
 
 
 def _legs(spark, sf_dir):
-    held = retrieval.postings(catalog.queries(spark, sf_dir), _chunks(spark, sf_dir))
-    lexical = _bm25_top(spark, sf_dir, held).select("query_id", "chunk_id", F.lit("lexical").alias("source"), "rank", F.col("score").alias("effective_score"), F.lit(1.0).alias("weight"))
-    overlap = retrieval.top_k(retrieval.overlap_leg(catalog.queries(spark, sf_dir), _chunks(spark, sf_dir), held), retrieval.TOP_K)
-    return lexical.unionByName(overlap.select("query_id", "chunk_id", F.lit("overlap").alias("source"), "rank", F.col("score").alias("effective_score"), F.lit(0.5).alias("weight")))
+    lexical, overlap = _tops(spark, sf_dir)
+    leg = lambda rows, source, weight: rows.select("query_id", "chunk_id", F.lit(source).alias("source"), "rank", F.col("score").alias("effective_score"), F.lit(weight).alias("weight"))
+    return leg(lexical, "lexical", 1.0).unionByName(leg(overlap, "overlap", 0.5))
 
 
 def fused(spark, sf_dir):
@@ -98,6 +115,21 @@ def incremental_bm25_topk(spark, sf_dir):
     return retrieval.top_k(scores, retrieval.TOP_K).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _ranks(rows):
+    return rows.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_BM25 + "SELECT query_id, chunk_id, score, rank FROM bm25_top")
+def bm25_bounded_topk(spark, sf_dir):
+    """The rows of bm25_topk, by bounds."""
+    return _ranks(bounded.bm25_top(_pool(spark, sf_dir)))
+
+
+@query(_BM25 + "SELECT query_id, chunk_id, score, rank FROM overlap_top")
+def overlap_bounded_topk(spark, sf_dir):
+    return _ranks(bounded.overlap_top(_pool(spark, sf_dir)))
+
+
 @query(_BM25 + "SELECT query_id, chunk_id, fused_score, best_score, lexical_rank, overlap_rank FROM rrf")
 def rrf_fusion(spark, sf_dir):
     ranks = [F.element_at("rank_by_leg", F.lit(s)).cast("long").alias(f"{s}_rank") for s in ("lexical", "overlap")]
