@@ -69,6 +69,40 @@ def alert_ratios(rows: DataFrame, flag: Column, ts: str, by: list[str], width: s
     return grouped.where(F.col("ratio") > threshold).select(*by, F.col("w.start").alias("starts"), "ratio", "n")
 
 
+def bucket_quantile(q: float, counts: list[Column], total: Column, bounds) -> Column:
+    """The q-quantile of a histogram of cumulative counts: linear within its bucket, the last bound above all of them."""
+    rank, out, before, low = total * q, F.lit(float(bounds[-1])), F.lit(0), 0.0
+    found = None
+    for count, bound in zip(counts, bounds, strict=True):
+        inside = F.lit(low) + (bound - low) * (rank - before) / F.nullif(count - before, F.lit(0))
+        found = (F if found is None else found).when(count >= rank, F.coalesce(inside, F.lit(float(bound))))
+        before, low = count, float(bound)
+    return F.when(total > 0, found.otherwise(out))
+
+
+def quantile_alerts(rows: DataFrame, value: str, ts: str, by: list[str], q: float, threshold: float, step_s: int, range_s: int, for_s: int, bounds=HISTOGRAM_BOUNDS) -> DataFrame:
+    """Spells in which a quantile stays over a threshold for `for_s` seconds at least.
+
+    At each multiple of step_s the quantile of the last range_s seconds is taken from a histogram, as a set of counters would
+    give it: counts of each step are summed first and then added up by the evaluations that they enter (range_s / step_s
+    of them), so no group of events is gathered. Evaluations over the threshold that follow each other are a spell; one
+    without events ends it. Rows: by, starts (first evaluation over it), fires_at, ends (last one), peak. Events of null time
+    or value are left out; a null group is a group."""
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    events = rows.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(*by, F.ceil((at + 1) / step_s).alias("step"), F.col(value).alias("_v"))
+    names = [f"le_{k}" for k in range(len(bounds))]
+    steps = events.groupBy(*by, "step").agg(*[F.count_if(F.col("_v") <= b).alias(n) for n, b in zip(names, bounds, strict=True)], F.count(F.lit(1)).alias("total"))
+    spread = steps.withColumn("step", F.explode(F.sequence(F.col("step"), F.col("step") + (range_s // step_s - 1))))
+    found = spread.groupBy(*by, "step").agg(*[F.sum(n).alias(n) for n in names], F.sum("total").alias("total"))
+    over = found.select(*by, "step", F.round(bucket_quantile(q, [F.col(n) for n in names], F.col("total"), bounds), 6).alias("value")).where(F.col("value") > threshold)
+    # steps of a spell less their number among those over the threshold are one value
+    spell = F.col("step") - F.row_number().over(Window.partitionBy(*by).orderBy("step"))
+    spells = over.withColumn("_spell", spell).groupBy(*by, "_spell").agg(F.min("step").alias("a"), F.max("step").alias("b"), F.max("value").alias("peak"))
+    long = spells.where((F.col("b") - F.col("a")) * step_s >= for_s)
+    when = lambda c: F.timestamp_seconds(c)
+    return long.select(*by, when(F.col("a") * step_s).alias("starts"), when(F.col("a") * step_s + for_s).alias("fires_at"), when(F.col("b") * step_s).alias("ends"), "peak")
+
+
 def ece_bins(rows: DataFrame, p: str, outcome: str, bins: int = 10) -> DataFrame:
     """Count, mean prediction and hit rate of each bin; the expected calibration error is their weighted gap."""
     b = F.least(F.lit(bins - 1), F.floor(F.col(p) * bins)).cast("long")

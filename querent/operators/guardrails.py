@@ -74,14 +74,40 @@ def limit_violation(text: Column, most: int = MAX_CHARS) -> Column:
     return F.when(F.length(text) > most, "payload_too_large").when(text.rlike(CONTROL), "control_characters")
 
 
+#: The reason of a check that failed itself: the row is blocked, as it has not been checked.
+CHECK_ERROR = "guardrail_error"
+
+
+def guarded(check):
+    """A check written in Python (text -> reason or None) as a reason column of a text. Where it raises, the reason is
+    CHECK_ERROR for that row alone; the job goes on. Null texts are not checked."""
+
+    def one(text):
+        try:
+            return None if text is None else check(text)
+        except Exception:  # noqa: BLE001  whatever it is, the row is not let through
+            return CHECK_ERROR
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action=None)
+
+    return run
+
+
 def chain(rows: DataFrame, text_col: str, checks) -> DataFrame:
     """Runs checks in order: each is (name, reason column of a text, replacement column of a text or None). The first
-    without a replacement that has a reason blocks, and later ones don't run; replacements feed forward."""
+    without a replacement that has a reason blocks, as does any whose reason is CHECK_ERROR, and later ones don't run;
+    replacements feed forward."""
     rows = rows.withColumn("_now", F.col(text_col)).withColumn("verdict", F.lit("allow")).withColumn("reason", F.lit(None).cast("string")).withColumn("fired", F.array().cast("array<string>"))
     for name, reason, put in checks:
         found = F.when(F.col("verdict") != "block", reason(F.col("_now")))
         rows = rows.withColumn("_found", found)
         rows = rows.withColumn("fired", F.when(F.col("_found").isNotNull(), F.array_append("fired", F.lit(name))).otherwise(F.col("fired")))
+        if put is not None:
+            failed = F.coalesce(F.col("_found") == CHECK_ERROR, F.lit(False))
+            rows = rows.withColumn("verdict", F.when(failed, "block").otherwise(F.col("verdict"))).withColumn("reason", F.when(failed, CHECK_ERROR).otherwise(F.col("reason")))
+            rows = rows.withColumn("_found", F.when(~failed, F.col("_found")))
         if put is None:
             rows = rows.withColumn("verdict", F.when(F.col("_found").isNotNull(), "block").otherwise(F.col("verdict"))).withColumn("reason", F.coalesce("reason", "_found"))
         else:

@@ -369,3 +369,66 @@ def hashed_vectors(rows: DataFrame, dims: int = 256, purpose: str = "document")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "vector"])
 
     return spread(rows.select("doc_id", "text")).mapInArrow(embed, "doc_id long, vector array<double>")
+
+
+# The fields of an index entry, in order, and what a reader takes where one is missing.
+PAYLOAD = (
+    "chunk_id document_id document_version tenant_id source_id text parent_text parent_id heading_path order strategy token_estimate acl_hash authority volatility_class "
+    "lineage_root embedding_version"
+).split()
+_READ = {"chunk_id": "", "document_id": "", "document_version": "unknown", "text": "", "parent_text": None, "heading_path": [], "acl_hash": "public", "tenant_id": None, "authority": 0.5, "lineage_root": None, "embedding_version": None}
+_KINDS = {"heading_path": "array<string>", "authority": "double", "order": "int", "token_estimate": "long"}
+
+
+def payload(chunks: DataFrame, embedding_version: str) -> DataFrame:
+    """What the index keeps of each chunk: PAYLOAD. Columns that the chunks lack are null; a chunk without a lineage is its
+    document's."""
+    rows = chunks.withColumn("embedding_version", F.lit(embedding_version))
+    for name in PAYLOAD:
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(_KINDS.get(name, "string")))
+    root = F.coalesce(F.nullif(F.col("lineage_root").cast("string"), F.lit("")), F.col("document_id").cast("string"))
+    path = F.coalesce("heading_path", F.array().cast("array<string>"))
+    return rows.withColumns({"lineage_root": root, "heading_path": path}).select(*PAYLOAD)
+
+
+def payload_fields(rows: DataFrame) -> DataFrame:
+    """Reads entries that an older writer may have made: missing columns, and nulls of a field that has a default, get it.
+    Further columns are left out."""
+
+    def field(name, default):
+        have = F.col(name) if name in rows.columns else F.lit(None)
+        kind = _KINDS.get(name, "string")
+        empty = F.array().cast(kind) if default == [] else F.lit(default).cast(kind)
+        return F.coalesce(have.cast(kind), empty)
+
+    cols = {n: field(n, d) for n, d in _READ.items()}
+    cols["lineage_root"] = F.coalesce(F.nullif(cols["lineage_root"], F.lit("")), cols["document_id"])
+    return rows.select(*[c.alias(n) for n, c in cols.items()])
+
+
+#: Fields that come from the writer, not from the chunk: a change of these alone is a change too.
+_HASHED = [n for n in PAYLOAD if n != "chunk_id"]
+
+
+def entry_hash(rows: DataFrame) -> DataFrame:
+    """chunk_id, document_id and the digest of everything that an entry holds."""
+    return rows.select("chunk_id", "document_id", F.sha2(F.to_json(F.struct(*_HASHED), {"ignoreNullFields": "false"}), 256).alias("entry_hash"))
+
+
+def changes(before: DataFrame, after: DataFrame, whole: bool = False) -> DataFrame:
+    """chunk_id and change of each entry between two snapshots (chunk_id, document_id, entry_hash): `added`, `changed`,
+    `unchanged`, or `removed`: an entry whose document is in the new snapshot without it, as the document got shorter. With
+    `whole` the new snapshot is the whole corpus, and entries of documents that it lacks are removed as well. Without it
+    such entries are not mentioned. One shuffle by chunk_id; documents meet by a semi join. Null ids match each other;
+    of repeated entries of one id the one of the greatest digest counts."""
+    one = lambda rows, name: rows.groupBy("chunk_id").agg(F.max(F.struct("entry_hash", "document_id")).alias(name))
+    a, b = one(before, "old").withColumnRenamed("chunk_id", "_id"), one(after, "new")
+    rows = b.join(a, F.col("chunk_id").eqNullSafe(F.col("_id")), "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old.entry_hash") == F.col("new.entry_hash"), "unchanged").otherwise("changed")
+    rows = rows.select(F.when(F.col("new").isNull(), F.col("_id")).otherwise(F.col("chunk_id")).alias("chunk_id"), change.alias("change"), F.col("old.document_id").alias("document_id"))
+    if not whole:
+        there = after.select(F.col("document_id").alias("_document")).distinct()
+        gone = rows.where("change = 'removed'").join(there, F.col("document_id").eqNullSafe(F.col("_document")), "left_semi")
+        rows = rows.where("change <> 'removed'").unionByName(gone)
+    return rows.select("chunk_id", "change")

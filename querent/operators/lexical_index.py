@@ -221,3 +221,14 @@ def statistics(index: Index) -> DataFrame:
     """n and mean_length as one row, from the version."""
     n = index.documents
     return index.spark.createDataFrame([(n, index.tokens / n if n else 0.0)], "n long, mean_length double")
+
+
+def synced(index: Index, entries: DataFrame, changes: DataFrame) -> Index:
+    """Takes over the changes between two snapshots (chunk_id, change; see ingestion.changes): added and changed entries are
+    written, removed ones taken out, unchanged ones not touched. Without any the index stays at its version."""
+    counts = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}  # four kinds
+    if counts.get("removed"):
+        index = deleted(index, changes.where("change = 'removed'"))
+    if counts.get("added") or counts.get("changed"):
+        index = upserted(index, entries.join(changes.where("change in ('added', 'changed')"), "chunk_id", "left_semi"))
+    return index

@@ -117,10 +117,12 @@ def _placed(rows: DataFrame, means: DataFrame) -> DataFrame:
     return near.select("domain", "passage_id", "unit", F.col("near.cluster").alias("cluster"), F.col("near.sim").alias("sim"))
 
 
-def augmented(passages: DataFrame) -> DataFrame:
-    """Three question surfaces for each sentence of a passage (document_id, text) with six content words or more."""
+def augmented(passages: DataFrame, by: str | None = None) -> DataFrame:
+    """Three question surfaces for each sentence of a passage (document_id, text) with six content words or more. `by`: a
+    further column that goes along."""
+    own = [by] if by else []
     clean = F.trim(F.regexp_replace("text", r"\s+", " "))
-    rows = passages.select("document_id", F.posexplode(text.sentences(clean)).alias("n", "answer"))
+    rows = passages.select(*own, "document_id", F.posexplode(text.sentences(clean)).alias("n", "answer"))
     found = F.regexp_extract_all("answer", F.lit(r"[A-Za-z0-9][A-Za-z0-9\-]*"), F.lit(0))
     stops = F.array(*[F.lit(w) for w in text.PARAMETRIC_STOP])
     rows = rows.withColumn("w", F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(stops, F.lower(w)))).where(F.size("w") >= 6)
@@ -130,18 +132,20 @@ def augmented(passages: DataFrame) -> DataFrame:
         F.slice("w", F.floor(n / 3).cast("int") + 1, n),
         F.filter("w", lambda w, i: i % 2 == 0),
     )
-    return rows.select("document_id", "n", "answer", F.posexplode(surfaces).alias("surface", "q")).select("document_id", "n", "surface", F.lower(F.array_join("q", " ")).alias("question"), "answer")
+    return rows.select(*own, "document_id", "n", "answer", F.posexplode(surfaces).alias("surface", "q")).select(*own, "document_id", "n", "surface", F.lower(F.array_join("q", " ")).alias("question"), "answer")
 
 
-def filtered_pairs(pairs: DataFrame, sources: DataFrame, floor: float = 0.85) -> DataFrame:
-    """Pairs with the reason for dropping them, if any: what the source doesn't entail, thin questions, and repeats."""
-    held = sources.select("document_id", words(F.col("text")).alias("held"))
-    rows = pairs.join(held, "document_id", "left").withColumn("asked", words(F.col("question"))).withColumn("said", words(F.col("answer")))
+def filtered_pairs(pairs: DataFrame, sources: DataFrame, floor: float = 0.85, by: str | None = None) -> DataFrame:
+    """Pairs with the reason for dropping them, if any: what the source doesn't entail, thin questions, and repeats. With
+    `by`, sources and repeats are those of the same group."""
+    own = [by] if by else []
+    held = sources.select(*own, "document_id", words(F.col("text")).alias("held"))
+    rows = pairs.join(held, [*own, "document_id"], "left").withColumn("asked", words(F.col("question"))).withColumn("said", words(F.col("answer")))
     share = text.covered(F.col("said"), F.coalesce("held", F.array().cast("array<string>")))
     why = F.when((F.size("said") == 0) | (share < floor), "not_entailed").when(F.size("asked") < 2, "low_diversity")
     rows = rows.withColumn("why", why).withColumn("key", F.array_join(F.array_sort("asked"), " "))
-    first = F.row_number().over(Window.partitionBy(F.col("why").isNull(), "key", "answer").orderBy("document_id", "n", "surface"))
-    return rows.withColumn("reason", F.coalesce("why", F.when(first > 1, "duplicate"))).select("document_id", "n", "surface", "question", "answer", "reason")
+    first = F.row_number().over(Window.partitionBy(*own, F.col("why").isNull(), "key", "answer").orderBy("document_id", "n", "surface"))
+    return rows.withColumn("reason", F.coalesce("why", F.when(first > 1, "duplicate"))).select(*own, "document_id", "n", "surface", "question", "answer", "reason")
 
 
 def answered(questions: DataFrame, pairs: DataFrame, factor: float = 1.0) -> DataFrame:

@@ -82,6 +82,23 @@ def alert_ratios(spark, sf_dir):
     return found.withColumn("starts", F.col("starts").cast("timestamp_ntz"))
 
 
+_BOUNDS = evaluation.HISTOGRAM_BOUNDS
+_INSIDE = " ".join(f"WHEN c{k} >= 0.95::double * n THEN coalesce({float(([0] + list(_BOUNDS))[k])}::double + {b - ([0] + list(_BOUNDS))[k]} * (0.95::double * n - {f'c{k - 1}' if k else 0}) / nullif(c{k} - {f'c{k - 1}' if k else 0}, 0), {float(b)}::double)" for k, b in enumerate(_BOUNDS))
+
+
+@query(
+    f"""WITH x AS (SELECT event_type AS node, floor(epoch(ts) / 3600)::bigint + 1 + unnest(range(6)) AS step, value FROM events),
+h AS (SELECT node, step, {", ".join(f"count_if(value <= {b}) AS c{k}" for k, b in enumerate(_BOUNDS))}, count(*) AS n FROM x GROUP BY ALL),
+o AS (SELECT node, step, round(CASE {_INSIDE} ELSE {float(_BOUNDS[-1])}::double END, 6) AS v FROM h),
+s AS (SELECT *, step - row_number() OVER (PARTITION BY node ORDER BY step) AS spell FROM o WHERE v > 180)
+SELECT node, make_timestamp(min(step) * 3600000000) AS starts, make_timestamp((min(step) + 4) * 3600000000) AS fires_at, make_timestamp(max(step) * 3600000000) AS ends, max(v) AS peak FROM s GROUP BY node, spell HAVING max(step) - min(step) >= 4"""
+)
+def latency_p95_alerts(spark, sf_dir):
+    rows = catalog.table(spark, sf_dir, "events").withColumnRenamed("event_type", "node")
+    found = evaluation.quantile_alerts(rows, "value", "ts", ["node"], 0.95, 180.0, step_s=3600, range_s=6 * 3600, for_s=4 * 3600)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("starts", "fires_at", "ends")})
+
+
 @query(
     _BM25
     + """, top5 AS (SELECT query_id, chunk_id AS doc_id FROM bm25_top WHERE rank < 5), asp AS (SELECT query_id, source, bool_or(t.doc_id IS NOT NULL) AS hit

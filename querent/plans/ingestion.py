@@ -107,3 +107,29 @@ def index_payload(spark, sf_dir):
     docs = catalog.documents(spark, sf_dir)
     path = F.array(F.when(F.col("lang") == "en", "en").otherwise("other"))
     return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "tenant_id", "acl_hash", "authority", "source_id", F.coalesce(F.lit(None).cast("long"), "doc_id").alias("lineage_root"), ingestion.prefixed(F.col("text"), path).alias("prefixed"), F.lit("slow").alias("volatility"))
+
+
+_LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS n FROM documents)"""
+
+
+@query(
+    f"""WITH {_LINES}, q AS (SELECT doc_id, quality, toxic FROM labels), after AS (SELECT doc_id, k, CASE WHEN quality = 0 AND k = 1 THEN line || ' !' ELSE line END AS line FROM lines LEFT JOIN q USING (doc_id)
+  WHERE coalesce(toxic, 0) = 0 AND NOT (coalesce(quality, 1) = 0 AND k = n AND n > 1) UNION ALL SELECT doc_id, n + 1, 'checked' FROM lines JOIN q USING (doc_id) WHERE quality = 1 AND toxic = 0 AND k = n)
+SELECT CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.line = b.line THEN 'unchanged' ELSE 'changed' END AS change, count(*) AS n
+FROM lines b FULL JOIN after a ON a.doc_id = b.doc_id AND a.k = b.k GROUP BY 1"""
+)
+def index_changes(spark, sf_dir):
+    """What an index has to do between two states of a corpus whose entries are lines: documents of low quality get
+    another first line and lose their last, good ones get one more, toxic ones are gone."""
+    docs = catalog.table(spark, sf_dir, "documents").join(catalog.table(spark, sf_dir, "labels"), "doc_id", "left")
+    lines = docs.select("doc_id", "quality", "toxic", F.split("text", "\n").alias("lines"))
+    low, good = F.coalesce(F.col("quality") == 0, F.lit(False)), F.coalesce(F.col("quality") == 1, F.lit(False))
+    worse = F.transform(F.when(F.size("lines") > 1, F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines")), lambda line, k: F.when(k == 0, F.concat(line, F.lit(" !"))).otherwise(line))
+    later = lines.where(F.coalesce("toxic", F.lit(0)) == 0).withColumn("lines", F.when(low, worse).when(good, F.array_append("lines", F.lit("checked"))).otherwise(F.col("lines")))
+
+    def entries(rows):
+        rows = rows.select("doc_id", F.posexplode("lines").alias("order", "text"))
+        chunks = rows.select(F.concat_ws(":", "doc_id", "order").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), "order", "text")
+        return ingestion.entry_hash(ingestion.payload(chunks, "hash-1"))
+
+    return ingestion.changes(entries(lines), entries(later), whole=True).groupBy("change").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querent.functions import text
-from querent.operators import bounded, evaluation, lexical_index, retrieval
+from querent.operators import bounded, evaluation, lexical_index, retrieval, vector_index
 from querent.sources import catalog
 from querent.sources.shared import cut, folder
 
@@ -208,7 +208,7 @@ def vector_topk(spark, sf_dir):
         F.col("embedding").cast("array<double>").alias("vector"),
     )
     asking = points.where(F.col("point_id") % 50 == 0).select(F.col("point_id").alias("query_id"), "tenant_id", F.array(F.lit("acl-eng")).alias("acl_hashes"), F.col("vector").alias("query_vector"))
-    return retrieval.vector_search(asking, points).withColumn("rank", F.col("rank").cast("long"))
+    return vector_index.search(vector_index.built(points), asking).withColumn("rank", F.col("rank").cast("long"))
 
 
 _PLAN = f"""WITH {catalog.SQL_QUERIES}, s(source_id, text_only, vector, top_k, required) AS (VALUES ('vector', false, true, 24, true), ('lexical', true, false, 24, false)),

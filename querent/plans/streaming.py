@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from querent.sources import catalog
 from querent.sources.shared import folder
-from querent.streaming import events
+from querent.streaming import events, memory
 
 from .base import ORACLE_SQL, query
 from .deciding import drift_monitor as _  # noqa: F401  its SQL is the stream's too
@@ -57,3 +57,25 @@ def session_windows_stream(spark, sf_dir):
 def breaker_stream(spark, sf_dir):
     """A state machine over time is beyond SQL; tests hold the brute force."""
     return _run(spark, sf_dir, events.breaker)
+
+
+def memory_events(turns):
+    """Turns of conversations as events of long-term memory, a conversation a principal: a user's turn is a question first and
+    then what the user asserts; the others are what the model generates."""
+    at = F.lit(catalog.CLOCK_MS) + F.col("turn") * 3_600_000
+    said = F.when(F.col("role") == "user", "user_asserted").otherwise("model_generated")
+    kinds = F.explode(F.when(F.col("role") == "user", F.array(F.lit("read"), F.lit("write"))).otherwise(F.array(F.lit("write"))))
+    null = lambda kind: F.lit(None).cast(kind)
+    return turns.select(
+        F.col("conv_id").cast("string").alias("principal"), (F.col("conv_id") * 100_000 + F.col("turn") * 2).alias("event_id"), at.alias("at_ms"), kinds.alias("kind"),
+        F.concat_ws(":", "conv_id", "turn").alias("item_id"), F.lit("long_term").alias("namespace"), said.alias("provenance"), null("string").alias("session_id"),
+        "text", F.lit(0.5).alias("salience"), F.lit(5).alias("most"), null("long").alias("before_ms"),
+    ).withColumn("event_id", F.col("event_id") + (F.col("kind") == "write").cast("int"))
+
+
+@query()
+def memory_stream(spark, sf_dir):
+    """State that reads change is beyond SQL; tests/test_memory_stream.py holds the brute force."""
+    schema = catalog.table(spark, sf_dir, "conversations").schema
+    turns = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/conversations.parquet*")
+    return events.run_to_table(memory.remembered(memory_events(turns), memory.LONG_TERM), folder(spark, "stream"))
