@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querent.functions import text
-from querent.operators import parametric
+from querent.operators import adapters, parameterization, parametric
 from querent.sources import catalog
+from querent.sources.shared import folder
 
 from . import base
 from .base import query
@@ -141,3 +142,71 @@ def cluster_means(spark, sf_dir):
     """Means in rounds are beyond a twin in SQL; tests hold the brute force."""
     rows = catalog.table(spark, sf_dir, "embeddings").select(F.col("label").alias("domain"), F.col("vec_id").alias("passage_id"), F.col("embedding").cast("array<double>").alias("vector"))
     return parametric.mean_clusters(rows, threshold=0.3)
+
+
+#: An adapter for each source, language and thousand characters: version 1 learns from its documents of good quality, version
+#: 2 from those of low quality. All first versions are promoted, then second ones that learn from more; toxic documents revoke.
+_TAUGHT = """t AS (SELECT concat_ws('.', source, lang, n_chars // 1000) AS adapter_id, CASE quality WHEN 1 THEN 1 ELSE 2 END AS version, doc_id, toxic FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT adapter_id, version, count(*) AS n, bool_or(toxic = 1) AS gone, sha256(string_agg(doc_id::varchar, ',' ORDER BY doc_id)) AS blob_sha256 FROM t GROUP BY ALL),
+p AS (SELECT a.*, b.n AS other FROM r a LEFT JOIN r b ON a.adapter_id = b.adapter_id AND b.version = 3 - a.version)"""
+
+
+@query(
+    f"""WITH {_TAUGHT} SELECT adapter_id, version, CASE WHEN gone THEN 'revoked' WHEN version = 1 THEN CASE WHEN coalesce(other > n, false) THEN 'deprecated' ELSE 'active' END
+  WHEN n > coalesce(other, 0) THEN 'active' ELSE 'candidate' END AS status, blob_sha256 FROM p"""
+)
+def adapter_registry(spark, sf_dir):
+    """The registry after registration, two promotions and a revocation, as a reader opens it; weights checked as they load."""
+    labels = catalog.table(spark, sf_dir, "labels")
+    docs = catalog.table(spark, sf_dir, "documents").join(labels, "doc_id")
+    taught = docs.select(F.concat_ws(".", "source", "lang", F.expr("n_chars div 1000")).alias("adapter_id"), F.when(F.col("quality") == 1, 1).otherwise(2).alias("version"), "doc_id", "toxic")
+    rows = taught.groupBy("adapter_id", "version").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    ids = F.col("ids").cast("array<string>")
+    new = rows.select(
+        "adapter_id", "version", F.lit("tenant-0").alias("tenant_scope"), F.lit("kb").alias("domain"), F.lit(1.0).alias("weight"), F.array(F.lit(1.0)).alias("centroid"),
+        ids.alias("source_document_ids"), F.lit(catalog.CLOCK_MS).alias("created_at_ms"), F.array_join(ids, ",").cast("binary").alias("data"),
+    )
+    reg = adapters.registered(adapters.created(spark, folder(spark, "registry")), new)
+    sizes = rows.groupBy("adapter_id").agg(*[F.coalesce(F.max(F.when(F.col("version") == v, F.size("ids"))), F.lit(0)).alias(f"n{v}") for v in (1, 2)])
+    reg = adapters.promoted(reg, rows.where("version = 1"), catalog.CLOCK_MS + 1)
+    reg = adapters.promoted(reg, sizes.where("n2 > n1").select("adapter_id", F.lit(2).alias("version")), catalog.CLOCK_MS + 2)
+    adapters.revoked(reg, taught.where("toxic = 1").select(F.col("doc_id").alias("document_id")), catalog.CLOCK_MS + 3)
+    reg = adapters.reopened(spark, reg.folder)
+    held = adapters.records(reg).select("adapter_id", "version", "status")
+    weights = adapters.loaded(reg, held).where("error is null").select("adapter_id", "version", F.sha2("data", 256).alias("blob_sha256"))
+    return held.join(weights, ["adapter_id", "version"])
+
+
+_CLUSTER_RECALL = f"""{_PAIRS}, hd AS (SELECT document_id, {_PW("text")} AS held FROM src),
+pw AS (SELECT p.*, p.document_id % 3 AS cluster_id, {_PW("question")} AS asked, {_PW("answer")} AS said, held FROM pairs p JOIN hd USING (document_id)),
+wy AS (SELECT *, CASE WHEN len(said) = 0 OR {base.covered("said", "held")} < 0.85::double THEN 'not_entailed' WHEN len(asked) < 2 THEN 'low_diversity' END AS why FROM pw),
+rs AS (SELECT *, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY cluster_id, why IS NULL, array_to_string(list_sort(asked), ' '), answer ORDER BY document_id, n, surface) > 1 THEN 'duplicate' END) AS reason FROM wy),
+ct AS (SELECT cluster_id, count(*) FILTER (reason = 'duplicate') AS duplicate FROM rs GROUP BY 1),
+st AS (SELECT cluster_id, answer, list_distinct(list_concat(asked, said)) AS held FROM rs WHERE reason IS NULL AND surface < 2),
+qs AS (SELECT row_number() OVER () AS q, cluster_id, answer AS want, asked FROM rs WHERE reason IS NULL AND surface = 2),
+sc AS (SELECT q, answer, round(len(list_intersect(asked, held))::double / len(asked), 6) AS score FROM qs JOIN st USING (cluster_id) WHERE len(list_intersect(asked, held)) > 0),
+bs AS (SELECT q, answer FROM sc QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, answer DESC) = 1),
+rc AS (SELECT cluster_id, round(avg((coalesce(bs.answer, '') = want)::int), 6) AS recall FROM qs LEFT JOIN bs USING (q) GROUP BY 1),
+cl AS (SELECT item_id % 3 AS cluster_id, bool_or(contains(text, '"')) AS quoted, count(*) * 100 AS volume FROM benchmark GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_CLUSTER_RECALL} SELECT cluster_id, CASE WHEN cluster_id = 2 THEN 'scope:refused' WHEN quoted THEN 'scope,eligibility:refused'
+  WHEN recall < 0.8 THEN 'scope,eligibility,augmentation,training,promotion_gate:refused' ELSE 'scope,eligibility,augmentation,training,promotion_gate,registered,shadow' END AS steps,
+  CASE WHEN cluster_id = 2 THEN 'tenant_knowledge_in_global_adapter' WHEN quoted THEN 'requires_exact_quotation' WHEN recall < 0.8 THEN 'knowledge_recall_below_floor' ELSE '' END AS refused,
+  CASE WHEN cluster_id < 2 AND NOT quoted THEN duplicate END AS duplicate, CASE WHEN cluster_id < 2 AND NOT quoted THEN recall END AS recall,
+  CASE WHEN cluster_id < 2 AND NOT quoted AND recall >= 0.8 THEN 'tenant-' || cluster_id || '.kb.' || cluster_id END AS adapter_id FROM cl JOIN ct USING (cluster_id) JOIN rc USING (cluster_id)"""
+)
+def parameterize_clusters(spark, sf_dir):
+    """A cluster for each tenant's benchmark items; the last one asks for an adapter that would serve every tenant."""
+    cluster = (F.col("item_id") % 3).alias("cluster_id")
+    items = catalog.table(spark, sf_dir, "benchmark").select(cluster, F.col("item_id").alias("document_id"), "text")
+    facts = items.groupBy("cluster_id").agg(F.bool_or(F.contains("text", F.lit('"'))).alias("requires_exact_quotation"), (F.count(F.lit(1)) * 100.0).alias("queries_per_period"), (F.sum(F.length("text")) / 1e6).alias("training_usd"))
+    tenant, no = F.concat(F.lit("tenant-"), "cluster_id"), F.lit(False)
+    clusters = facts.select(
+        "*", tenant.alias("tenant_id"), F.when(F.col("cluster_id") == 2, adapters.GLOBAL).otherwise(tenant).alias("tenant_scope"), F.lit("kb").alias("domain"), F.lit(0.9).alias("coherence"), F.array(F.lit(1.0)).alias("centroid"),
+        F.lit("reference").alias("knowledge_class"), no.alias("acl_narrower_than_tenant"), F.lit(None).cast("double").alias("revocation_sla_hours"), F.lit(180.0).alias("half_life_days"),
+        no.alias("requires_per_claim_provenance"), no.alias("contested"), no.alias("contains_pii"), F.lit(0.0043).alias("usd_per_query"),
+    )
+    _, report = parameterization.parameterized(adapters.created(spark, folder(spark, "registry")), clusters, items, catalog.CLOCK_MS)
+    return report.select("cluster_id", F.array_join("steps", ",").alias("steps"), F.array_join("refused", ",").alias("refused"), "duplicate", F.round("recall", 6).alias("recall"), "adapter_id")
