@@ -69,6 +69,23 @@ def alert_ratios(rows: DataFrame, flag: Column, ts: str, by: list[str], width: s
     return grouped.where(F.col("ratio") > threshold).select(*by, F.col("w.start").alias("starts"), "ratio", "n")
 
 
+#: Shape of a scorecard kept as text.
+CARD = "dataset_id string, summaries map<string, struct<judged: boolean, mean: double, n: bigint, pass_rate: double>>"
+
+
+def card_json(card: DataFrame, dataset_id: str) -> DataFrame:
+    """One row, `json`: the summaries of a scorecard by metric, keys in order; a metric without a pass rate has none."""
+    entry = F.struct("metric_id", F.struct("judged", "mean", F.col("n").cast("long").alias("n"), "pass_rate"))
+    rows = card.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("summaries"))  # a row for each metric
+    return rows.select(F.to_json(F.struct(F.lit(dataset_id).alias("dataset_id"), "summaries")).alias("json"))
+
+
+def card_of_json(rows: DataFrame, column: str = "json") -> DataFrame:
+    """dataset_id and a row for each metric of scorecards kept as text; a text that is none fails the read."""
+    card = rows.select(F.from_json(column, CARD, {"mode": "FAILFAST"}).alias("c")).select("c.dataset_id", F.explode("c.summaries").alias("metric_id", "s"))
+    return card.select("dataset_id", "metric_id", "s.mean", "s.n", "s.pass_rate", "s.judged")
+
+
 def bucket_quantile(q: float, counts: list[Column], total: Column, bounds) -> Column:
     """The q-quantile of a histogram of cumulative counts: linear within its bucket, the last bound above all of them."""
     rank, out, before, low = total * q, F.lit(float(bounds[-1])), F.lit(0), 0.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from querent.functions import text
 
+#: Markers, what is no claim, thresholds and the answers without evidence.
 MARKER = r"\[(E\d+)\]"
 LEADING = r"^\s*(?:\[E\d+\]\s*)+"
 NOT_A_CLAIM = r"^\s*(i (do not|don't|cannot|can't)\b|there (is|are) no\b|based on the (provided|available)\b)"

@@ -20,6 +20,7 @@ from querent.functions import text
 from querent.operators.guardrails import BOILERPLATE
 from querent.sources.shared import spread
 
+#: The patterns of lines.
 FENCE, HEADING, LIST_ITEM, QUOTE = r"^\s*```", r"^(#{1,6})\s+(.*)$", r"^\s*(?:[-*+]|\d+[.)])\s+(.*)$", r"^\s*>\s?(.*)$"
 TABLE_ROW, TABLE_DIVIDER = r"^\s*\|.*\|\s*$", r"^\s*\|[\s:|-]+\|\s*$"
 CLAUSE = r"^\s*(?:section|article|clause)?\s*\d+(?:\.\d+)*\.?\s+\S"

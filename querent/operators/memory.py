@@ -9,6 +9,7 @@ from querent.functions import text
 from querent.sources.catalog import DAY_MS
 
 RECENT, SUMMARY_CHARS, CAPACITY = 8, 1000, 500
+#: Fixed value: the words of a decision.
 DECISION = r"\b(chose|choose|decided|decide|agreed|agree|approved|selected|picked|settled on|going with|will use|we'll use|prefer)\b"
 
 
@@ -31,6 +32,11 @@ def recent(items: DataFrame, window: int = RECENT) -> DataFrame:
     return items.withColumn("_n", n).where(F.col("_n") <= window).drop("_n")
 
 
+def turn_counts(items: DataFrame, now_ms: int, ttl_ms: int | None) -> DataFrame:
+    """Live items of each session, and when the first and last of them were made."""
+    return live(items, now_ms, ttl_ms).groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.min("created_at_ms").alias("first_ms"), F.max("created_at_ms").alias("last_ms"))
+
+
 def words(body: Column) -> Column:
     return text.content(body, text.PLAIN, text.MEMORY_STOP, 2)
 

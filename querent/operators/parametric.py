@@ -12,6 +12,7 @@ from querent.functions import text
 from querent.sources.shared import cut
 
 COVERAGE_FLOOR, MOST_ADAPTERS = 0.62, 3
+#: The blockers, in order.
 BLOCKERS = (
     "knowledge_class_not_parameterizable",
     "acl_narrower_than_tenant",

@@ -117,5 +117,19 @@ def composed(answers: DataFrame, below: float = 0.6) -> DataFrame:
     return sides.select("request_id", pick["adapter_id"].alias("adapter_id"), pick["score"].alias("score"))
 
 
+def merged_weights(answers: DataFrame) -> DataFrame:
+    """The answer of a request's adapters (request_id, adapter_id, coverage, score, answer) by weighted merge: all are asked,
+    each score counts by its adapter's coverage, and equal ones go to the greater answer."""
+    best = F.max(F.struct(F.round(F.col("coverage") * F.col("score"), 6).alias("score"), "answer", "adapter_id"))
+    return answers.groupBy("request_id").agg(best.alias("b")).select("request_id", "b.adapter_id", "b.score", "b.answer")
+
+
+def health(sources: DataFrame, held: DataFrame, by: str) -> DataFrame:
+    """State of each source's index: degraded where it is empty, as that answers everything with nothing."""
+    n = held.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    rows = sources.select(by).distinct().join(n, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.withColumn("state", F.when(F.col("n") == 0, "degraded").otherwise("healthy"))
+
+
 def staleness_state(age_days: Column, half_life: Column, ttl_days: Column) -> Column:
     return F.when(age_days > ttl_days, "expired").when(age_days > 2 * half_life, "stale").when(age_days > half_life, "aging").otherwise("fresh")

@@ -9,7 +9,7 @@ from querent.operators import grounding
 from querent.sources import catalog
 
 from . import base
-from .base import query
+from .base import ORACLE_SQL, query
 from .retrieval import _BM25, reranked
 
 _AW = lambda c: base.with_stems(base.content(c, text.CLAIM, text.ANSWER_STOP, 3))
@@ -91,3 +91,13 @@ def sentence_buffer(spark, sf_dir):
     """Release points of a fold; tests hold the brute force."""
     pieces = catalog.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" ")).alias("piece"))
     return grounding.buffered_sentences(pieces, "conv_id", "turn")
+
+
+@query(
+    f"""SELECT *, CASE WHEN groundedness >= 0.9 THEN 'high' WHEN groundedness >= 0.6 THEN 'medium' ELSE 'low' END AS band
+FROM (SELECT query_id, count(*) AS claims, count(*) FILTER (entailed) AS sourced, round(avg(entailed::int), 6) AS groundedness FROM ({ORACLE_SQL["entailment_best"]}) GROUP BY query_id)"""
+)
+def answer_bands(spark, sf_dir):
+    """How far each answer's claims are grounded, and the band of confidence that follows."""
+    report = grounding.grounding_report(entailment_best(spark, sf_dir))
+    return report.withColumn("band", grounding.confidence_band(F.col("groundedness")))

@@ -69,3 +69,8 @@ SELECT coalesce(o.session_id, d.session_id) AS session_id, summary, coalesce(n,
 )
 def memory_summary(spark, sf_dir):
     return memory.summaries(items(spark, sf_dir), 2).select("session_id", "summary", F.size("decisions").cast("long").alias("decisions"))
+
+
+@query(f"WITH {_ITEMS} SELECT session_id, count(*) AS turns, min(created_at_ms) AS first_ms, max(created_at_ms) AS last_ms FROM items WHERE created_at_ms >= 1704067200000 - 20 * 86400000 GROUP BY 1")
+def memory_turn_counts(spark, sf_dir):
+    return memory.turn_counts(items(spark, sf_dir), catalog.CLOCK_MS, 20 * catalog.DAY_MS)

@@ -141,3 +141,14 @@ def source_staleness(spark, sf_dir):
 def latest_run(spark, sf_dir):
     rows = catalog.table(spark, sf_dir, "events")
     return rows.groupBy(F.col("event_type").alias("run")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT concat_ws('.', source, lang) AS source_id FROM documents), h AS (SELECT concat_ws('.', source, lang) AS source_id, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 GROUP BY 1)
+SELECT source_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'degraded' ELSE 'healthy' END AS state FROM s LEFT JOIN h USING (source_id)"""
+)
+def source_health(spark, sf_dir):
+    """Sources by language, over an index that holds what is labelled good and not toxic."""
+    docs = catalog.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(".", "source", "lang").alias("source_id"))
+    held = docs.join(catalog.table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0"), "doc_id", "left_semi")
+    return serving.health(docs, held, "source_id")

@@ -78,3 +78,19 @@ def test_a_check_that_fails_blocks_its_row_alone(spark):
     masked = guardrails.chain(df, "t", [("odd", guardrails.guarded(odd), lambda t: F.lit("masked")), ("later", lambda t: F.when(t == "masked", "seen"), None)])
     got = {r.t: (r.verdict, r.reason, r.checked_text) for r in masked.collect()}
     assert got["0"] == ("block", "guardrail_error", "0") and got["6"] == ("block", "seen", "masked") and got["5"] == ("allow", None, "5")
+
+
+def test_scorecards_as_text(spark):
+    card = spark.createDataFrame([("b", 0.5, 4, None, True), ("a", 1.0, 3, 0.25, False)], "metric_id string, mean double, n long, pass_rate double, judged boolean")
+    (row,) = evaluation.card_json(card, "golden").collect()
+    assert row.json.index('"a"') < row.json.index('"b"') and row.json.startswith('{"dataset_id":"golden"')
+    back = evaluation.card_of_json(spark.createDataFrame([row]))
+    assert sorted(tuple(r) for r in back.collect()) == [("golden", "a", 1.0, 3, 0.25, False), ("golden", "b", 0.5, 4, None, True)]
+
+
+def test_merged_weights(spark):
+    from querent.operators import serving
+
+    rows = [(1, "a", 0.9, 0.5, "x"), (1, "b", 0.5, 0.9, "y"), (2, "a", 0.9, 0.2, "x"), (2, "b", 0.4, 0.9, "y"), (3, "a", 0.7, None, None)]
+    got = serving.merged_weights(spark.createDataFrame(rows, "request_id long, adapter_id string, coverage double, score double, answer string")).collect()
+    assert {r.request_id: (r.adapter_id, r.score) for r in got} == {1: ("b", 0.45), 2: ("b", 0.36), 3: ("a", None)}
