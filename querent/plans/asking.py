@@ -143,11 +143,11 @@ def online_sample(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT user_id, event_id, greatest(0, 2000 - sum(value) OVER w) AS wall_left, sum(value / 100000) OVER w AS usd_spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
-SELECT user_id, event_id, round(wall_left, 6) AS wall_left, round(usd_spent, 6) AS usd_spent, wall_left <= 0 OR usd_spent >= 0.01::double AS exhausted FROM s"""
+    """WITH s AS (SELECT user_id, event_id, greatest(0, 2000 - sum(value) OVER w) AS wall_left, sum(value / 1000) OVER w AS usd_spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, event_id, round(wall_left, 6) AS wall_left, round(usd_spent, 6) AS usd_spent, wall_left <= 0 OR usd_spent >= 1 AS exhausted FROM s"""
 )
 def budget_spend(spark, sf_dir):
     """Each user's events as the steps of a request, their value its time."""
-    steps = catalog.table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("value").alias("wall_ms"), (F.col("value") / 100000).alias("usd"))
-    rows = ai.spent(steps, ["user_id"], ["ts", "event_id"], F.lit(2000.0), F.lit(0.01))
+    steps = catalog.table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("value").alias("wall_ms"), (F.col("value") / 1000).alias("usd"))
+    rows = ai.spent(steps, ["user_id"], ["ts", "event_id"], F.lit(2000.0), F.lit(1.0))
     return rows.select("user_id", "event_id", F.round("wall_left", 6).alias("wall_left"), F.round("usd_spent", 6).alias("usd_spent"), "exhausted")
