@@ -95,6 +95,37 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 SELECT doc_id, len(sh)::bigint AS n_shingles, m AS component_id FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
 """
 
+REPAIR_ORACLE = r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v) ORDER BY v) AS tab FROM (SELECT unnest(range(256)) AS v)),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) AS x FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(range(len(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::bigint), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 20 AS kind FROM src, tab),
+made AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM made),
+judged AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^ \t\n\v\f\r]') THEN 'blank' WHEN again THEN 'duplicate' WHEN right(regexp_replace(text, '[ \t\n\v\f\r]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows
+  FROM (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM judged) GROUP BY conv_id),
+-- state: 0 nothing yet, 1 after system, 2 after user, 3 after assistant; costs are padded, so that strings compare like pairs
+grammar(role, q, after) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edits(e, role, q, after) AS (SELECT 'K', * FROM grammar UNION ALL SELECT 'R', * FROM grammar WHERE role <> 's' UNION ALL SELECT 'D', NULL, q, q FROM range(4) t(q)),
+inserts(letters, q, after) AS (SELECT '', q, q FROM range(4) t(q) UNION ALL SELECT 'I', q, after FROM grammar WHERE role <> 's'),
+step(conv_id, n, q, w) AS (
+  SELECT conv_id, 0::bigint, after, lpad((2 * length(letters))::varchar, 9, '0') || letters FROM facts, inserts WHERE q = 0
+  UNION ALL
+  SELECT conv_id, n, q, min(w) FROM (SELECT s.conv_id, j.n, t.after AS q,
+      lpad((left(s.w, 9)::bigint + CASE e.e WHEN 'K' THEN 0 WHEN 'R' THEN 2 ELSE 3 END + CASE WHEN e.e <> 'D' AND j.fault = 'truncated' THEN 1 ELSE 0 END + 2 * length(t.letters))::varchar, 9, '0') || substr(s.w, 10) || e.e || t.letters AS w
+    FROM step s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.n = s.n + 1 JOIN edits e ON e.q = s.q AND (e.e <> 'K' OR e.role = j.i) AND (e.e = 'D' OR coalesce(j.fault, '') NOT IN ('blank', 'duplicate')) JOIN inserts t ON t.q = e.after) GROUP BY conv_id, n, q),
+best AS (SELECT s.conv_id, min(w) AS w FROM step s JOIN facts f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND s.n = f.rows WHERE q IN (0, 3) GROUP BY s.conv_id),
+letters AS (SELECT conv_id, unnest(string_split(substr(w, 10), '')) AS e, generate_subscripts(string_split(substr(w, 10), ''), 1) AS k FROM best WHERE length(w) > 9),
+rows_read AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS n, count(*) FILTER (e <> 'D') OVER w AS out FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+-- the first kept row tells whether a system row leads; from there users and assistants take turns
+lead AS (SELECT r.conv_id, bool_or(r.out = 1 AND r.e = 'K' AND j.i = 's') AS led FROM rows_read r LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM r.conv_id AND j.n = r.n GROUP BY r.conv_id),
+repaired AS (SELECT r.conv_id, string_agg(CASE r.e WHEN 'K' THEN j.role ELSE CASE WHEN (r.out + led::int) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE r.e WHEN 'I' THEN '' ELSE j.text END, chr(10) ORDER BY r.k) AS text
+  FROM rows_read r JOIN lead l ON l.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM r.conv_id AND j.n = r.n WHERE r.e <> 'D' GROUP BY r.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(left(w, 9)::bigint, 0) AS cost, coalesce(substr(w, 10), '') AS audit, sha256(coalesce(p.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 RESAMPLING_ORACLE = r"""
 WITH tab AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v) ORDER BY v) AS tab FROM (SELECT unnest(range(256)) AS v)),
 texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
@@ -121,4 +152,4 @@ FROM p JOIN top USING (h)
 """
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_audio_features, op3_canonical_digest, op4_pii_deobfuscation, op5_bpe_speculate_verify, op6_line_template_tree, op7_secret_forest, op8_language_id, op9_best_fit_packing, op10_jaccard_join, op11_conversation_repair, op12_importance_resampling, op13_warc_revisits)}
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_ORACLE, "op6_line_template_tree": LINES_ORACLE, "op10_jaccard_join": JACCARD_ORACLE, "op12_importance_resampling": RESAMPLING_ORACLE, "op13_warc_revisits": WARC_ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": SUBSTRING_ORACLE, "op6_line_template_tree": LINES_ORACLE, "op10_jaccard_join": JACCARD_ORACLE, "op11_conversation_repair": REPAIR_ORACLE, "op12_importance_resampling": RESAMPLING_ORACLE, "op13_warc_revisits": WARC_ORACLE}
