@@ -2,7 +2,7 @@
 
 Candidates: what follows a secret keyword with = or : (three characters or more), the engine's known forms of secrets, and
 runs of 16 or more key characters with a digit or a change from lower to upper case. Features: length, character
-transitions (log-probability of letter pairs, learnt from words of the table; changes between letters, digits and cases),
+transitions (log-probability of letter pairs, counted over the words of all documents; changes between letters, digits and cases),
 digit, upper-case and distinct-character shares, entropy, coverage by dictionary words (words of at least DICTIONARY_TEXTS
 documents, counted over all of them), separators and path marks, and neighbouring words. The forest is trained on labelled
 findings; train() takes any number. labelled_findings() makes a bounded set from a table: keys of several kinds, hashes,
@@ -99,13 +99,15 @@ def _sampled_words(docs: DataFrame, label_docs: int) -> DataFrame:
     return rows.select(F.coalesce("id", F.lit("")).alias("id"), "h", F.expr("filter(split(lower(head), '[^a-z]+'), w -> length(w) > 2)").alias("w")).where("size(w) >= 6")
 
 
-def letter_transitions(words: DataFrame) -> str:
-    """Log-probability of each letter after each letter, in the words of rows with `w`; one more of each pair is counted.
+def letter_transitions(docs: DataFrame) -> str:
+    """Log-probability of each letter after each letter, in the words of three letters or more of all documents; one more of
+    each pair is counted. Words are counted first, so that pairs are made once for a word and not for each place of it.
     A character for each pair (tenths below zero, from `!` on), so that plans that hold the table stay small."""
-    word = words.select(F.explode("w").alias("w")).select(F.split("w", "").alias("c"))
-    pairs = word.select(F.explode(F.zip_with(F.col("c"), F.expr("slice(c, 2, size(c))"), lambda a, b: F.concat(a, b))).alias("pair")).where("length(pair) = 2")
+    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("w")).where("length(w) > 2")
+    word = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select("n", F.split("w", "").alias("c"))
+    pairs = word.select("n", F.explode(F.zip_with(F.col("c"), F.expr("slice(c, 2, size(c))"), lambda a, b: F.concat(a, b))).alias("pair")).where("length(pair) = 2")
     counts = [[1] * 26 for _ in range(26)]
-    for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect():  # 676 rows at most
+    for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 676 rows at most
         counts[ord(r["pair"][0]) - 97][ord(r["pair"][1]) - 97] += r["n"]
     return "".join(chr(33 + min(93, round(-10 * math.log(n / sum(row))))) for row in counts for n in row)
 
@@ -232,7 +234,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     sampled = stored(_sampled_words(docs, LABEL_DOCS), "words")
     labelled = stored(labelled if labelled is not None else labelled_findings(sampled), "findings")
     wanted = found.select("candidate").union(labelled.select("candidate")).distinct().select(F.explode(_chunks(F.col("candidate"))).alias("word"))
-    words, transitions = dictionary(docs, wanted), letter_transitions(sampled)
+    words, transitions = dictionary(docs, wanted), letter_transitions(docs)
     model = train(with_features(labelled, words, transitions))
     return scored(with_features(found, words, transitions), model).select("doc_id", "version", "k", "candidate", "start", "end", "score")
 
@@ -242,7 +244,7 @@ def held_out_quality(docs: DataFrame, threshold: float = THRESHOLD, one_in: int
     sampled = stored(_sampled_words(docs, LABEL_DOCS), "words")
     labelled = stored(labelled_findings(sampled), "findings")
     words = dictionary(docs, labelled.select("candidate").distinct().select(F.explode(_chunks(F.col("candidate"))).alias("word")))
-    rows = with_features(labelled, words, letter_transitions(sampled))
+    rows = with_features(labelled, words, letter_transitions(docs))
     held = F.pmod("h", F.lit(one_in)) == 0
     judged = scored(rows.where(held), train(rows.where(~held)))
     said, true = F.col("score") >= threshold, F.col("label") == 1

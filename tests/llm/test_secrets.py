@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import duckdb
@@ -79,6 +80,17 @@ def test_dictionary_counts_all_documents(spark):
     assert [r.word for r in secrets.dictionary(df, words).collect()] == ["beta"]
 
 
+def test_letter_transitions_count_all_documents(spark):
+    texts = ["alpha Beta9beta ab " * 3, "x" * 900 + " zebra", None, "", "beta"] + [f"gamma{k}delta" for k in range(40)]
+    counts = {(a, b): 1 for a in range(26) for b in range(26)}
+    for w in (w for t in texts for w in re.split("[^a-z]+", (t or "").lower()) if len(w) > 2):
+        for a, b in zip(w, w[1:]):
+            counts[ord(a) - 97, ord(b) - 97] += 1
+    total = [sum(counts[a, b] for b in range(26)) for a in range(26)]
+    want = "".join(chr(33 + min(93, round(-10 * math.log(counts[a, b] / total[a])))) for a in range(26) for b in range(26))
+    assert secrets.letter_transitions(frame(spark, list(enumerate(texts)))) == want
+
+
 def test_given_labels_decide(spark):
     rows = [(f"k{i:015d}q", "alpha ", " x", 1.0) for i in range(60)] + [(f"k{i:015d}q", "invoice ", " x", 0.0) for i in range(60)]
     labelled = spark.createDataFrame(rows, "candidate string, left string, right string, label double")
