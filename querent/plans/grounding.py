@@ -37,8 +37,9 @@ def evidence_rows(spark, sf_dir):
     return rows.select("query_id", F.concat(F.lit("E"), F.col("final_rank") + 1).alias("marker"), F.col("final_rank").alias("place"), "text")
 
 
-def answers(spark, sf_dir):
-    return grounding.extractive_answers(catalog.queries(spark, sf_dir).select("query_id", "query_text"), evidence_rows(spark, sf_dir).select("query_id", "marker", "text"))
+def answers(spark, sf_dir, shown=None):
+    shown = evidence_rows(spark, sf_dir) if shown is None else shown
+    return grounding.extractive_answers(catalog.queries(spark, sf_dir).select("query_id", "query_text"), shown.select("query_id", "marker", "text"))
 
 
 @query(_ANSWER + "SELECT query_id, answer FROM ans")
@@ -60,7 +61,8 @@ bs AS (SELECT *, row_number() OVER (PARTITION BY query_id, n ORDER BY score DESC
 SELECT query_id, n, score, CASE WHEN score >= 0.75 THEN marker END AS marker, score >= 0.75 AS entailed FROM bs"""
 )
 def entailment_best(spark, sf_dir):
-    rows = grounding.verified(grounding.claims(answers(spark, sf_dir)), evidence_rows(spark, sf_dir))
+    shown = evidence_rows(spark, sf_dir)  # reranked once, for the answers and for what they are held against
+    rows = grounding.verified(grounding.claims(answers(spark, sf_dir, shown)), shown)
     return rows.withColumn("n", F.col("n").cast("long"))
 
 
