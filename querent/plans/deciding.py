@@ -11,7 +11,7 @@ from querent.sources.shared import cut
 
 from . import base
 from .base import query
-from .evidence import _ROOTS, roots
+from .evidence import _ROOTS, with_roots
 from .retrieval import _BM25, reranked
 
 _NUM = "regexp_matches(w, '^\\d+(\\.\\d+)?$')"
@@ -45,7 +45,7 @@ _GROUPS = _BM25.replace("labels AS", f"{_ROOTS}, labels AS") + ", gr AS (SELECT
 
 
 def groups(spark, sf_dir):
-    rows = reranked(spark, sf_dir).join(roots(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
+    rows = with_roots(spark, sf_dir, reranked(spark, sf_dir))
     return cut(rows.select("query_id", F.col("final_rank").alias("place"), "lineage_root", "authority", "rerank_score", "updated_at_ms", "text"), "groups")
 
 

@@ -46,9 +46,20 @@ def roots(spark, sf_dir):
     return prints.join(prints.groupBy("print").agg(F.min("doc_id").alias("lineage_root")), "print").select("doc_id", "lineage_root")
 
 
+def with_roots(spark, sf_dir, rows):
+    """Rows of documents (stored; with their text) with the lineage_root that roots() gives them. Only documents of a text
+    that is among the rows are grouped, so a pass over the documents is all that grows with them."""
+    rows = rows.withColumn("print", text.fingerprint(F.col("text")))
+    wanted = rows.select("print").distinct()
+    wanted = F.broadcast(wanted) if rows.count() <= evidence.SENT else wanted
+    prints = catalog.table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("print"))
+    least = cut(prints.join(wanted, "print", "left_semi").groupBy("print").agg(F.min("doc_id").alias("lineage_root")), "roots")
+    return rows.join(least, "print").drop("print")
+
+
 @query(_BM25.replace("labels AS", f"{_ROOTS}, labels AS") + "SELECT query_id, chunk_id, lineage_root, row_number() OVER (PARTITION BY query_id, lineage_root ORDER BY final_rank) = 1 AS independent FROM final JOIN roots ON doc_id = chunk_id")
 def lineage_independence(spark, sf_dir):
-    rows = reranked(spark, sf_dir).join(roots(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
+    rows = with_roots(spark, sf_dir, reranked(spark, sf_dir))
     first = F.row_number().over(Window.partitionBy("query_id", "lineage_root").orderBy("final_rank")) == 1
     return rows.select("query_id", "chunk_id", "lineage_root", first.alias("independent"))
 
@@ -107,7 +118,7 @@ def aspect_coverage(spark, sf_dir):
 
 
 def grouped(spark, sf_dir, pool=None):
-    rows = (pool or reranked(spark, sf_dir)).join(roots(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
+    rows = with_roots(spark, sf_dir, pool or reranked(spark, sf_dir))
     return evidence.leader_groups(rows.withColumn("effective_score", F.coalesce("rerank_score", "fused_score")))
 
 

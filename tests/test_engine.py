@@ -398,3 +398,17 @@ def test_a_common_passage_makes_no_pairs_of_near_duplicates(spark):
     finally:
         evidence.BLOCK = before
     assert {(r.q, r.left_id, r.right_id): r.overlap for r in found} == {(q, *k): v for k, v in want.items() for q in "ab"} and len(found) == 2 * len(want)
+
+
+def test_candidates_are_made_once_and_few_documents_are_grouped_by_root(spark, monkeypatch):
+    from querent.plans import evidence as evidence_plans
+    from querent.plans import grounding as plans
+    from querent.plans import retrieval as made
+
+    sf, seen = "/root/testdata/sf0.001", []
+    counted = lambda spark, sf_dir, f=made.reranked: seen.append(1) or f(spark, sf_dir)
+    monkeypatch.setattr(plans, "reranked", counted)
+    plans.entailment_best(spark, sf)
+    assert len(seen) == 1
+    rows = evidence_plans.lineage_independence(spark, sf)
+    assert not [f for f in rows.inputFiles() if "documents.parquet" in f] and rows.where("lineage_root is null").isEmpty()
