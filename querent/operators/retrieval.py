@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.functions import text
+from querent.operators import blocks
 from querent.sources import catalog
 from querent.sources.shared import cut
 
@@ -31,25 +32,43 @@ def _in_scope(rows: DataFrame) -> DataFrame:
 
 #: Texts without a word of their own inside are sent to the documents up to so many rows and characters, both counted.
 SHORT_ROWS, SHORT_CHARS, ANCHOR = 2000, 200_000, 12
+#: Rows of items or of documents near them that may be broadcast, counted.
+SENT = 200_000
 #: Words of a text that are words of any text that holds it: a character that no word has is on either side.
 _INNER = r"(?<=[^a-z0-9\-_.])[a-z0-9][a-z0-9\-_.]*(?=[^a-z0-9\-_.])"
 
 
-def holders(items: DataFrame, docs: DataFrame) -> DataFrame:
+def _words_held(wanted: DataFrame, docs: DataFrame, held: tuple[list, DataFrame] | None = None) -> DataFrame:
+    """Stored rows of doc_id and each wanted word (word) that is in its text."""
+    if held is None:
+        wanted = cut(wanted, "wanted")
+        if wanted.count() > blocks.MOST_TERMS:
+            words = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word"))
+            return cut(words.join(wanted, "word", "left_semi"), "words")
+        terms = [r.word for r in wanted.collect()]
+        held = terms, blocks.counted(docs.select("doc_id", F.lower("text").alias("low")), terms)
+    terms, rows = held
+    names = rows.sparkSession.createDataFrame([(k, t) for k, t in enumerate(terms)], "term int, word string")
+    return rows.select("doc_id", F.explode("terms").alias("term")).join(F.broadcast(names), "term").select("doc_id", "word")
+
+
+def holders(items: DataFrame, docs: DataFrame, held: tuple[list, DataFrame] | None = None) -> DataFrame:
     """query_id and doc_id of each document (doc_id, text) that holds an item's text (query_id, item) as it is.
 
     Items meet the documents at their rarest inner word, by a join on that word, and are compared in full there. Items of
     one or two words may have none: a counted few are sent to the documents, more are met by their first characters. Null
-    and empty items are in no document; null texts hold none. Repeated rows give repeated links."""
+    and empty items are in no document; null texts hold none. Repeated rows give repeated links. `held`: a list of words that has
+    all words of the items, and blocks.counted() of them (doc_id), where they are there already."""
     items = cut(items.where(F.length("item") > 0).select("query_id", "item", F.array_distinct(F.regexp_extract_all(F.lower("item"), F.lit(_INNER), F.lit(0))).alias("inner")), "items")
     docs = docs.select("doc_id", "text")
     asked = items.select("query_id", "item", F.explode("inner").alias("word"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word"))
-    words = cut(words.join(asked.select("word").distinct(), "word", "left_semi"), "words")
+    words = _words_held(asked.select("word").distinct(), docs, held)
     df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(df, "word", "left").groupBy("query_id", "item").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "word")).alias("w")).select("query_id", "item", F.col("w.word").alias("word"))
-    near = rarest.join(words, "word").select("query_id", "item", "doc_id").distinct()
-    found = near.join(docs, "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id")
+    rarest = cut(rarest, "rarest")
+    near = cut((F.broadcast(rarest) if rarest.count() <= SENT else rarest).join(words, "word").select("query_id", "item", "doc_id").distinct(), "near")
+    # few documents have an item's rarest word: their texts alone are met, without dealing out those of all
+    found = docs.join(F.broadcast(near) if near.count() <= SENT else near, "doc_id").where(F.contains("text", "item")).select("query_id", "doc_id")
     short = items.where(F.size("inner") == 0)
     n, total, width = short.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("item")), F.lit(0)), F.coalesce(F.min(F.length("item")), F.lit(1))).first()
     if not n:
