@@ -10,8 +10,8 @@ from querent.sources import catalog
 
 from . import base
 from .base import query
-from .grounding import _ANSWER, answers
-from .retrieval import _BM25, _bm25_top, relevance, reranked
+from .grounding import _ANSWER, answers, evidence_rows
+from .retrieval import _BM25, _bm25_top, counted, relevance, reranked
 
 _SAMPLES = (
     _ANSWER
@@ -25,8 +25,9 @@ card AS (SELECT metric_id, round(avg(score), 6) AS mean, count(*) AS n, round(av
 
 
 def samples(spark, sf_dir):
-    labels = relevance(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
-    rows = answers(spark, sf_dir).join(labels, "query_id", "left").na.fill(0, ["n_rel"])
+    held = counted(spark, sf_dir)
+    labels = relevance(spark, sf_dir, held).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
+    rows = answers(spark, sf_dir, evidence_rows(spark, sf_dir, held)).join(labels, "query_id", "left").na.fill(0, ["n_rel"])
     gone = F.col("answer").startswith("The retrieved") | F.col("answer").startswith("I do not")
     cited = F.round(F.size(F.regexp_extract_all("answer", F.lit(r"\[E\d+\]"), F.lit(0))) / F.lit(3.0), 6)
     made = F.array(
@@ -107,9 +108,10 @@ SELECT query_id, round(avg(hit::int), 6) AS coverage FROM asp GROUP BY ALL"""
 )
 def coverage_at_k(spark, sf_dir):
     """An aspect of a query is a source that holds a relevant document."""
-    ranked = _bm25_top(spark, sf_dir).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+    held = counted(spark, sf_dir)
+    ranked = _bm25_top(spark, sf_dir, held).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
     sources = catalog.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("aspect"))
-    return evaluation.coverage_at_k(ranked, relevance(spark, sf_dir).join(sources, "doc_id"), 5)
+    return evaluation.coverage_at_k(ranked, relevance(spark, sf_dir, held).join(sources, "doc_id"), 5)
 
 
 #: Strings that no answer may hold.
@@ -120,7 +122,8 @@ _FACTS = base.content("query_text", text.LEXICAL, text.RERANK_STOP, 6)
 def answer_samples(spark, sf_dir):
     """Answers with what they are judged by: their claims and citations, the documents that hold the item, its longer words
     as facts. A query without a relevant document should be abstained from."""
-    pool = reranked(spark, sf_dir)
+    counts = counted(spark, sf_dir)
+    pool = reranked(spark, sf_dir, counts)
     groups = pool.select("query_id", F.concat(F.lit("E"), F.col("final_rank") + 1).alias("marker"), "chunk_id", "text")
     said = grounding.extractive_answers(catalog.queries(spark, sf_dir).select("query_id", "query_text"), groups.select("query_id", "marker", "text"))
     said = said.withColumn("abstained", F.col("answer").isin(grounding.NO_ANSWER, grounding.NO_EVIDENCE))
@@ -128,7 +131,7 @@ def answer_samples(spark, sf_dir):
     cited = said.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(grounding.MARKER), F.lit(1)))).alias("marker"))
     cited = cited.join(groups.select("query_id", "marker", "chunk_id"), ["query_id", "marker"]).groupBy("query_id").agg(F.collect_list("chunk_id").alias("citations"))
     # only whether a cited document is relevant matters, so a query's relevant documents are few or those that it cites
-    known = relevance(spark, sf_dir)
+    known = relevance(spark, sf_dir, counts)
     held = known.join(pool.select("query_id", F.col("chunk_id").alias("doc_id"), F.lit(True).alias("pooled")), ["query_id", "doc_id"], "left")
     held = held.groupBy("query_id").agg(F.concat(F.collect_list(F.when(F.col("pooled"), F.col("doc_id"))), F.array(F.min("doc_id"))).alias("relevant"))
     asked = catalog.queries(spark, sf_dir).select("query_id", text.content(F.col("query_text"), text.LEXICAL, text.RERANK_STOP, 6).alias("expected_facts"))

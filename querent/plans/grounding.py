@@ -32,8 +32,8 @@ cl AS (SELECT query_id, n, trim(concat_ws(' ', own, nullif(tail, ''))) AS text,
 )
 
 
-def evidence_rows(spark, sf_dir):
-    rows = reranked(spark, sf_dir)
+def evidence_rows(spark, sf_dir, held=None):
+    rows = reranked(spark, sf_dir, held)
     return rows.select("query_id", F.concat(F.lit("E"), F.col("final_rank") + 1).alias("marker"), F.col("final_rank").alias("place"), "text")
 
 
