@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,26 @@ def tokens(text: Column, pattern: str = LEXICAL) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
+_LEXICAL_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789-_."
+_BETWEEN = bytes(c if c in _LEXICAL_BYTES else 32 for c in bytes(range(256)).lower())
+#: What lower() makes ASCII of besides A-Z, in UTF-8.
+_TO_ASCII = [(c.encode(), c.lower().encode()) for c in "\u0130\u212a"]
+
+
+def lexical_counts(utf8: bytes) -> Counter:
+    """How often each token of LEXICAL is in a text, lower-cased, all in UTF-8: of each run of a token's characters what
+    follows the leading ones that begin none."""
+    for letter, low in _TO_ASCII:
+        if letter in utf8:
+            utf8 = utf8.replace(letter, low)
+    found = Counter(utf8.translate(_BETWEEN).split())
+    for run in [r for r in found if r[0] in b"-_."]:
+        n, token = found.pop(run), run.lstrip(b"-_.")
+        if token:
+            found[token] += n
+    return found
+
+
 def content(text: Column, pattern: str, stop: list[str], least: int = 1) -> Column:
     """The set of tokens of at least `least` characters outside the stop list."""
     stops = F.array(*[F.lit(w) for w in stop])

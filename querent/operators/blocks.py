@@ -113,9 +113,9 @@ def statistics(rows: DataFrame, n_terms: int) -> tuple[int, int, float, np.ndarr
     return s.n, s.ids, s.mean_length or 0.0, df
 
 
-def best(rows: DataFrame, by: Asked, n: int, mean_length: float, df: np.ndarray, k: int, k1: float, b: float) -> DataFrame:
+def best(rows: DataFrame, by: Asked, n: int, mean_length: float, df: np.ndarray, k: int, k1: float, b: float, legs: tuple = ("lexical", "overlap")) -> DataFrame:
     """Stored rows of leg ('lexical' or 'overlap'), query_id, chunk_id and score: those of the k best chunks of each query by
-    both rankings, and some more. `rows`: chunk_id, owner, acl_hash, length, n_words, terms and tfs, a row for each chunk."""
+    these rankings, and some more. `rows`: chunk_id, owner, acl_hash, length, n_words, terms and tfs, a row for each chunk."""
     weight = by.times * np.log(1 + (n - df[by.term] + 0.5) / (df[by.term] + 0.5))
     sent = rows.sparkSession.sparkContext.broadcast((by, weight))
 
@@ -124,7 +124,7 @@ def best(rows: DataFrame, by: Asked, n: int, mean_length: float, df: np.ndarray,
         scopes, least = _Scopes(by, weight), np.zeros((2, len(by.ids)))
         for batch in batches:
             col = lambda c: batch.column(batch.schema.get_field_index(c))
-            for leg, query, row, score in _scored(batch.num_rows, col, scopes, least, mean_length, k, k1, b):
+            for leg, query, row, score in _scored(batch.num_rows, col, scopes, least, mean_length, k, k1, b, legs):
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array([leg] * len(row)), by.ids.take(pa.array(query)), col("chunk_id").take(pa.array(row)), pa.array(score)], ["leg", "query_id", "chunk_id", "score"])
 
@@ -158,7 +158,7 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def _scored(n_rows, col, scopes, least, mean_length, k, k1, b):
+def _scored(n_rows, col, scopes, least, mean_length, k, k1, b, legs):
     ends = col("terms").offsets.to_numpy().astype(np.int64)
     term, tf = col("terms").values.to_numpy().astype(np.int64), col("tfs").values.to_numpy().astype(np.float64)
     first, size = ends[:-1], np.diff(ends)
@@ -190,6 +190,8 @@ def _scored(n_rows, col, scopes, least, mean_length, k, k1, b):
             both = np.bincount(cell, minlength=len(of) * len(seeing)).reshape(shape)
             share = both / (scopes.n_asked[seeing][None, :] + n_words[of][:, None] - both)
             for leg, (name, m) in enumerate((("lexical", score), ("overlap", share))):
+                if name not in legs:
+                    continue
                 if len(of) >= k:
                     least[leg][seeing] = np.maximum(least[leg][seeing], np.partition(m, len(of) - k, axis=0)[len(of) - k])
                 r, c = np.nonzero((m > 0) & (m >= least[leg][seeing] - EDGE))

@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from querent.functions import text
 from querent.operators import lexical_index as li
 from querent.operators import retrieval
+from querent.plans.retrieval import indexed_scores
 from querent.sources import versions
 
 CHUNK = "chunk_id long, tenant_id string, acl_hash string, text string, at long"
@@ -139,3 +141,51 @@ def test_items_meet_the_documents_that_hold_them(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.holders(q, d).collect())) == want
     monkeypatch.setattr(retrieval, "SHORT_ROWS", 0)
     assert sorted(map(tuple, retrieval.holders(q, d).collect())) == want
+
+
+def test_a_segment_has_a_row_for_each_chunk_and_its_words_are_not_dealt_out(spark, tmp_path):
+    index = li.upserted(li.create(spark, str(tmp_path / "a"), 4), chunks(spark, [(i, "alpha beta gamma alpha " * 5 + f"w{i}") for i in range(50)]))
+    index = li.upserted(index, chunks(spark, [(3, "beta"), (60, None)]))
+    index = li.deleted(index, spark.createDataFrame([(7,)], "chunk_id long"))
+    assert [spark.table(s["name"]).count() for s in index.state["segments"]] == [50, 2] and [s["rows"] for s in index.state["segments"]] == [250, 3]
+    rows = li.counted(index, ["alpha", "beta", "nowhere", "w9"])
+    assert "Exchange hash" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {r.chunk_id: (r.length, r.n_words, r.terms, r.tfs) for r in rows.collect()}
+    assert len(got) == 50 and got[9] == (21, 4, [0, 1, 3], [10, 5, 1]) and got[3] == (1, 1, [1], [1]) and got[60] == (0, 0, [], [])
+    assert li.document_frequencies(index, ["alpha", "beta", "nowhere", "w9"]).tolist() == [48, 49, 0, 1]
+    assert li.document_frequencies(index, []).tolist() == [] and {tuple(r.terms) for r in li.counted(index, []).collect()} == {()}
+
+
+@pytest.mark.parametrize("counted", [li.COUNTED, 7])
+def test_blocks_over_an_index_equal_all_pairs(spark, tmp_path, monkeypatch, counted):
+    monkeypatch.setattr(li, "COUNTED", counted)
+    rows = [(i, f"t{i % 2}", ["public", "acl-eng", "acl-finance", None][i % 4], None if i == 11 else f"w{i % 7} w{i % 5} " * (i % 4) + f"v{i % 9} common", 0) for i in range(120)]
+    index = li.upserted(li.create(spark, str(tmp_path / "a"), 3), spark.createDataFrame(rows, CHUNK))
+    index = li.upserted(index, spark.createDataFrame([(5, "t1", "public", "w1 w2 w3", 0), (200, "t0", "public", "common common v3", 0)], CHUNK))
+    index = li.deleted(index, spark.createDataFrame([(i,) for i in range(60, 70)], "chunk_id long"))
+    asking = [(1, "common w1 w1", "t0", ["acl-eng"]), (2, "v3 w2 nowhere", "t1", []), (3, "!!", "t0", []), (4, None, "t0", []), (5, "w3", None, ["acl-eng"]), (6, "w4", "t1", None)]
+    for more in ([], [(2, "v3", "t1", [])]):  # two queries of one id are scored by all pairs
+        queries = spark.createDataFrame(asking + more, QUERIES)
+        want = retrieval.bm25_scores(queries, li.postings(index, queries), li.statistics(index))
+        a, b = (sorted(map(tuple, retrieval.top_k(s, 24).select("query_id", "chunk_id", "rank", "score").collect())) for s in (want, indexed_scores(queries, index)))
+        assert a == b and {r[0] for r in a} == {1, 2}
+    queries = spark.createDataFrame(asking, QUERIES)
+    assert indexed_scores(queries, li.create(spark, str(tmp_path / "b"), 2)).count() == 0
+    assert indexed_scores(queries.where("query_id = 3"), index).count() == 0
+
+
+def test_words_are_those_of_the_pattern_for_every_character(spark):
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [(" ".join(f"a{c}B-{c}.7" for c in letters[k : k + 64]),) for k in range(0, len(letters), 64)]
+    rows += [("",), ("--",), ("-.a-._b.. _ _x -",), ("x\x00y\u2028z\tA-B_C",), ("\u0130\u212a\u0130x",)]
+    got = spark.createDataFrame(rows, "t string").select("t", text.tokens(F.col("t")).alias("words")).toArrow().to_pylist()
+    assert len(got) == len(rows)
+    for r in got:
+        assert {w.decode(): n for w, n in text.lexical_counts(r["t"].encode()).items()} == Counter(r["words"])
+
+
+def test_an_index_of_another_layout_is_refused(spark, tmp_path):
+    index = li.create(spark, str(tmp_path / "a"), 2)
+    versions.commit(spark, index.folder, index.version, {k: v for k, v in index.state.items() if k != "layout"})
+    with pytest.raises(ValueError, match="layout 1"):
+        li.reopened(spark, index.folder)
